@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from provenant.llm.flac import op1_flac
 from provenant.llm.language import op4_language_id
+from provenant.llm.quality import op3_quality
+from provenant.llm.toxicity import op5_toxicity
 
 QUERIES = {
+    "op1_flac": op1_flac,
+    "op3_quality": op3_quality,
     "op4_language_id": op4_language_id,
+    "op5_toxicity": op5_toxicity,
 }
 
 ORACLES: dict[str, str] = {}
