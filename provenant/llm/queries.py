@@ -5,13 +5,19 @@ from __future__ import annotations
 from provenant.llm.flac import op1_flac
 from provenant.llm.language import op4_language_id
 from provenant.llm.quality import op3_quality
+from provenant.llm.spotsigs import op6_spotsigs
 from provenant.llm.toxicity import op5_toxicity
+from provenant.llm.warc import OP7_SQL, op7_warc
 
 QUERIES = {
     "op1_flac": op1_flac,
     "op3_quality": op3_quality,
     "op4_language_id": op4_language_id,
     "op5_toxicity": op5_toxicity,
+    "op6_spotsigs": op6_spotsigs,
+    "op7_warc": op7_warc,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_warc": OP7_SQL,
+}
