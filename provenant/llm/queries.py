@@ -5,6 +5,7 @@ from __future__ import annotations
 from provenant.llm.flac import op1_flac
 from provenant.llm.language import op4_language_id
 from provenant.llm.quality import op3_quality
+from provenant.llm.setjoin import op9_ngram_jaccard
 from provenant.llm.spotsigs import op6_spotsigs
 from provenant.llm.toxicity import op5_toxicity
 from provenant.llm.warc import OP7_SQL, op7_warc
@@ -16,6 +17,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_spotsigs": op6_spotsigs,
     "op7_warc": op7_warc,
+    "op9_ngram_jaccard": op9_ngram_jaccard,
 }
 
 ORACLES: dict[str, str] = {
