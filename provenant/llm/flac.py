@@ -32,7 +32,7 @@ PRECISION, SHIFT = 10, 7
 SAMPLE_RATE = 8000
 PAD = 64
 #: Frames that are handled in step, and samples of a payload batch.
-IN_STEP, BATCH_SAMPLES = 512, 1 << 21
+IN_STEP, BATCH_SAMPLES = 512, 1 << 20
 #: Fixed values of the format: predictor coefficients, newest sample first.
 FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
 
@@ -505,16 +505,30 @@ def _chunks(values: list, weight) -> Iterator[slice]:
         yield slice(lo, len(values))
 
 
+def flac_streams(payloads: list) -> list[bytes]:
+    """A stream for each payload (bytes, text as UTF-8, or None), padded to a positive multiple of 64 bytes."""
+    got = [padded(v.encode("utf-8") if isinstance(v, str) else v) for v in payloads]
+    return [s for part in _chunks(got, len) for s in encode_batch(got[part])]
+
+
+def pcm_blocks(streams: list[bytes | None]) -> list[list[dict] | None]:
+    """Verified PCM blocks of each stream, in order of their sample offsets."""
+    out: list[list[dict] | None] = [None] * len(streams)
+    some = [i for i, s in enumerate(streams) if s is not None]
+    for part in _chunks(some, lambda i: len(streams[i])):
+        for i, blocks in zip(some[part], decode_batch([streams[i] for i in some[part]]), strict=True):
+            depth = Stream(streams[i]).depth
+            kind = "<i1" if depth <= 8 else "<i2" if depth <= 16 else "<i4"
+            out[i] = [{"sample_offset": s, "byte_offset": b, "n_samples": len(pcm), "pcm": np.ascontiguousarray(pcm).astype(kind).tobytes()} for s, b, pcm in blocks]
+    return out
+
+
 def write_flac(df: DataFrame, payload: str, into: str = "flac") -> DataFrame:
-    """df with a column of FLAC streams of the payloads (binary or string), padded to a positive multiple of 64 bytes."""
+    """df with a column of FLAC streams of the payloads (binary or string)."""
     at = df.columns.index(payload)
 
     def start():
-        def each(batch: pa.RecordBatch) -> list[pa.Array]:
-            got = [padded(v.encode("utf-8") if isinstance(v, str) else v) for v in batch.column(at).to_pylist()]
-            return [pa.array([s for part in _chunks(got, len) for s in encode_batch(got[part])], pa.binary())]
-
-        return each
+        return lambda batch: [pa.array(flac_streams(batch.column(at).to_pylist()), pa.binary())]
 
     return append_arrow(df, T.StructType([T.StructField(free_name(df, into), T.BinaryType())]), start)
 
@@ -522,19 +536,10 @@ def write_flac(df: DataFrame, payload: str, into: str = "flac") -> DataFrame:
 def read_flac(df: DataFrame, flac: str, into: str = "blocks") -> DataFrame:
     """df with a column of PCM blocks: offset in samples, offset in bytes of the stream, samples, little-endian PCM."""
     at = df.columns.index(flac)
+    kind = pa.list_(pa.struct([("sample_offset", pa.int64()), ("byte_offset", pa.int64()), ("n_samples", pa.int32()), ("pcm", pa.binary())]))
 
     def start():
-        def each(batch: pa.RecordBatch) -> list[pa.Array]:
-            streams = batch.column(at).to_pylist()
-            out: list[list[dict] | None] = [None] * len(streams)
-            some = [i for i, s in enumerate(streams) if s is not None]
-            for part in _chunks(some, lambda i: len(streams[i])):
-                for i, blocks in zip(some[part], decode_batch([streams[i] for i in some[part]]), strict=True):
-                    wide = 1 if len(blocks) and Stream(streams[i]).depth <= 8 else 2 if Stream(streams[i]).depth <= 16 else 4
-                    out[i] = [{"sample_offset": s, "byte_offset": b, "n_samples": len(pcm), "pcm": np.ascontiguousarray(pcm).astype(f"<i{wide}").tobytes()} for s, b, pcm in blocks]
-            return [pa.array(out, pa.list_(pa.struct([("sample_offset", pa.int64()), ("byte_offset", pa.int64()), ("n_samples", pa.int32()), ("pcm", pa.binary())])))]
-
-        return each
+        return lambda batch: [pa.array(pcm_blocks(batch.column(at).to_pylist()), kind)]
 
     return append_arrow(df, T.StructType([T.StructField(free_name(df, into), BLOCKS)]), start)
 
@@ -550,20 +555,26 @@ def payload_features(pcm: bytes) -> str:
 
 
 def op1_flac(spark, sf_dir):
-    """Contract query: every text is stored as FLAC, read back through its PCM blocks, and described."""
+    """Contract query: every text is stored as FLAC, read back through its PCM blocks, and described.
+
+    One Python stage writes, reads and digests a slice of rows at a time, so that a task holds few payloads at once.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    back = read_flac(write_flac(docs, "text"), "flac").select("doc_id", F.length(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).cast("long").alias("n_bytes"), "flac", "blocks")
-    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_blocks"]
-    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32()]
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_blocks int"
+    names = [c.split()[0] for c in schema.split(", ")][1:]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32()]
 
-    def digest(batches):
+    def run(batches):
         for batch in batches:
-            rows = []
-            for media, blocks in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                pcm = b"".join(b["pcm"] for b in blocks)
-                payload = pcm.translate(_BACK)
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAD:]), len(media), hashlib.sha256(media).hexdigest(), payload_features(pcm), len(blocks)))
-            cols = zip(*rows, strict=True) if rows else [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(list(c), t) for c, t in zip(cols, types, strict=True))], names=["doc_id", "n_bytes", *names])
-
-    return back.mapInArrow(digest, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_blocks int")
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                texts = [(t or "").encode("utf-8") for t in part.column(1).to_pylist()]
+                streams = flac_streams(texts)
+                rows = []
+                for text, media, blocks in zip(texts, streams, pcm_blocks(streams), strict=True):
+                    pcm = b"".join(b["pcm"] for b in blocks)
+                    payload = pcm.translate(_BACK)
+                    rows.append((len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAD:]), len(media), hashlib.sha256(media).hexdigest(), payload_features(pcm), len(blocks)))
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], names=["doc_id", *names])
+
+    return docs.mapInArrow(run, schema)

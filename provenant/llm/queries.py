@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from provenant.llm.flac import op1_flac
 from provenant.llm.language import op4_language_id
+from provenant.llm.linededup import op8_line_dedup
+from provenant.llm.mixing import OP10_SQL, op10_mixing
 from provenant.llm.quality import op3_quality
 from provenant.llm.setjoin import op9_ngram_jaccard
 from provenant.llm.spotsigs import op6_spotsigs
@@ -17,9 +19,12 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_spotsigs": op6_spotsigs,
     "op7_warc": op7_warc,
+    "op8_line_dedup": op8_line_dedup,
     "op9_ngram_jaccard": op9_ngram_jaccard,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLES: dict[str, str] = {
     "op7_warc": OP7_SQL,
+    "op10_mixing": OP10_SQL,
 }
