@@ -6,6 +6,7 @@ from provenant.llm.flac import op1_flac
 from provenant.llm.language import op4_language_id
 from provenant.llm.linededup import op8_line_dedup
 from provenant.llm.mixing import OP10_SQL, op10_mixing
+from provenant.llm.pieces import op2_sentencepiece
 from provenant.llm.quality import op3_quality
 from provenant.llm.setjoin import op9_ngram_jaccard
 from provenant.llm.spotsigs import op6_spotsigs
@@ -14,6 +15,7 @@ from provenant.llm.warc import OP7_SQL, op7_warc
 
 QUERIES = {
     "op1_flac": op1_flac,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_quality": op3_quality,
     "op4_language_id": op4_language_id,
     "op5_toxicity": op5_toxicity,
