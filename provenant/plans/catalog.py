@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from provenant.plans import discussion, ownership, reports  # noqa: F401  they register their queries
+from provenant.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
