@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding by a relational lattice.
 
-A text is cut where no piece of the vocabulary reaches across: before each run of word marks, and around characters that no longer piece
-holds. Each distinct unit is encoded once: its substrings up to the longest piece are exploded and joined with the
+A text is cut where no piece of the vocabulary reaches across: before each run of word marks, around line ends, and between any two
+characters that no piece has side by side. Each distinct unit is encoded once: its substrings up to the longest piece are exploded and joined with the
 piece table by equality; the edges found are grouped by unit; and a fold with Spark's higher-order aggregate walks the lattice:
 
 - "viterbi" keeps the best path to every position (models of type unigram),
@@ -57,11 +57,25 @@ class Pieces:
         self.text = [p.piece if p.type in (1, 4) else "" for p in m.pieces]
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.lowest = min((s for s, _ in self.by_piece.values()), default=0.0)
+        self.within = {p[i : i + 2] for p in self.by_piece for i in range(len(p) - 1)}
 
     def table(self, spark: SparkSession) -> DataFrame:
         """piece, score, id: as many rows as the vocabulary has."""
         return spark.createDataFrame([(p, float(s), i) for p, (s, i) in self.by_piece.items()], "piece string, score double, id int")
 
+    def cut(self, run: str) -> list[str]:
+        """A run of characters cut between any two that no piece has side by side: no edge crosses there."""
+        out, a = [], 0
+        for i in range(1, len(run)):
+            if run[i - 1 : i + 1] not in self.within:
+                out.append(run[a:i])
+                a = i
+        return [*out, run[a:]]
+
+    def one(self, char: str) -> list[int]:
+        at = self.by_piece.get(char)
+        return [at[1]] if at else self.bytes_of(char)
+
     def bytes_of(self, char: str) -> list[int]:
         """The ids of a character without a piece."""
         return [self.bytes[b] for b in char.encode("utf-8")] if self.bytes else [self.unknown]
@@ -116,43 +130,51 @@ class Pieces:
         return "".join(out).replace(MARK, " ").removeprefix(" ")
 
 
-def units_of(text: str | None) -> list[str]:
-    """A text's units in order, with the mark before it and for each space."""
+def runs_of(text: str | None) -> list[str]:
+    """A text's runs in order, with the mark before it and for each space: marks and what follows up to the next mark or line."""
     return _UNITS.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
-# cuts of a unit by merging: positions that remain, from all of them
+# cuts of a unit by merging: positions that remain, from all of them; done: no neighbours can be joined any more.
+# edge: the map from s * 2^20 + e to (score, id)
 _MERGE = """
-if(len < 2, sequence(0, len), aggregate(sequence(1, len - 1), sequence(0, len), (cuts, step) ->
-  if(size(cuts) < 3, cuts, transform(array(array_max(filter(transform(sequence(1, size(cuts) - 2), k ->
-      struct(try_element_at(score, cuts[k - 1] * 1048576L + cuts[k + 1]) AS s, -k AS k)), x -> x.s IS NOT NULL))), b ->
-    if(b IS NULL, cuts, concat(slice(cuts, 1, -b.k), slice(cuts, 2 - b.k, size(cuts)))))[0])))
+if(len < 2, sequence(0, len), aggregate(sequence(1, len - 1), struct(sequence(0, len) AS cuts, false AS done), (acc, step) ->
+  if(acc.done, acc, transform(array(array_max(transform(sequence(1, size(acc.cuts) - 2), k ->
+      struct(try_element_at(edge, acc.cuts[k - 1] * 1048576L + acc.cuts[k + 1]).sc AS s, -k AS k)))), b ->
+    if(b.s IS NULL, struct(acc.cuts AS cuts, true AS done),
+      struct(concat(slice(acc.cuts, 1, -b.k), slice(acc.cuts, 2 - b.k, size(acc.cuts))) AS cuts, size(acc.cuts) < 4 AS done)))[0]), acc -> acc.cuts))
 """
 # best path to each position, as (score, start); edges lie in order of their end, then their start
 _VITERBI = """
-aggregate(edges, array(struct(0.0D AS sc, 0 AS s)), (best, x) ->
+aggregate(array_sort(concat(found, transform(filter(sequence(0, len - 1), k -> NOT map_contains_key(edge, k * 1048576L + k + 1)), k -> struct(k AS s, k + 1 AS e, {unknown!r}D AS sc, -1 AS id))),
+    (x, y) -> if(x.e <> y.e, x.e - y.e, x.s - y.s)), array(struct(0.0D AS sc, 0 AS s)), (best, x) ->
   if(size(best) = x.e, concat(best, array(struct(best[x.s].sc + x.sc AS sc, x.s AS s))),
     if(best[x.s].sc + x.sc > best[x.e].sc, concat(slice(best, 1, x.e), array(struct(best[x.s].sc + x.sc AS sc, x.s AS s))), best)),
   best -> reverse(aggregate(sequence(1, len), array(len), (cuts, step) -> if(cuts[size(cuts) - 1] = 0, cuts, concat(cuts, array(best[cuts[size(cuts) - 1]].s))))))
 """
+# the map and the cuts are elements of one-element arrays, so that each is made once and not again at every use
+_IDS = """
+transform(array(map_from_entries(transform(found, x -> struct(x.s * 1048576L + x.e, struct(x.sc AS sc, x.id AS id))))), edge ->
+  transform(array({cuts}), cuts -> transform(sequence(1, size(cuts) - 1), k ->
+    coalesce(try_element_at(edge, cuts[k - 1] * 1048576L + cuts[k]).id, -1 - ascii(substring(unit, cuts[k - 1] + 1, 1)))))[0])[0]
+"""
 
 
 def lattice(units: DataFrame, pieces: DataFrame, *, kind: str, longest: int, lowest: float) -> DataFrame:
-    """unit, ids for the distinct units that hold a piece; -1 - c stands for the character c without a piece.
+    """unit, ids for the distinct units; -1 - c stands for the single character c.
 
-    pieces is broadcast: its size is the vocabulary's. The edges of a unit are found and grouped where the unit is.
+    pieces is broadcast: its size is the vocabulary's. Substrings and pieces are equal if their 64-bit hashes and then they themselves
+    are. The edges of a unit are found and grouped where the unit is. Merging needs no edges of one character: those are where it
+    starts, and units without a longer edge have no row.
     """
-    spots = units.select("unit", F.explode(F.expr("sequence(1, length(unit))")).alias("s"))
-    subs = spots.select("unit", "s", F.explode(F.expr(f"sequence(1, least({longest}, length(unit) - s + 1))")).alias("n"))
-    subs = subs.select("unit", F.expr("s - 1").alias("s"), F.expr("s - 1 + n").alias("e"), F.expr("substring(unit, s, n)").alias("piece"))
-    edges = subs.join(F.broadcast(pieces), "piece").groupBy("unit").agg(F.collect_list(F.struct("s", "e", F.col("score").alias("sc"), "id")).alias("found"))
-    edges = edges.withColumn("len", F.length("unit")).withColumn("id_of", F.expr("map_from_entries(transform(found, x -> struct(x.s * 1048576L + x.e, x.id)))"))
-    if kind == "merge":
-        cuts = edges.withColumn("score", F.expr("map_from_entries(transform(found, x -> struct(x.s * 1048576L + x.e, x.sc)))")).withColumn("cuts", F.expr(_MERGE))
-    else:
-        bare = f"transform(filter(sequence(0, len - 1), k -> NOT map_contains_key(id_of, k * 1048576L + k + 1)), k -> struct(k AS s, k + 1 AS e, {lowest - UNKNOWN_PENALTY!r}D AS sc, -1 AS id))"
-        cuts = edges.withColumn("edges", F.expr(f"array_sort(concat(found, {bare}), (x, y) -> if(x.e <> y.e, x.e - y.e, x.s - y.s))")).withColumn("cuts", F.expr(_VITERBI))
-    return cuts.select("unit", F.expr("transform(sequence(1, size(cuts) - 1), k -> coalesce(try_element_at(id_of, cuts[k - 1] * 1048576L + cuts[k]), -1 - ascii(substring(unit, cuts[k - 1] + 1, 1))))").alias("ids"))
+    least = 2 if kind == "merge" else 1
+    spots = units.select("unit", F.explode(F.expr(f"sequence(1, greatest(length(unit) - {least - 1}, 1))")).alias("s"))
+    subs = spots.filter(f"length(unit) >= {least}").select("unit", "s", F.explode(F.expr(f"sequence({least}, least({longest}, length(unit) - s + 1))")).alias("n"))
+    subs = subs.select("unit", F.expr("s - 1").alias("s"), F.expr("s - 1 + n").alias("e"), F.expr("substring(unit, s, n)").alias("sub")).withColumn("h", F.xxhash64("sub"))
+    known = pieces.select(F.xxhash64("piece").alias("h"), "piece", "score", "id").filter(F.length("piece") >= least)
+    edges = subs.join(F.broadcast(known), "h").filter("sub = piece").groupBy("unit").agg(F.collect_list(F.struct("s", "e", F.col("score").alias("sc"), "id")).alias("found"), F.first(F.length("unit")).alias("len"))
+    cuts = _MERGE if kind == "merge" else _VITERBI.format(unknown=lowest - UNKNOWN_PENALTY)
+    return edges.select("unit", F.expr(_IDS.format(cuts=cuts)).alias("ids"))
 
 
 def _chunk_of(batch: pa.RecordBatch, texts: list) -> int:
@@ -172,9 +194,11 @@ def encode(docs: DataFrame, pieces: Pieces, *, text: str = "text", keep: list[st
     def pairs(batches):
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            seen: set[str] = set()
+            runs: set[str] = set()
             for t in texts:
-                seen.update(units_of(t))
+                runs.update(runs_of(t))
+            own = pickle.loads(held.value)
+            seen = {u for r in runs for u in own.cut(r)}
             yield pa.RecordBatch.from_arrays([pa.array([_chunk_of(batch, texts)] * len(seen), pa.int64()), pa.array(sorted(seen), pa.string())], names=["chunk", "unit"])
 
     def packed(batches):
@@ -184,11 +208,11 @@ def encode(docs: DataFrame, pieces: Pieces, *, text: str = "text", keep: list[st
                 out.write_batch(batch)
             yield pa.RecordBatch.from_pydict({"chunk": pa.array([_chunk_of(batch, batch.column(0).to_pylist())], pa.int64()), "data": pa.array([zstd.ZstdCompressor(level=3).compress(sink.getvalue().to_pybytes())], pa.binary())})
 
+    held = docs.sparkSession.sparkContext.broadcast(pickle.dumps(pieces))  # the vocabulary
     looked_up = rows.select("_text").mapInArrow(pairs, "chunk long, unit string")
     coded = lattice(looked_up.select("unit").distinct(), pieces.table(docs.sparkSession), kind=kind, longest=pieces.longest, lowest=pieces.lowest)
     words = looked_up.join(coded, "unit").select("chunk", "unit", "ids")
     texts = rows.mapInArrow(packed, "chunk long, data binary")
-    held = docs.sparkSession.sparkContext.broadcast(pickle.dumps(pieces))  # the vocabulary
 
     fields = ["n_tokens long", "ids_sha256 string", "decoded_sha256 string", "exact boolean"] if digests else ["ids array<int>"]
     out_schema = ", ".join([f"`_{k}` {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(kept)] + fields)
@@ -203,19 +227,23 @@ def encode(docs: DataFrame, pieces: Pieces, *, text: str = "text", keep: list[st
             low = np.minimum.reduceat(np.append(flat, 0), np.minimum(at[:-1], len(flat))) if len(at) > 1 else []
             for u, a, b, least in zip(batch.column("unit").to_pylist(), at[:-1].tolist(), at[1:].tolist(), np.asarray(low).tolist(), strict=True):
                 if least < 0:
-                    ids = [x for i in flat[a:b].tolist() for x in ([i] if i >= 0 else own.bytes_of(chr(-1 - i)))]
+                    ids = [x for i in flat[a:b].tolist() for x in ([i] if i >= 0 else own.one(chr(-1 - i)))]
                     known[u] = np.array(ids, "<i4").tobytes()
                 else:
                     known[u] = raw[4 * a : 4 * b]
-        tables = []
+        tables, coded_runs = [], {}
         for data in right.column("data").to_pylist():
             batch = pa.ipc.open_stream(zstd.ZstdDecompressor().decompress(data)).read_all().to_batches()[0]
             coded_texts = []
             for t in batch.column(0).to_pylist():
-                units = units_of(t)
-                for u in set(units).difference(known):
-                    known[u] = np.array(own.encode_unit(u, kind), "<i4").tobytes()
-                coded_texts.append(b"".join(map(known.__getitem__, units)))
+                runs = runs_of(t)
+                for r in set(runs).difference(coded_runs):
+                    units = own.cut(r)
+                    for u in units:
+                        if u not in known:
+                            known[u] = np.array(own.encode_unit(u, kind), "<i4").tobytes()
+                    coded_runs[r] = b"".join(map(known.__getitem__, units))
+                coded_texts.append(b"".join(map(coded_runs.__getitem__, runs)))
             if digests:
                 back = [own.decode(np.frombuffer(c, "<i4").tolist()) for c in coded_texts]
                 cols = [pa.array([len(c) // 4 for c in coded_texts], pa.int64()), pa.array([hashlib.sha256(c).hexdigest() for c in coded_texts]), pa.array([hashlib.sha256(b.encode("utf-8")).hexdigest() for b in back]), pa.array([b == (t or "") for b, t in zip(back, batch.column(0).to_pylist(), strict=True)])]
