@@ -11,13 +11,14 @@ Characters without a piece become byte pieces. Units of a batch of documents (a
 chunk: (chunk, unit) pairs are joined with the encoded units and grouped with the chunk's texts, which travel compressed.
 
 Defined cases: null or empty text has no ids, and decodes to the empty string. Decoding is the exact inverse for every
-text that doesn't hold the word mark itself. Repeated rows are encoded alike. A unit that the lattice lacks (none of its characters
-has a piece, or a chunk was cut otherwise the second time) is folded in Python by the same rule.
+text that doesn't hold the word mark itself. Repeated rows are encoded alike. A unit that the lattice lacks (it has more than
+LONGEST_UNIT characters or no edge, or a chunk was cut otherwise the second time) is folded in Python by the same rule.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import pickle
 import re
 
@@ -37,6 +38,8 @@ MARK = "▁"
 _UNITS = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 #: Added to the lowest score for a character without a piece, as the library's unigram engine does.
 UNKNOWN_PENALTY = 10.0
+#: Longer units are folded in Python: the fold over arrays takes the cube of a unit's length.
+LONGEST_UNIT = 48
 
 
 class Pieces:
@@ -90,13 +93,25 @@ class Pieces:
         return out
 
     def _merged(self, unit: str) -> list[int]:
-        cuts = list(range(len(unit) + 1))
-        while len(cuts) > 2:
-            best = max(((at[0], -k) for k in range(1, len(cuts) - 1) if (at := self.by_piece.get(unit[cuts[k - 1] : cuts[k + 1]]))), default=None)
-            if best is None:
-                break
-            del cuts[-best[1]]
-        return cuts
+        """Positions that remain; a heap of joinable neighbours keeps long units cheap."""
+        n = len(unit)
+        after, before, alive, heap = list(range(1, n + 1)), list(range(-1, n)), [True] * n, []
+
+        def offer(i: int) -> None:
+            k = after[i]
+            if k < n and after[k] - i <= self.longest and (at := self.by_piece.get(unit[i : after[k]])):
+                heapq.heappush(heap, (-at[0], i, k, after[k]))
+
+        for i in range(n):
+            offer(i)
+        while heap:
+            _, i, k, e = heapq.heappop(heap)
+            if alive[i] and after[i] == k and alive[k] and after[k] == e:
+                after[i], alive[k], before[e] = e, False, i
+                if before[i] >= 0:
+                    offer(before[i])
+                offer(i)
+        return [i for i in range(n) if alive[i]] + [n]
 
     def _best_path(self, unit: str) -> list[int]:
         best: list[tuple[float, int]] = [(0.0, 0)]
@@ -168,7 +183,7 @@ def lattice(units: DataFrame, pieces: DataFrame, *, kind: str, longest: int, low
     starts, and units without a longer edge have no row.
     """
     least = 2 if kind == "merge" else 1
-    spots = units.select("unit", F.explode(F.expr(f"sequence(1, greatest(length(unit) - {least - 1}, 1))")).alias("s"))
+    spots = units.filter(F.length("unit") <= LONGEST_UNIT).select("unit", F.explode(F.expr(f"sequence(1, greatest(length(unit) - {least - 1}, 1))")).alias("s"))
     subs = spots.filter(f"length(unit) >= {least}").select("unit", "s", F.explode(F.expr(f"sequence({least}, least({longest}, length(unit) - s + 1))")).alias("n"))
     subs = subs.select("unit", F.expr("s - 1").alias("s"), F.expr("s - 1 + n").alias("e"), F.expr("substring(unit, s, n)").alias("sub")).withColumn("h", F.xxhash64("sub"))
     known = pieces.select(F.xxhash64("piece").alias("h"), "piece", "score", "id").filter(F.length("piece") >= least)
