@@ -101,8 +101,8 @@ def repeated_runs(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text"
 
     prints = stored(rows.mapInArrow(scan, "h long, i long, row long, line int, n int, before array<long>, after array<long>"), "fingerprints")
     many = stored(prints.groupBy("h").agg(F.min(F.struct("i", "row", "line")).alias("f"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("h", F.col("f.i").alias("i0"), F.col("f.row").alias("row0"), F.col("f.line").alias("line0")), "first")
-    first = prints.join(many, "h").filter("i <=> i0 and row = row0 and line = line0").select("h", "row0", "line0", F.col("before").alias("before0"), F.col("after").alias("after0")).dropDuplicates(["h"])
-    pairs = prints.join(stored(first, "first"), "h").filter("row <> row0 or line <> line0").select("row", "line", "n", "before", "after", "row0", "line0", "before0", "after0")
+    first = prints.join(many.hint("merge"), "h").filter("i <=> i0 and row = row0 and line = line0").select("h", "row0", "line0", F.col("before").alias("before0"), F.col("after").alias("after0")).dropDuplicates(["h"])
+    pairs = prints.join(stored(first, "first").hint("merge"), "h").filter("row <> row0 or line <> line0").select("row", "line", "n", "before", "after", "row0", "line0", "before0", "after0")
 
     def extend(batches):
         for batch in batches:
@@ -127,7 +127,8 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text",
     runs = stored(repeated_runs(docs, id_col=id_col, text=text, gram=gram, window=window), "runs")
     key, mine = free_name(docs, "row_key"), free_name(docs, "runs_of_row")
     names = [free_name(docs, c) for c in ("clean_text", "n_lines", "n_removed")]
-    joined = docs.withColumn(key, F.xxhash64(id_col, text)).join(runs.select(F.col("row").alias(key), F.col("runs").alias(mine)), key, "left").select(*docs.columns, mine)
+    # both sides are dealt by key at every size: runs grow with the documents
+    joined = docs.withColumn(key, F.xxhash64(id_col, text)).join(runs.select(F.col("row").alias(key), F.col("runs").alias(mine)).hint("merge"), key, "left").select(*docs.columns, mine)
     at, all_names = docs.columns.index(text), [*docs.columns, *names]
 
     def run(batches):
