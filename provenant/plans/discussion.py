@@ -115,7 +115,8 @@ def issue_reference_extraction(spark, sf):
 @query("""
 WITH f AS (SELECT p_partkey AS issue, concat('src/', lower(p_type), '/', replace(p_name, ' ', '_'), '.py') AS path, concat(replace(p_name, ' ', '_'), '.py') AS name FROM part),
 u AS (SELECT DISTINCT path, name FROM f),
-m AS (SELECT issue, path AS mention FROM f WHERE issue % 2 = 0 UNION ALL SELECT issue, name FROM f WHERE issue % 2 = 1),
+m AS (SELECT issue, path AS mention FROM f WHERE issue % 2 = 0 UNION ALL SELECT issue, name FROM f WHERE issue % 2 = 1
+  UNION ALL SELECT issue, substr(name, 2) FROM f WHERE issue % 2 = 0), -- within a path the file-name pattern starts at the second letter
 b AS (SELECT name, min(path) AS path FROM u GROUP BY name HAVING count(*) = 1)
 SELECT issue, path, how FROM (SELECT issue, mention AS path, 'exact' AS how FROM m WHERE mention IN (SELECT path FROM u)
   UNION SELECT issue, b.path, 'basename' FROM m JOIN b ON m.mention = b.name)""")
