@@ -150,14 +150,18 @@ def runs_of(text: str | None) -> list[str]:
     return _UNITS.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
-# cuts of a unit by merging: positions that remain, from all of them; done: no neighbours can be joined any more.
-# edge: the map from s * 2^20 + e to (score, id)
+# cuts of a unit by merging: positions that remain, from all of them; sc: for each inner cut the score of joining what it parts,
+# of which a step renews just the two beside the cut that goes. edge: the map from s * 2^20 + e to (score, id)
 _MERGE = """
-if(len < 2, sequence(0, len), aggregate(sequence(1, len - 1), struct(sequence(0, len) AS cuts, false AS done), (acc, step) ->
-  if(acc.done, acc, transform(array(array_max(transform(sequence(1, size(acc.cuts) - 2), k ->
-      struct(try_element_at(edge, acc.cuts[k - 1] * 1048576L + acc.cuts[k + 1]).sc AS s, -k AS k)))), b ->
-    if(b.s IS NULL, struct(acc.cuts AS cuts, true AS done),
-      struct(concat(slice(acc.cuts, 1, -b.k), slice(acc.cuts, 2 - b.k, size(acc.cuts))) AS cuts, size(acc.cuts) < 4 AS done)))[0]), acc -> acc.cuts))
+if(len < 2, sequence(0, len), aggregate(sequence(1, len - 1),
+  struct(sequence(0, len) AS cuts, transform(sequence(1, len - 1), k -> coalesce(try_element_at(edge, (k - 1) * 1048576L + k + 1).sc, -1e300D)) AS sc), (acc, step) ->
+  transform(array(coalesce(array_max(acc.sc), -1e300D)), top -> if(top <= -1e300D, acc,
+    transform(array(int(array_position(acc.sc, top))), p -> struct(
+      concat(slice(acc.cuts, 1, p), slice(acc.cuts, p + 2, size(acc.cuts))) AS cuts,
+      concat(slice(acc.sc, 1, greatest(p - 2, 0)),
+        if(p >= 2, array(coalesce(try_element_at(edge, acc.cuts[p - 2] * 1048576L + acc.cuts[p + 1]).sc, -1e300D)), cast(array() AS array<double>)),
+        if(p < size(acc.sc), array(coalesce(try_element_at(edge, acc.cuts[p - 1] * 1048576L + acc.cuts[p + 2]).sc, -1e300D)), cast(array() AS array<double>)),
+        slice(acc.sc, p + 2, size(acc.sc))) AS sc))[0]))[0], acc -> acc.cuts))
 """
 # best path to each position, as (score, start); edges lie in order of their end, then their start
 _VITERBI = """
