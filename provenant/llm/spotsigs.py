@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from provenant.llm.common import append_arrow, free_name, table
+from provenant.llm.common import append_arrow, free_name, stored, table
+from provenant.llm.setjoin import class_of, link_classes, with_components
 
 CHAIN = 2
 #: Common words of English, German, French and Spanish that open spots.
@@ -115,6 +116,25 @@ def with_next(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", ro
     return placed.repartition(n, "bucket").sortWithinPartitions("bucket", "ahead", F.col("i").desc_nulls_last(), "t")
 
 
+def near_duplicates(docs: DataFrame, *, num: int = 80, den: int = 100, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_signatures, component_id: documents linked where the Jaccard similarity of their signatures is num / den or more.
+
+    Sets are partitioned by length, and only sets of the same or the next partition that share a rare signature are compared;
+    equal sets are one class. A document without signatures links with nothing.
+    """
+
+    def run(batches):
+        for batch in batches:
+            sets = [signatures(t).astype(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([class_of(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["i", "n", "cls", "toks"])
+
+    rows = stored(docs.select(F.col(id_col).cast("long").alias("i"), F.col(text).alias("t")).mapInArrow(run, "i long, n int, cls long, toks array<long>"), "signatures")
+    members = rows.select("i", "n", "cls")
+    classes = stored(members.filter("n > 0").groupBy("cls").agg(F.min("i").alias("rep"), F.min("n").alias("n")), "classes")
+    sets = stored(rows.filter("n > 0").select("cls", "n", "toks").dropDuplicates(["cls"]), "sets")
+    return with_components(members, classes, link_classes(sets, num, den, by_length=True)).withColumnRenamed("n_shingles", "n_signatures")
+
+
 def edited(text: str, after: str) -> str:
     """The text with its last floor(n/2) code points replaced by the first as many (or all) of another."""
     half = len(text) // 2
