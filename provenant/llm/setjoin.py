@@ -12,8 +12,8 @@ other's tokens among its first n - ceil(n * num / den) + 1 (its prefix). The joi
    share none under the second or third are dropped before the sets are compared.
 4. In a group of classes that hold the same prefix token, the class with the fewest own tokens leads and is
    compared with all others. Classes that it links are one component and need no links among
-   themselves. After LEADER_ROUNDS, groups that still span components compare just their pairs across
-   components, each pair once, so a group of near copies isn't expanded into all pairs and no link between components is lost.
+   themselves. After LEADER_ROUNDS, groups whose classes (those removed with a leader too) still span components compare just their
+   pairs across components, so a group of near copies isn't expanded into all pairs and no link between components is lost.
 
 Defined cases: words are maximal runs of bytes other than ASCII white space, with A-Z lower-cased. Fewer words than a
 shingle are one shingle; null or blank text has the empty set and links with nothing. Repeated rows are members of
@@ -158,10 +158,14 @@ def link_classes(sets: DataFrame, num: int, den: int, by_length: bool = False) -
         at = left.join(comp, left.cls == comp.v, "left").select("tok", "cls", "n", "own", F.coalesce("c", "cls").alias("c"))
         led = lead.join(comp, lead.b == comp.v, "left").select(F.col("tok").alias("lead_tok"), F.col("b").alias("lead"), F.coalesce("c", "b").alias("lead_c"))
         left = stored(at.join(led, at.tok == led.lead_tok).filter("cls <> lead and c <> lead_c").select("tok", "cls", "n", "own"), "left")
-    # what is left of a group is compared with all of the group that is in another component
+    # each group that spans components compares its classes outside its largest component with all of it that is in another one:
+    # every pair across components has such a class, so none is left out, and a group of near copies isn't squared
     c = comp.select(F.col("v").alias("cls"), "c")
-    side = lambda rows, p: rows.join(nodes.select("cls", "p1", "p2"), "cls").join(c, "cls", "left").select(F.col("tok").alias(f"{p}tok"), F.col("cls").alias(f"{p}cls"), F.col("n").alias(f"{p}n"), F.col("own").alias(f"{p}own"), F.col("p1").alias(f"{p}p1"), F.col("p2").alias(f"{p}p2"), F.coalesce("c", "cls").alias(f"{p}c"))
-    x, y = stored(side(left, "x_"), "left"), stored(side(entries.join(left.select("tok").distinct(), "tok", "left_semi"), "y_"), "group")
+    placed = stored(entries.join(c, "cls", "left").withColumn("c", F.coalesce("c", "cls")), "placed")
+    spans = placed.groupBy("tok", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("tok").agg(F.max(F.struct("k", "c")).alias("top"), F.count(F.lit(1)).alias("cs")).filter("cs > 1").select("tok", F.col("top.c").alias("top_c"))
+    group = stored(placed.join(spans, "tok"), "spans")
+    side = lambda rows, p: rows.join(nodes.select("cls", "p1", "p2"), "cls").select(*(F.col(c).alias(f"{p}{c}") for c in ("tok", "cls", "n", "own", "p1", "p2", "c")))
+    x, y = stored(side(group.filter("c <> top_c"), "x_"), "outside"), stored(side(group, "y_"), "group")
     pairs = x.join(y, (F.col("x_tok") == F.col("y_tok")) & (F.col("x_c") != F.col("y_c")) & possible("x_", "y_") & (F.array_intersect("x_p1", "y_p1")[0] == F.col("x_tok")) & F.arrays_overlap("x_p2", "y_p2"))
     pairs = pairs.select(F.least("x_cls", "y_cls").alias("a"), F.greatest("x_cls", "y_cls").alias("b")).distinct()
     return stored(links.union(verified(stored(pairs, "pairs"))), "links")

@@ -366,6 +366,16 @@ def test_jaccard_components(spark, size, num):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, (_, c) in got.items() if i == c}
 
 
+def test_jaccard_links_classes_removed_with_a_leader(spark):
+    words = lambda name, n: [f"{name}{i}" for i in range(n)]
+    s, q = words("s", 900), words("q", 60)
+    # 1 leads and takes 2 out of every group, so 3, which only 2 links to, is alone in what is left; 4 and 5 share 1's other words
+    sets = {1: s + q, 2: s + words("p", 30), 3: s + words("t", 60), 4: q + words("r", 900), 5: [*q, *words("r", 900), "more"]}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in sets.items()], SCHEMA)
+    got = {r["doc_id"]: r["component_id"] for r in setjoin.jaccard_components(df, size=1, num=90, den=100).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4} == {i: c for i, (_, c) in brute_components(list(df.collect()), 1, 90, 100).items()}
+
+
 def test_components_of_chains(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101)], "a long, b long")
     got = dict(rows_of(components(links), "v", "c"))
