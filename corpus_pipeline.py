@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows of its predecessor. Language ID drops documents that it
 rejects; line dedup deletes later copies of repeated runs of lines; the Jaccard join (five words, 0.8) keeps one
-document of each group; mixing puts the rows in the order of the target weights; the last stage encodes the texts.
+document of each group; mixing puts the rows in the order of the target weights and gives each its position in it, a column that the last stage keeps;
+the last stage encodes the texts, whose chunks have no order of their own.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ def ngram_jaccard(spark, docs, sf_dir):
 
 
 def mix_sources(spark, docs, sf_dir):
-    return mixing.in_mixed_order(docs)
+    return mixing.with_position(docs)
 
 
 def sentencepiece(spark, docs, sf_dir):

@@ -83,6 +83,12 @@ def in_mixed_order(docs: DataFrame, weights: dict[str, int] | None = None, **how
     return got.orderBy(got.columns[-1]).select(*docs.columns)
 
 
+def with_position(docs: DataFrame, weights: dict[str, int] | None = None, **how) -> DataFrame:
+    """Pipeline stage: the rows of docs in the order of the mixture, with their position in it, which later stages carry on."""
+    got = mix(docs, target_weights() if weights is None else weights, **how)
+    return got.orderBy(got.columns[-1]).select(*docs.columns, got.columns[-1])
+
+
 def op10_mixing(spark, sf_dir):
     """Every document's source, block, slot and position in the mixture."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")

@@ -444,6 +444,23 @@ def test_pipeline(spark):
     assert all(r["ids"] == sp.encode(text[r["doc_id"]]) for r in got)
 
 
+def test_pipeline_rows_follow_the_mixture(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    rows = [(i, f"some words {i}", f"src{i % 2}") for i in range(200)] + [(7, "some words 7", "src1"), (None, "no id", "src0")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[-2:])
+    at = []
+    for weights in ({"src0": 3, "src1": 1}, {"src0": 1, "src1": 3}):
+        monkeypatch.setattr(mixing, "target_weights", lambda w=weights: w)
+        got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+        assert sorted(r["source"] for r in got) == sorted(r[2] for r in rows)
+        want = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights)
+        assert sorted((r["position"], str(r["doc_id"])) for r in got) == sorted((r["position"], str(r["doc_id"])) for r in want.collect())
+        at.append([r["source"] for r in sorted(got, key=lambda r: r["position"])])
+    assert at[0][:64].count("src0") == 48 and at[1][:64].count("src1") == 48
+
+
 @pytest.mark.parametrize("name", ["op7_warc", "op10_mixing"])
 def test_queries_equal_their_sql(spark, name):
     import duckdb
