@@ -53,7 +53,7 @@ def features(text: str | None, known: dict[str, tuple[int, int]]) -> tuple[np.nd
     norm = 0.0
     for w, n in count.items():
         if (at := known.get(w)) is None:
-            at = _bin("w " + w.lower()[:32]), _bin("s " + shape_of(w[:64]))
+            at = _bin("w " + w.lower()), _bin("s " + shape_of(w))
             if len(known) < 400_000:
                 known[w] = at
         x = 1 + np.log(n) if n > 1 else 1.0

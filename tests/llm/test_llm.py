@@ -146,6 +146,12 @@ def test_quality_orders_grades(spark):
     assert np.allclose(quality.fit_examples([], 3).tails(*quality.features("x", known)), [2 / 3, 1 / 3])
 
 
+def test_quality_reads_whole_words():
+    bins = lambda t: set(quality.features(t, {})[0].tolist())
+    assert bins("x" * 32 + "good") != bins("x" * 32 + "trash")
+    assert quality._bin("s " + quality.shape_of("a" * 64 + "9.")) in bins("a" * 64 + "9.") - bins("a" * 64)
+
+
 def test_quality_query(spark):
     got = {r["doc_id"]: r for r in quality.op3_quality(spark, "/root/testdata/sf0.01").collect()}
     labels = [r for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect() if got[r["doc_id"]]["held_out"]]
