@@ -16,20 +16,35 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one if unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Without one, an own folder where all run on one machine, else an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return _OWN.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="provenant-"))
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write a table to the shared folder and read it back: a lineage cut that outlives executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def slices(batch: pa.RecordBatch, rows: int = 1024, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most so many rows and, if its rows are alike, bytes: what Python holds of it at once."""
+    step = max(1, min(rows, batch.num_rows * size // max(1, batch.nbytes)))
+    for lo in range(0, batch.num_rows, step):
+        yield batch.slice(lo, step)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to all cores where its files give fewer parts than cores, for a Python stage that follows; else as it is."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -40,13 +55,14 @@ def crc_mod(col: str, n: int) -> Column:
 
 
 def append_arrow(df: DataFrame, fields: T.StructType, fn: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]]) -> DataFrame:
-    """df with further columns, computed by Arrow batch. fn is called once per task and returns the function of a batch."""
+    """df with further columns, computed by parts of Arrow batches. fn is called once per task and returns the function of a part."""
     names = df.columns + fields.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = fn()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, *each(batch)], names=names)
+            for part in slices(batch):
+                yield pa.RecordBatch.from_arrays([*part.columns, *each(part)], names=names)
 
     return df.mapInArrow(run, T.StructType(df.schema.fields + fields.fields))
 

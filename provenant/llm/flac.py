@@ -4,11 +4,14 @@ The writer cuts a column of byte payloads into mono 8-bit frames (sample = byte
 the better of the fixed predictors of order 0 to 2 and a quantised linear predictor, codes residuals with
 Rice codes, and adds a seek point for every frame. The reader checks the header and frame checksums and the MD5 of
 all samples, decodes Rice partitions and predictors of any order, and yields PCM blocks with their sample offsets.
+Where a stream's seek points leave frames out, they are found by their sync codes and both checksums.
 Frames of a batch are decoded in step: one numpy operation handles the same residual of every frame.
 
 Defined cases: null payloads count as empty; a payload is padded with zero bytes to a positive multiple of 64,
-so an empty one is 64 zero samples (a constant subframe). A damaged stream raises ValueError, or gives null blocks
-where asked. Equal payloads give equal streams.
+so an empty one is 64 zero samples (a constant subframe). A very long payload is many frames, of which IN_STEP are held at once.
+A damaged stream raises ValueError, or gives null blocks with on_error="null". Null streams give null blocks. Equal payloads
+give equal streams, so repeated rows and ties do too. New columns get underscores before names that the table has.
+An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from provenant.llm.common import append_arrow, free_name, table
+from provenant.llm.common import append_arrow, free_name, spread, stored, table
 
 BLOCK = 4096
 ORDER = 4
@@ -49,6 +52,7 @@ def _crc_table(width: int, poly: int) -> np.ndarray:
 
 _CRC8 = _crc_table(8, 0x07).tolist()
 _CRC16 = _crc_table(16, 0x8005).astype(np.uint16)
+_CRC16_LIST = _CRC16.tolist()
 
 
 def crc8(data: bytes) -> int:
@@ -70,6 +74,14 @@ def crc16_each(parts: list[bytes]) -> np.ndarray:
     return crc
 
 
+def _crc16_on(crc: int, data: bytes) -> int:
+    """CRC-16 carried on over further bytes."""
+    table = _CRC16_LIST
+    for b in data:
+        crc = (crc << 8 & 0xFFFF) ^ table[crc >> 8 ^ b]
+    return crc
+
+
 def _coded_number(n: int) -> bytes:
     """A frame number in the format's extended UTF-8."""
     if n < 0x80:
@@ -386,11 +398,15 @@ def _parse_header(f: bytes, depth: int) -> tuple[int, int, int, int, int, int]:
     if size in (6, 7):
         n = int.from_bytes(f[at : at + size - 5], "big") + 1
         at += size - 5
-    else:
+    elif size in _BLOCK_SIZES:
         n = _BLOCK_SIZES[size]
+    else:
+        raise ValueError("a reserved block size")
     at += {12: 1, 13: 2, 14: 2}.get(rate, 0)
-    if crc8(f[:at]) != f[at]:
+    if at >= len(f) or crc8(f[:at]) != f[at]:
         raise ValueError("a frame header fails its checksum")
+    if chan > 10 or rate == 15 or bps == 3:
+        raise ValueError("a reserved value in a frame header")
     return n, 2 if chan >= 8 else chan + 1, chan, _DEPTHS.get(bps, depth), number, at + 1
 
 
@@ -447,12 +463,39 @@ class Stream:
         self.first = at
 
     def frames(self) -> list[tuple[int, int, int]]:
-        """(sample offset, byte offset in the data, bytes) of every frame, by seek points that cover all samples."""
+        """(sample offset, byte offset in the data, bytes) of every frame: by seek points, if they cover all samples, else by a scan."""
         if not self.seek or self.seek[0][:2] != (0, 0) or any(a[0] + a[2] != b[0] for a, b in zip(self.seek, self.seek[1:], strict=False)) or self.seek[-1][0] + self.seek[-1][2] != self.samples:
-            raise ValueError("the seek points don't cover every frame")
+            return self._scanned()
         starts = [self.first + p[1] for p in self.seek] + [len(self.data)]
         return [(p[0], a, b - a) for p, a, b in zip(self.seek, starts, starts[1:], strict=False)]
 
+    def _scanned(self) -> list[tuple[int, int, int]]:
+        """Frames by sync codes whose header passes its checksum; a frame ends where its own checksum comes out right before the next one."""
+        d = np.frombuffer(self.data, np.uint8)
+        sync = np.flatnonzero((d[:-1] == 0xFF) & (d[1:] & 0xFE == 0xF8))
+        heads: dict[int, int] = {}
+        for p in sync[sync >= self.first].tolist():
+            try:
+                heads[p] = _parse_header(self.data[p : p + 16], self.depth)[0]
+            except ValueError:
+                pass
+        out, at, sample = [], self.first, 0
+        while at < len(self.data):
+            if at not in heads:
+                raise ValueError("no frame begins where the one before ends")
+            # the checksum of a whole frame with its own two bytes is 0
+            crc, lo = 0, at
+            for end in [*(p for p in heads if p > at), len(self.data)]:
+                crc = _crc16_on(crc, self.data[lo:end])
+                lo = end
+                if crc == 0:
+                    break
+            else:
+                raise ValueError("a frame fails its checksum")
+            out.append((sample, at, end - at))
+            sample, at = sample + heads[at], end
+        return out
+
 
 def decode_batch(streams: list[bytes]) -> list[list[tuple[int, int, np.ndarray]]]:
     """PCM blocks (sample offset, byte offset, samples x channels) of each stream; checksums and MD5 are verified."""
@@ -511,12 +554,23 @@ def flac_streams(payloads: list) -> list[bytes]:
     return [s for part in _chunks(got, len) for s in encode_batch(got[part])]
 
 
-def pcm_blocks(streams: list[bytes | None]) -> list[list[dict] | None]:
-    """Verified PCM blocks of each stream, in order of their sample offsets."""
+def pcm_blocks(streams: list[bytes | None], on_error: str = "raise") -> list[list[dict] | None]:
+    """Verified PCM blocks of each stream, in order of their sample offsets. on_error="null": a damaged stream has none."""
     out: list[list[dict] | None] = [None] * len(streams)
     some = [i for i, s in enumerate(streams) if s is not None]
+
+    def decoded(part: list[int]) -> Iterator[tuple[int, list]]:
+        try:
+            yield from zip(part, decode_batch([streams[i] for i in part]), strict=True)
+        except (ValueError, struct.error, IndexError):
+            if on_error != "null":
+                raise
+            if len(part) > 1:
+                for i in part:
+                    yield from decoded([i])
+
     for part in _chunks(some, lambda i: len(streams[i])):
-        for i, blocks in zip(some[part], decode_batch([streams[i] for i in some[part]]), strict=True):
+        for i, blocks in decoded(some[part]):
             depth = Stream(streams[i]).depth
             kind = "<i1" if depth <= 8 else "<i2" if depth <= 16 else "<i4"
             out[i] = [{"sample_offset": s, "byte_offset": b, "n_samples": len(pcm), "pcm": np.ascontiguousarray(pcm).astype(kind).tobytes()} for s, b, pcm in blocks]
@@ -533,13 +587,13 @@ def write_flac(df: DataFrame, payload: str, into: str = "flac") -> DataFrame:
     return append_arrow(df, T.StructType([T.StructField(free_name(df, into), T.BinaryType())]), start)
 
 
-def read_flac(df: DataFrame, flac: str, into: str = "blocks") -> DataFrame:
+def read_flac(df: DataFrame, flac: str, into: str = "blocks", on_error: str = "raise") -> DataFrame:
     """df with a column of PCM blocks: offset in samples, offset in bytes of the stream, samples, little-endian PCM."""
     at = df.columns.index(flac)
     kind = pa.list_(pa.struct([("sample_offset", pa.int64()), ("byte_offset", pa.int64()), ("n_samples", pa.int32()), ("pcm", pa.binary())]))
 
     def start():
-        return lambda batch: [pa.array(pcm_blocks(batch.column(at).to_pylist()), kind)]
+        return lambda batch: [pa.array(pcm_blocks(batch.column(at).to_pylist(), on_error), kind)]
 
     return append_arrow(df, T.StructType([T.StructField(free_name(df, into), BLOCKS)]), start)
 
@@ -554,27 +608,37 @@ def payload_features(pcm: bytes) -> str:
     return f"mean={x.mean():.4f};power={np.mean(x * x):.3f};crossings={int((up[1:] != up[:-1]).sum())};levels={len(np.unique(x >> 4))}"
 
 
+def stored_payloads(df: DataFrame, payload: str, name: str = "flac") -> DataFrame:
+    """df with its payload column written as FLAC into a stored table, in its place n_bytes and media."""
+    kept = [c for c in df.columns if c != payload]
+    size, media = (free_name(df.drop(payload), c) for c in ("n_bytes", "media"))
+    coded = write_flac(df, payload, media)
+    return stored(coded.select(*kept, F.octet_length(F.coalesce(F.col(payload), F.lit(""))).cast("long").alias(size), F.col(coded.columns[-1]).alias(media)), name, "zstd")
+
+
+DIGESTS = T.StructType([T.StructField(n, t) for n, t in (("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType()), ("n_blocks", T.IntegerType()))])
+
+
+def read_digests(df: DataFrame, media: str) -> DataFrame:
+    """df with digests and features of the 8-bit payload that each stream decodes to."""
+    at = df.columns.index(media)
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32()]
+
+    def start():
+        def each(batch: pa.RecordBatch) -> list[pa.Array]:
+            streams, rows = batch.column(at).to_pylist(), []
+            for stream, blocks in zip(streams, pcm_blocks(streams), strict=True):
+                pcm = b"".join(b["pcm"] for b in blocks)
+                payload = pcm.translate(_BACK)
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAD:]), len(stream), hashlib.sha256(stream).hexdigest(), payload_features(pcm), len(blocks)))
+            return [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+
+        return each
+
+    return append_arrow(df, T.StructType([T.StructField(free_name(df, f.name), f.dataType) for f in DIGESTS]), start)
+
+
 def op1_flac(spark, sf_dir):
-    """Contract query: every text is stored as FLAC, read back through its PCM blocks, and described.
-
-    One Python stage writes, reads and digests a slice of rows at a time, so that a task holds few payloads at once.
-    """
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_blocks int"
-    names = [c.split()[0] for c in schema.split(", ")][1:]
-    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32()]
-
-    def run(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                texts = [(t or "").encode("utf-8") for t in part.column(1).to_pylist()]
-                streams = flac_streams(texts)
-                rows = []
-                for text, media, blocks in zip(texts, streams, pcm_blocks(streams), strict=True):
-                    pcm = b"".join(b["pcm"] for b in blocks)
-                    payload = pcm.translate(_BACK)
-                    rows.append((len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAD:]), len(media), hashlib.sha256(media).hexdigest(), payload_features(pcm), len(blocks)))
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], names=["doc_id", *names])
-
-    return docs.mapInArrow(run, schema)
+    """Contract query: every text is written as FLAC to a stored table, which is read back through its PCM blocks and described."""
+    media = stored_payloads(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "text")
+    return read_digests(media, "media").drop("media")
