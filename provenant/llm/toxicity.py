@@ -1,18 +1,22 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Terms are lower-cased words and their prefixes of 4 to 6 characters. From a bounded sample of labelled
-rows the terms that tell the two labels apart best (by log-likelihood ratio) are the vocabulary; a text's
-vector is (1 + log tf) * idf over it, scaled to unit length. The labelled vectors form a block-max
-inverted index: posting lists are cut into blocks of examples, and each term keeps its largest weight in
-each block. A query bounds each block by the sum of query weight times block maximum, and takes
-blocks in descending order of that bound until none can beat the k-th best cosine: the neighbours are exact.
-
-The score is the distance-weighted vote of the k nearest examples, calibrated by isotonic regression
-on the votes of a third of the examples, which takes no part in choosing terms and never votes for itself. A text without a vocabulary term is at the same distance from
-every example; its score is the share of label 1 among examples that have no such term either.
-
-Defined cases: null or empty text counts as a text without terms. Ties in cosine go to the example first in
-index order. Repeated label rows of a document count once, the largest label holding. With no labelled row every score is 0.
+Terms are lower-cased words and the first STEM letters of longer ones, hashed into BINS bins. A text's vector is
+(1 + log tf) * idf * relation over its bins, scaled to unit length. Inverse document frequencies count all documents. The relation
+of a bin to the label is a weight from FLOOR to 1 by the log-likelihood ratio of its counts in the two labels: it lets
+a few telling words count beside many others, and drops none.
+
+The vectors of a bounded sample of labelled rows form a block-max inverted index: posting lists by bin, cut into blocks of examples,
+with the largest weight of each bin in each block. A query bounds each block by the sum of query weight times block
+maximum, and reads the postings of blocks in descending order of that bound until none can beat the k-th best cosine: the
+neighbours are exact. Like examples share blocks.
+
+The score is the vote of the k nearest examples, each weighing 1 / (NEAR + distance), calibrated by isotonic regression
+on rows of the sample that took no part in the relation and are not in the index, weighted to the labels' shares among all labelled rows.
+
+Defined cases: null or empty text, and text without a word, has no vector; its score is the share of label 1. So is that of a text without
+any neighbour. Ties in cosine go to the example first in index order. Equal texts have equal scores. Repeated label rows of a document
+count once, the largest label holding. With no labelled row every score is 0. Very long texts are one vector like others. New
+columns get underscores before names that the table has. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -24,15 +28,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from provenant.llm.common import append_arrow, crc_mod, free_name, sampled_by_hash, table
-
-#: Upper bound of the labelled sample, for each label.
-SAMPLE_PER_LABEL = 3000
-VOCABULARY = 512
+from provenant.llm.common import append_arrow, crc_mod, free_name, sampled_by_hash, slices, spread, table
+
+#: Upper bounds, for each label, of the labelled sample and of the examples in the index.
+SAMPLE_PER_LABEL, EXAMPLES_PER_LABEL = 3000, 1200
+BINS = 1 << 20
+STEM = 5
+#: Weight of a bin that has no relation to the label.
+FLOOR = 0.05
+#: A log-likelihood ratio up to the first is chance among the bins of a corpus; from the second on it is none at all.
+CHANCE, CERTAIN = 6.0, 16.0
+#: Distance at which a neighbour weighs half of what a copy does.
+NEAR = 0.05
 NEIGHBOURS = 9
 BLOCK = 32
 PREDICT_AT = 0.3
@@ -40,72 +52,133 @@ _WORD = re.compile(r"\w+")
 FIELDS = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("evidence", T.StringType())])
 
 
-def words(text: str | None) -> Counter:
-    return Counter(_WORD.findall((text or "").lower()))
+def bins_of(word: str) -> tuple[int, ...]:
+    """The bins of a word and of its stem."""
+    own = zlib.crc32(word.encode("utf-8", "replace")) & (BINS - 1)
+    return (own, zlib.crc32(word[:STEM].encode("utf-8", "replace"), 1) & (BINS - 1)) if len(word) > STEM else (own,)
+
+
+def term_counts(text: str | None, known: dict[str, tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted bins of a text and how often each occurs. known: the bins of words met before."""
+    at: list[int] = []
+    n: list[int] = []
+    for w, k in Counter(_WORD.findall((text or "").lower())).items():
+        if (bins := known.get(w)) is None:
+            bins = bins_of(w)
+            if len(known) < 400_000:
+                known[w] = bins
+        at += bins
+        n += [k] * len(bins)
+    u, inverse = np.unique(np.array(at, np.int64), return_inverse=True)
+    return u, np.bincount(inverse, n, len(u))
+
 
+def document_frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
+    """Over all rows: documents that hold each bin, and documents. A task sends a count for each bin it met; BINS of them reach the driver at most."""
 
-def terms_of(word: str) -> list[str]:
-    """The word, and its proper prefixes of 4 to 6 characters, marked as such."""
-    return [word, *(word[:n] + "*" for n in (4, 5, 6) if len(word) > n)]
+    def count(batches):
+        df, n, known = np.zeros(BINS, np.int32), 0, {}
+        for batch in batches:
+            for part in slices(batch):
+                for t in part.column(0).to_pylist():
+                    df[term_counts(t, known)[0]] += 1
+                    n += 1
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_pydict({"bin": pa.array(np.concatenate([[-1], some]), pa.int32()), "n": pa.array(np.concatenate([[n], df[some]]), pa.int64())})
+
+    got = docs.select(F.col(text)).mapInArrow(count, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
+    at, n = got.column("bin").to_numpy(), got.column("n").to_numpy()
+    df = np.zeros(BINS, np.int64)
+    df[at[at >= 0]] = n[at >= 0]
+    return df, int(n[at < 0].sum())
+
+
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers start[i], ..., start[i] + n[i] - 1 for all i, one after another."""
+    return np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
 
 
 @dataclass(frozen=True)
 class BlockMaxIndex:
-    """Unit vectors of examples by term, and each term's largest weight in each block of examples."""
-
-    dense: np.ndarray  # examples x terms, ordered by block
-    block_max: np.ndarray  # terms x blocks
+    """Posting lists by bin. The cells of bin b are cell_of[b] to cell_of[b + 1]: for each block that holds it, the block, the bin's
+    largest weight in it, and where its postings begin; postings (example, weight) lie in order of cells."""
+
+    rows: int
+    terms: np.ndarray  # the bins that occur, sorted
+    cell_of: np.ndarray
+    block: np.ndarray
+    most: np.ndarray
+    start: np.ndarray
+    example: np.ndarray
+    weight: np.ndarray
     size: int = BLOCK
 
     @classmethod
-    def build(cls, x: np.ndarray, size: int = BLOCK) -> BlockMaxIndex:
-        n = -(-len(x) // size) if len(x) else 0
-        padded = np.zeros((n * size, x.shape[1]), np.float32)
-        padded[: len(x)] = x
-        return cls(padded, padded.reshape(n, size, -1).max(axis=1).T.copy() if n else np.zeros((x.shape[1], 0), np.float32), size)
-
-    def nearest(self, at: np.ndarray, weight: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    def build(cls, vectors: list[tuple[np.ndarray, np.ndarray]], size: int = BLOCK) -> BlockMaxIndex:
+        n = np.array([len(v[0]) for v in vectors], np.int64)
+        at = np.concatenate([v[0] for v in vectors]) if len(n) else np.zeros(0, np.int64)
+        w = np.concatenate([v[1] for v in vectors]).astype(np.float32) if len(n) else np.zeros(0, np.float32)
+        ex = np.repeat(np.arange(len(n)), n)
+        order = np.lexsort((ex, at))
+        at, w, ex = at[order], w[order], ex[order]
+        block = ex // size
+        first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (block[1:] != block[:-1])])) if len(at) else np.zeros(0, np.int64)
+        most = np.maximum.reduceat(w, first) if len(at) else w
+        terms, cell = np.unique(at[first], return_index=True)
+        return cls(len(n), terms, np.append(cell, len(first)), block[first].astype(np.int32), most, np.append(first, len(at)), ex.astype(np.int32), w, size)
+
+    def nearest(self, at: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Indexes and cosines of the k nearest examples of positive cosine; blocks that can't reach them stay unread."""
-        bound = weight @ self.block_max[at]
-        ids, sims = np.zeros(0, np.int64), np.zeros(0, np.float32)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(sims) == k and bound[b] < sims[-1]:
-                break
-            lo = b * self.size
-            got = self.dense[lo : lo + self.size, at] @ weight
-            if lo <= skip < lo + self.size:
-                got[skip - lo] = 0
-            own = np.flatnonzero(got > 0)
-            ids, sims = np.concatenate([ids, lo + own]), np.concatenate([sims, got[own]])
-            first = np.lexsort((ids, -sims))[:k]
-            ids, sims = ids[first], sims[first]
+        ids, sims = np.zeros(0, np.int64), np.zeros(0)
+        if not len(self.terms) or not len(at):
+            return ids, sims
+        place = np.minimum(np.searchsorted(self.terms, at), len(self.terms) - 1)
+        held = self.terms[place] == at
+        place, weight = place[held], weight[held]
+        n = self.cell_of[place + 1] - self.cell_of[place]
+        cells, q = _ranges(self.cell_of[place], n), np.repeat(weight, n)
+        block = self.block[cells]
+        bound = np.bincount(block, q * self.most[cells], -(-self.rows // self.size))
+        order = np.argsort(-bound, kind="stable")
+        lo, step = 0, 4
+        while lo < len(order) and bound[order[lo]] > 0 and (len(sims) < k or bound[order[lo]] >= sims[-1] - 1e-6):
+            taken = np.zeros(len(bound), bool)
+            taken[order[lo : lo + step]] = True
+            own = taken[block]
+            m = self.start[cells[own] + 1] - self.start[cells[own]]
+            post = _ranges(self.start[cells[own]], m)
+            got = np.bincount(self.example[post], np.repeat(q[own], m) * self.weight[post], self.rows)
+            new = np.flatnonzero(got > 0)
+            ids, sims = np.concatenate([ids, new]), np.concatenate([sims, got[new]])
+            best = np.lexsort((ids, -sims))[:k]
+            ids, sims = ids[best], sims[best]
+            lo, step = lo + step, step * 2
         return ids, sims
 
 
-def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool-adjacent-violators fit of y on x: the largest x and the value of each pool."""
+def isotonic(x: np.ndarray, y: np.ndarray, mass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pool-adjacent-violators fit of y on x with weights: the largest x and the value of each pool."""
     pools: list[list[float]] = []
-    for i in np.argsort(x, kind="stable"):
+    for i in np.argsort(x, kind="stable").tolist():
         if pools and pools[-1][2] == x[i]:
-            pools[-1][0] += y[i]
-            pools[-1][1] += 1
+            pools[-1][0] += mass[i] * y[i]
+            pools[-1][1] += mass[i]
         else:
-            pools.append([float(y[i]), 1.0, float(x[i])])
+            pools.append([float(mass[i] * y[i]), float(mass[i]), float(x[i])])
     out: list[list[float]] = []
     for p in pools:
         out.append(p)
         while len(out) > 1 and out[-2][0] / out[-2][1] >= out[-1][0] / out[-1][1]:
             s, n, top = out.pop()
             out[-1] = [out[-1][0] + s, out[-1][1] + n, top]
-    return np.array([p[2] for p in out]), np.array([(p[0] + 0.02) / (p[1] + 0.04) for p in out])
+    return np.array([p[2] for p in out]), np.array([p[0] / p[1] for p in out])
 
 
 @dataclass
 class ToxicityModel:
-    """vocabulary: term -> place. memo: scores of vectors met before in this process."""
+    """scale: idf * relation of every bin. curve: votes and their calibrated scores, between which scores are drawn straight."""
 
-    vocabulary: dict[str, int]
-    idf: np.ndarray
+    scale: np.ndarray
     index: BlockMaxIndex
     ids: np.ndarray
     label: np.ndarray
@@ -113,99 +186,101 @@ class ToxicityModel:
     blank: float
     neighbours: int = NEIGHBOURS
 
-    def vector(self, text: str | None, known: dict[str, tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
-        """Places and unit weights of a text's terms. known: the places of words met before."""
-        tf: dict[int, int] = {}
-        for w, n in words(text).items():
-            if (places := known.get(w)) is None:
-                places = tuple(self.vocabulary[t] for t in terms_of(w) if t in self.vocabulary)
-                if len(known) < 500_000:
-                    known[w] = places
-            for p in places:
-                tf[p] = tf.get(p, 0) + n
-        at = np.array(sorted(tf), np.int64)
-        w = (1 + np.log([tf[p] for p in at.tolist()])) * self.idf[at] if len(at) else np.zeros(0)
-        return at, (w / np.linalg.norm(w)).astype(np.float32) if len(at) else w.astype(np.float32)
-
-    def vote(self, at: np.ndarray, weight: np.ndarray, skip: int = -1) -> tuple[float | None, np.ndarray, np.ndarray]:
-        ids, sims = self.index.nearest(at, weight, self.neighbours, skip)
+    def vector(self, text: str | None, known: dict) -> tuple[np.ndarray, np.ndarray]:
+        """Bins and unit weights of a text."""
+        at, tf = term_counts(text, known)
+        w = (1 + np.log(tf)) * self.scale[at]
+        return at, w / max(float(np.linalg.norm(w)), 1e-30)
+
+    def vote(self, at: np.ndarray, weight: np.ndarray) -> tuple[float | None, np.ndarray, np.ndarray]:
+        ids, sims = self.index.nearest(at, weight, self.neighbours)
         if not len(ids):
             return None, ids, sims
-        # weights fall with the distance; places that no example of positive cosine fills vote for label 0
-        return float((sims * self.label[ids]).sum() / (self.neighbours * max(0.3, float(sims.mean())))) * min(1.0, 0.5 + float(sims[0])), ids, sims
+        pull = 1 / (NEAR + np.maximum(0.0, 1 - sims))
+        return float((pull * self.label[ids]).sum() / pull.sum()), ids, sims
 
     def score(self, text: str | None, known: dict, memo: dict) -> tuple[float, str]:
-        at, weight = self.vector(text, known)
-        if not len(at):
-            return self.blank, ""
-        key = (at.tobytes(), weight.tobytes())
+        """Score and evidence. memo: results of texts met before in this process."""
+        key = xxhash.xxh64_intdigest((text or "").encode("utf-8", "replace")), len(text or "")
         if (got := memo.get(key)) is None:
+            at, weight = self.vector(text, known)
             v, ids, sims = self.vote(at, weight)
-            if v is None:
-                got = self.blank, ""
-            else:
-                x, y = self.curve
-                got = float(y[min(int(np.searchsorted(x, v)), len(y) - 1)]), " ".join(f"{self.ids[i]}:{self.label[i]:.0f}:{s:.3f}" for i, s in zip(ids[:3].tolist(), sims[:3].tolist(), strict=True))
+            got = (self.blank, "") if v is None else (float(np.interp(v, *self.curve)), " ".join(f"{self.ids[i]}:{self.label[i]:.0f}:{s:.3f}" for i, s in zip(ids[:3].tolist(), sims[:3].tolist(), strict=True)))
             if len(memo) < 50_000:
                 memo[key] = got
         return got
 
 
-def fit_examples(examples: list[tuple[int, str | None, int]], *, vocabulary: int = VOCABULARY, neighbours: int = NEIGHBOURS) -> ToxicityModel:
-    """Model of (id, text, label 0 or 1) rows held on the driver."""
-    examples = sorted(examples, key=lambda e: (e[0], e[1] or ""))
-    count: tuple[Counter, Counter] = (Counter(), Counter())
-    # terms are chosen on two thirds of the examples; votes are calibrated on the others, which didn't choose them
-    picks = [zlib.crc32(str(e[0]).encode()) % 3 > 0 for e in examples]
-    seen: set[str | None] = set()
-    for (_, text, label), pick in zip(examples, picks, strict=True):
+def relation(counts: list[np.ndarray], n: list[int]) -> np.ndarray:
+    """Weight of each bin by the log-likelihood ratio of the documents that hold it, in the two labels."""
+    a, b = (c.astype(np.float64) for c in counts)
+    if not n[0] or not n[1]:
+        return np.full(len(a), FLOOR)
+    m = (a + b) / (n[0] + n[1])
+    g = np.zeros(len(a))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for c, k in ((a, n[0]), (b, n[1])):
+            g += np.where(c > 0, c * np.log(c / k / m), 0.0) + np.where((c < k) & (m < 1), (k - c) * np.log((1 - c / k) / (1 - m)), 0.0)
+    return FLOOR + (1 - FLOOR) * np.clip((g - CHANCE) / (CERTAIN - CHANCE), 0, 1)
+
+
+def _grouped(vectors: list[tuple[np.ndarray, np.ndarray]], pivots: int = 32) -> list[int]:
+    """An order in which like examples lie together: by the nearest of some examples."""
+    index = BlockMaxIndex.build([v for v in vectors[:: max(1, len(vectors) // pivots)]], 1)
+    near = [got[0] if len(got := index.nearest(at, w, 1)[0]) else -1 for at, w in vectors]
+    return sorted(range(len(vectors)), key=lambda i: (near[i], i))
+
+
+def fit_examples(examples: list[tuple[int, str | None, int]], idf: np.ndarray, shares: tuple[float, float] | None = None, *, per_label: int = EXAMPLES_PER_LABEL, neighbours: int = NEIGHBOURS) -> ToxicityModel:
+    """Model of (id, text, label 0 or 1) rows held on the driver. shares: labels 0 and 1 among all labelled rows, if not as in the examples."""
+    known: dict = {}
+    # in an order without meaning; two thirds make the relation and, as far as they go in, the index; the others calibrate
+    examples = sorted(examples, key=lambda e: (zlib.crc32(str(e[0]).encode()), e[0], e[1] or ""))
+    picks = [zlib.crc32(str(e[0]).encode()) // 64 % 3 > 0 for e in examples]
+    terms = [term_counts(e[1], known) for e in examples]
+    counts, n, seen = [np.zeros(BINS, np.int32), np.zeros(BINS, np.int32)], [0, 0], set()
+    for (_, text, label), pick, (at, _) in zip(examples, picks, terms, strict=True):
         if pick and text not in seen:  # copies are one piece of evidence
             seen.add(text)
-            count[label].update({t for w in words(text) for t in terms_of(w)})
-    n = [sum(1 for e, pick in zip(examples, picks, strict=True) if pick and e[2] == v) for v in (0, 1)]
-    ranked = []
-    for t in count[0].keys() | count[1].keys():
-        a, b = count[0][t], count[1][t]
-        if a + b < 3 or not n[0] or not n[1]:
-            continue
-        p, q, m = a / n[0], b / n[1], (a + b) / (n[0] + n[1])
-        g = sum(k * np.log(r / m) if k else 0.0 for k, r in ((a, p), (b, q))) + sum((s - k) * np.log((1 - r) / (1 - m)) if s > k else 0.0 for k, r, s in ((a, p, n[0]), (b, q, n[1])) if m < 1)
-        if g > 16.0:  # one in a hundred million terms without any relation to the label
-            ranked.append((-g, t))
-    kept = sorted(t for _, t in sorted(ranked)[:vocabulary])
-    place = {t: i for i, t in enumerate(kept)}
-    df = np.array([count[0][t] + count[1][t] for t in kept], float)
-    idf = np.log((1 + sum(n)) / (1 + df)) + 1 if kept else np.zeros(0)
-    model = ToxicityModel(place, idf, BlockMaxIndex.build(np.zeros((0, len(kept)), np.float32)), np.zeros(0, np.int64), np.zeros(0), (np.zeros(1), np.zeros(1)), 0.0, neighbours)
-    known: dict = {}
-    found = [(e, *model.vector(e[1], known), pick) for e, pick in zip(examples, picks, strict=True)]
-    bare = [e[2] for e, at, _, pick in found if not len(at) and not pick]
-    model.blank = sum(bare) / (len(bare) + 1)
-    found = sorted((f for f in found if len(f[1])), key=lambda f: (int(f[1][int(np.argmax(f[2]))]), f[0][0]))  # like examples share blocks
-    if found:
-        x = np.zeros((len(found), len(kept)), np.float32)
-        for row, (_, at, w, _) in zip(x, found, strict=True):
-            row[at] = w
-        model.index, model.ids, model.label = BlockMaxIndex.build(x), np.array([f[0][0] for f in found]), np.array([float(f[0][2]) for f in found])
-        own = [(v, f[0][2]) for i, f in enumerate(found) if not f[3] and (v := model.vote(f[1], f[2], i)[0]) is not None]
-        if own:
-            model.curve = isotonic(np.array([o[0] for o in own]), np.array([o[1] for o in own]))
+            counts[label][at] += 1
+            n[label] += 1
+    total = [sum(e[2] == v for e in examples) for v in (0, 1)]
+    shares = shares or (total[0], total[1])
+    blank = shares[1] / sum(shares) if sum(shares) else 0.0
+    model = ToxicityModel((idf * relation(counts, n)).astype(np.float32), BlockMaxIndex.build([]), np.zeros(0, np.int64), np.zeros(0), (np.zeros(1), np.full(1, blank)), blank, neighbours)
+    chosen, taken = [], [0, 0]
+    for e, pick in zip(examples, picks, strict=True):
+        if pick and taken[e[2]] < per_label:
+            taken[e[2]] += 1
+            chosen.append(e)
+    vectors = [model.vector(e[1], known) for e in chosen]
+    if chosen:
+        order = _grouped(vectors)
+        model.index = BlockMaxIndex.build([vectors[i] for i in order])
+        model.ids, model.label = np.array([chosen[i][0] for i in order]), np.array([float(chosen[i][2]) for i in order])
+    votes = [(v, e[2]) for e, pick in zip(examples, picks, strict=True) if not pick and (v := model.vote(*model.vector(e[1], known))[0]) is not None]
+    if votes:
+        mass = [shares[v] / total[v] if total[v] else 0.0 for v in (0, 1)]
+        model.curve = isotonic(np.array([v for v, _ in votes]), np.array([y for _, y in votes]), np.array([mass[y] for _, y in votes]))
     return model
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE_PER_LABEL) -> ToxicityModel:
-    """Model of a bounded sample of labelled rows, half of it (if there are enough) of each label."""
+    """Model of a bounded sample of labelled rows, half of it (if there are enough) of each label; document frequencies are those of docs."""
     rows = labels.filter(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("i")).agg(F.max(label).cast("int").alias("y"))
+    n = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     chosen = sampled_by_hash(rows, F.col("y"), ["i"], sample)
     # the sample is bounded by its parameter, so it is small enough to send everywhere
     got = docs.select(F.col(id_col).alias("i"), F.col(text).alias("t")).join(F.broadcast(chosen), "i").collect()
-    return fit_examples([(r["i"], r["t"], r["y"]) for r in {(r["i"], r["t"]): r for r in got}.values()])
+    df, total = document_frequencies(docs, text)
+    idf = np.log((1 + total) / (1 + df)) + 0.1
+    return fit_examples([(r["i"], r["t"], r["y"]) for r in {(r["i"], r["t"]): r for r in got}.values()], idf, (n.get(0, 0), n.get(1, 0)))
 
 
 def score(docs: DataFrame, model: ToxicityModel, *, text: str = "text", predict_at: float = PREDICT_AT) -> DataFrame:
     """docs with score, predicted and evidence (id:label:cosine of the three nearest examples)."""
     at = docs.columns.index(text)
-    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by sample and vocabulary
+    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the number of examples and of bins
     fields = T.StructType([T.StructField(free_name(docs, f.name), f.dataType) for f in FIELDS])
 
     def start():
@@ -222,6 +297,6 @@ def score(docs: DataFrame, model: ToxicityModel, *, text: str = "text", predict_
 
 def op5_toxicity(spark, sf_dir):
     """Contract query: learn from labels whose crc32(doc_id) mod 4 is not 2, score every document."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     model = fit(docs, table(spark, sf_dir, "labels").filter(crc_mod("doc_id", 4) != 2))
     return score(docs, model).select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", "predicted", "evidence")
