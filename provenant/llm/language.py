@@ -8,7 +8,8 @@ the language of the centroid with the highest cosine. It is rejected if it has n
 if its cosine distance exceeds every distance that the training sample shows, by a margin.
 
 Defined cases: null or empty text, or text without a letter -> "und", score 0, rejected.
-Ties between centroids go to the language first in order. Repeated rows get equal results.
+Ties between centroids go to the language first in order. Repeated rows get equal results. A very long text is one vector like
+others. New columns get underscores before names that the table has.
 An empty table gives an empty result; with no labelled row every document is "und".
 """
 

@@ -12,7 +12,8 @@ anywhere is never deleted. No pair of later occurrences is formed, so a line in
 
 Defined cases: null or empty text stays as it is. Lines without a word are never matched and stay. Where a run repeats within one
 document and overlaps itself, the lines of the first gram stay. Rows with equal id and text are the same document and
-are treated alike. Null ids come before all others.
+are treated alike. Null ids come before all others. A very long text has as many lines and fingerprints; one long line is a
+gram by itself. New columns get underscores before names that the table has. An empty table gives an empty one.
 """
 
 from __future__ import annotations

@@ -11,12 +11,16 @@ patterns for each source, and one more, are computed by a fold over the slots of
 arithmetic and a join with that table, whose size depends on the weights alone. A row's place within its source
 comes from counts by hash prefix and a row number within the prefix, so a large source is dealt to many tasks.
 
-Defined cases: sources without a weight, and null, are one further source with the weight of others. Repeated rows keep
-their number. Rows are ordered by the MD5 of their id, the id, and a hash of the row. An empty table gives an empty result.
+Defined cases: sources without a weight, and null, are one further source with the weight of others. A weight below 1 is an error,
+as a source without slots could not be placed, and so are weights whose sum, after division by their common divisor, is above
+MAX_CYCLE: the table of patterns has up to that many rows for each source and is broadcast. New columns get
+underscores before names that the table has. Texts are not read. Repeated rows keep their number. Rows are ordered by the MD5 of their id, the id, and a hash of the row. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,6 +28,8 @@ from pyspark.sql.window import Window
 from provenant.llm.common import free_name, table
 
 BLOCK_ROWS = 16
+#: Slots of a cycle at most.
+MAX_CYCLE = 10_000
 #: Hex digits of the hash prefix: sources are dealt to 16 ** PREFIX groups.
 PREFIX = 3
 
@@ -55,6 +61,12 @@ def mix(docs: DataFrame, weights: dict[str, int], *, others: int = 1, source: st
     """docs with block (number within the source), slot (place of the block in the mixture) and position (order of rows)."""
     src, hx, pre, idx, tie = (free_name(docs, c) for c in ("mix_src", "mix_hash", "mix_prefix", "mix_index", "mix_tie"))
     names = sorted(weights)
+    if min([others, *weights.values()]) < 1:
+        raise ValueError("weights must be 1 or more")
+    divisor = math.gcd(others, *weights.values())
+    weights, others = {k: v // divisor for k, v in weights.items()}, others // divisor
+    if sum(weights.values()) + others > MAX_CYCLE:
+        raise ValueError(f"the weights make a cycle of more than {MAX_CYCLE} slots; round them")
     known = F.when(F.col(source).isin(names), F.col(source)) if names else F.lit(None).cast("string")
     weight = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for n in names for x in (n, int(weights[n]))]), F.col("src")), F.lit(int(others))) if names else F.lit(int(others))
     rows = docs.withColumn(src, F.coalesce(known, F.lit(""))).withColumn(hx, F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))).withColumn(pre, F.substring(hx, 1, PREFIX)).withColumn(tie, F.xxhash64(*docs.columns))
@@ -77,12 +89,6 @@ def mix(docs: DataFrame, weights: dict[str, int], *, others: int = 1, source: st
     return placed.select(*docs.columns, F.col(blk).alias(out[0]), slot.alias(out[1]), (slot * int(block_rows) + F.pmod(F.col(idx), F.lit(int(block_rows)))).alias(out[2]))
 
 
-def in_mixed_order(docs: DataFrame, weights: dict[str, int] | None = None, **how) -> DataFrame:
-    """Pipeline stage: the rows and columns of docs, in the order of the mixture."""
-    got = mix(docs, target_weights() if weights is None else weights, **how)
-    return got.orderBy(got.columns[-1]).select(*docs.columns)
-
-
 def with_position(docs: DataFrame, weights: dict[str, int] | None = None, **how) -> DataFrame:
     """Pipeline stage: the rows of docs in the order of the mixture, with their position in it, which later stages carry on."""
     got = mix(docs, target_weights() if weights is None else weights, **how)

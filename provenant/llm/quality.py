@@ -7,7 +7,9 @@ grade and the tail probability P(grade >= g) rank and select documents. Weights
 sample of rated rows by full-batch gradient steps on the driver; every document is scored.
 
 Defined cases: null or empty text has only the bias-like length features. Repeated rating rows of one
-document count once, the largest grade holding. With no rated row every grade is equally likely.
+document count once, the largest grade holding. With no rated row every grade is equally likely. Very long texts and words are
+read whole. Equal texts have equal scores, so ties stay ties. New columns get underscores before names that the table has. An
+empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from provenant.llm.common import append_arrow, crc_mod, free_name, sampled_by_hash, table
+from provenant.llm.common import append_arrow, crc_mod, free_name, sampled_by_hash, spread, table
 
 BINS = 1 << 15
 #: Upper bound of the rated sample, for each grade.
@@ -153,7 +155,7 @@ def score(docs: DataFrame, model: OrdinalModel, *, text: str = "text", tail: int
 
 def op3_quality(spark, sf_dir):
     """Grades: 0 poor quality, 1 good but toxic, 2 good and not toxic. Learns from labels whose crc32(doc_id) mod 5 is not 0."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     ratings = table(spark, sf_dir, "labels").filter(crc_mod("doc_id", 5) != 0)
     model = fit(docs, ratings, F.col("quality") * (2 - F.col("toxic")), 3)
     got = score(docs, model, tail=1)

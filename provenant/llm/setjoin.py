@@ -17,7 +17,9 @@ other's tokens among its first n - ceil(n * num / den) + 1 (its prefix). The joi
 
 Defined cases: words are maximal runs of bytes other than ASCII white space, with A-Z lower-cased. Fewer words than a
 shingle are one shingle; null or blank text has the empty set and links with nothing. Repeated rows are members of
-one class. An empty table gives an empty result.
+one class. A null id counts as smaller than any other only within its own class, whose id it isn't; a row with a null id keeps it.
+Very long texts have as many shingles. Only the id and the text are read, so other columns, of whatever name, don't matter; keep_one
+returns them as they are. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -120,10 +122,10 @@ def link_classes(sets: DataFrame, num: int, den: int, by_length: bool = False) -
     by_length: prefix tokens count by partition of set length too. Partitions grow by den / num, so sets that link are in the
     same or neighbouring ones, and each set stands in its own and the next one.
     """
-    # dealt by token once, for the counts and the join: a set holds a token once, so no token has more rows than there are classes
-    tokens = sets.select("cls", F.explode("toks").alias("tok")).repartition("tok")
-    shared = tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    held = tokens.join(shared, "tok").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("s"))
+    # counted with partial sums and stored, so that the join deals both sides itself and Spark can split a token that many classes hold
+    tokens = sets.select("cls", F.explode("toks").alias("tok"))
+    shared = stored(tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "shared")
+    held = tokens.join(shared.hint("merge"), "tok").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("s"))
     held = held.join(sets.select("cls", "n"), "cls").withColumn("r", _prefix(F.col("n"), num, den) - (F.col("n") - F.size("s"))).filter("r > 0")
     by_hash = lambda seed: F.transform(F.slice(F.sort_array(F.transform("s", lambda x: F.struct(F.xxhash64(x["tok"], F.lit(seed)).alias("h"), x["tok"].alias("tok")))), F.lit(1), F.col("r")), lambda x: x["tok"])
     first = F.transform(F.slice("s", F.lit(1), F.col("r")), lambda x: x["tok"])
@@ -134,8 +136,8 @@ def link_classes(sets: DataFrame, num: int, den: int, by_length: bool = False) -
     entries = stored(nodes.select(F.explode("p1").alias("tok"), "cls", "n", "own"), "entries")
 
     def possible(x: str, y: str):
-        """Lengths and tokens of their own let the pair link."""
-        most = F.least(F.col(f"{x}n") - F.col(f"{x}own"), F.col(f"{y}n") - F.col(f"{y}own"))
+        """Lengths and tokens of their own let the pair link; two different sets of equal length differ in a token at least."""
+        most = F.least(F.col(f"{x}n") - F.col(f"{x}own"), F.col(f"{y}n") - F.col(f"{y}own"), F.col(f"{x}n") - (F.col(f"{x}n") == F.col(f"{y}n")).cast("int"))
         return most * den >= (F.col(f"{x}n") + F.col(f"{y}n") - most) * num
 
     def verified(pairs: DataFrame) -> DataFrame:

@@ -6,8 +6,9 @@ payloads the one with the smallest id is a response; the others are revisits tha
 Archives are rows of a table, one whole file of bounded size in each; export() puts them out as files.
 
 Defined cases: null html counts as empty; a null url becomes urn:page:<id>; line breaks in a url are escaped. A null
-page id is larger than any other, and revisits of a group without ids refer to none. Where too few
-records exist for training, the dictionary frame holds an empty dictionary and frames stand alone.
+page id is larger than any other, and revisits of a group without ids refer to none. Rows that repeat the smallest page id of a
+payload are all responses; other rows are read by their columns alone, whatever else the table has. A long page is one record of an archive
+of its own size. An empty table gives no archive. Where too few records exist for training, the dictionary frame holds an empty dictionary and frames stand alone.
 """
 
 from __future__ import annotations
