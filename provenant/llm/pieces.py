@@ -1,26 +1,31 @@
 """SentencePiece encoding and decoding by a relational lattice.
 
-A text is cut where no piece of the vocabulary reaches across: before each run of word marks, around line ends, and between any two
-characters that no piece has side by side. Each distinct unit is encoded once: its substrings up to the longest piece are exploded and joined with the
-piece table by equality; the edges found are grouped by unit; and a fold with Spark's higher-order aggregate walks the lattice:
+A text is cut into words at its spaces, which become word marks, and words at line ends: no piece reaches across either. Words are cut further
+between characters that no piece has side by side. Each distinct part of a word in the corpus is encoded once. Its substrings up to the longest
+piece are exploded and joined with the piece table by equality; the edges found are grouped by word; and a fold with Spark's
+higher-order aggregate walks the lattice:
 
-- "viterbi" keeps the best path to every position (models of type unigram),
-- "merge" joins, again and again, the two neighbours whose union is the edge of highest score, the leftmost first (models of type BPE).
+- "viterbi" (the default) keeps the best path to every position. Pieces' scores add up; a character without a piece costs UNKNOWN_PENALTY
+  more than the worst piece. Of equal scores the edge that starts first wins.
+- "merge" joins, again and again, the two neighbours whose union is the edge of highest score, the leftmost first, as encoders of
+  BPE models do.
 
-Characters without a piece become byte pieces. Units of a batch of documents (a chunk) are looked up from the dictionary of just that
-chunk: (chunk, unit) pairs are joined with the encoded units and grouped with the chunk's texts, which travel compressed.
+Characters without a piece become byte pieces. The words of a part of the documents (a chunk) are its dictionary: (chunk, word) pairs
+are dealt by word, encoded there, and sent on in bundles to the chunk's texts, which travel compressed too. A word has one pair for each chunk at
+most, and a chunk has thousands of words, so no word holds a large share of the pairs.
 
 Defined cases: null or empty text has no ids, and decodes to the empty string. Decoding is the exact inverse for every
-text that doesn't hold the word mark itself. Repeated rows are encoded alike. A unit that the lattice lacks (it has more than
-LONGEST_UNIT characters or no edge, or a chunk was cut otherwise the second time) is folded in Python by the same rule.
+text that doesn't hold the word mark itself. Repeated rows are encoded alike. A very long text is many words; a word of n characters
+that can't be cut takes n * longest piece edges in one row of the lattice. New columns get underscores before names that the table
+has. An empty table gives an empty one. Null ids decode to the empty string.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 import pickle
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,19 +36,32 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from provenant.llm.common import append_arrow, free_name, table
+from provenant.llm.common import append_arrow, free_name, slices, stored, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-_UNITS = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
-#: Added to the lowest score for a character without a piece, as the library's unigram engine does.
+_RUNS = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
+_SPACE = re.compile("(?<=[^ ]) ")
+_ENDS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
+#: Lower than the worst piece by this: a character without a piece.
 UNKNOWN_PENALTY = 10.0
-#: Longer units are folded in Python: the fold over arrays takes the cube of a unit's length.
-LONGEST_UNIT = 48
+#: Words of more characters are cut wherever no piece crosses, others before the punctuation at their end only, which is what many share.
+CUT_FROM = 32
+#: Bytes of text in a chunk, if its texts are alike.
+CHUNK_BYTES = 48 << 20
+#: Rows of encoded words that are bundled by chunk at once.
+BUNDLED_ROWS = 500_000
+#: Parts of the lattice for each of Spark's shuffle partitions.
+PARTS = 4
+
+
+def words_of(text: str | None) -> list[str]:
+    """A text's words in order: what lies between spaces, and with a word all spaces before it but one."""
+    return [] if not text else text.split(" ") if "  " not in text and text[0] != " " else _SPACE.split(text)
 
 
 class Pieces:
-    """The vocabulary of a model file: scores and ids by piece, the byte pieces, and the text of each id."""
+    """The vocabulary of a model file: scores and ids by piece, the byte pieces, and the bytes of each id."""
 
     def __init__(self, path: str = MODEL):
         from sentencepiece import sentencepiece_model_pb2 as pb
@@ -51,110 +69,59 @@ class Pieces:
         m = pb.ModelProto()
         with open(path, "rb") as f:
             m.ParseFromString(f.read())
-        normal = {i: p for i, p in enumerate(m.pieces) if p.type in (1, 4)}
-        self.kind = "viterbi" if m.trainer_spec.model_type == 1 else "merge"
-        self.by_piece = {p.piece: (p.score, i) for i, p in normal.items()}
+        self.by_piece = {p.piece: (p.score, i) for i, p in enumerate(m.pieces) if p.type in (1, 4)}
+        if any(len(_RUNS.findall(p)) != 1 for p in self.by_piece):
+            raise ValueError("a piece reaches across words")
         self.bytes = {int(p.piece[1:-1], 16): i for i, p in enumerate(m.pieces) if p.type == 6}
         self.unknown = next((i for i, p in enumerate(m.pieces) if p.type == 2), 0)
         self.longest = max(map(len, self.by_piece), default=1)
-        self.text = [p.piece if p.type in (1, 4) else "" for p in m.pieces]
-        self.byte_of = {i: b for b, i in self.bytes.items()}
         self.lowest = min((s for s, _ in self.by_piece.values()), default=0.0)
+        byte_of = {i: bytes([b]) for b, i in self.bytes.items()}
+        self.raw = [p.piece.encode() if p.type in (1, 4) else byte_of.get(i, b"") for i, p in enumerate(m.pieces)]
         self.within = {p[i : i + 2] for p in self.by_piece for i in range(len(p) - 1)}
 
     def table(self, spark: SparkSession) -> DataFrame:
         """piece, score, id: as many rows as the vocabulary has."""
         return spark.createDataFrame([(p, float(s), i) for p, (s, i) in self.by_piece.items()], "piece string, score double, id int")
 
-    def cut(self, run: str) -> list[str]:
-        """A run of characters cut between any two that no piece has side by side: no edge crosses there."""
+    def parts_of(self, word: str) -> list[str]:
+        """What the lattice encodes of a word: its runs of marks and characters and its line ends, each cut where no piece crosses."""
+        if len(word) < CUT_FROM and word.isalpha():
+            return [MARK + word]
+        return [part for run in _RUNS.findall(MARK + word.replace(" ", MARK)) for part in self._parts(run)]
+
+    def _parts(self, run: str) -> tuple[str, ...] | list[str]:
+        """Before the punctuation at its end, and anywhere in a long run."""
+        if len(run) > CUT_FROM:
+            return self._cut(run)
+        core = run.rstrip(_ENDS)
+        if len(core) in (0, len(run)) or run[len(core) - 1 : len(core) + 1] in self.within:
+            return (run,)
+        return core, run[len(core) :]
+
+    def _cut(self, word: str) -> list[str]:
         out, a = [], 0
-        for i in range(1, len(run)):
-            if run[i - 1 : i + 1] not in self.within:
-                out.append(run[a:i])
+        for i in range(1, len(word)):
+            if word[i - 1 : i + 1] not in self.within:
+                out.append(word[a:i])
                 a = i
-        return [*out, run[a:]]
+        return [*out, word[a:]]
 
-    def one(self, char: str) -> list[int]:
+    def of_char(self, char: str) -> list[int]:
+        """The ids of a character: its piece, else its bytes, else the unknown piece."""
         at = self.by_piece.get(char)
-        return [at[1]] if at else self.bytes_of(char)
-
-    def bytes_of(self, char: str) -> list[int]:
-        """The ids of a character without a piece."""
-        return [self.bytes[b] for b in char.encode("utf-8")] if self.bytes else [self.unknown]
-
-    def encode_unit(self, unit: str, kind: str | None = None) -> list[int]:
-        """A unit's ids by the same fold, without the lattice's tables."""
-        ends = self._merged(unit) if (kind or self.kind) == "merge" else self._best_path(unit)
-        out: list[int] = []
-        for s, e in zip(ends, ends[1:], strict=False):
-            at = self.by_piece.get(unit[s:e])
-            out += [at[1]] if at else self.bytes_of(unit[s:e])
-        return out
-
-    def _merged(self, unit: str) -> list[int]:
-        """Positions that remain; a heap of joinable neighbours keeps long units cheap."""
-        n = len(unit)
-        after, before, alive, heap = list(range(1, n + 1)), list(range(-1, n)), [True] * n, []
-
-        def offer(i: int) -> None:
-            k = after[i]
-            if k < n and after[k] - i <= self.longest and (at := self.by_piece.get(unit[i : after[k]])):
-                heapq.heappush(heap, (-at[0], i, k, after[k]))
-
-        for i in range(n):
-            offer(i)
-        while heap:
-            _, i, k, e = heapq.heappop(heap)
-            if alive[i] and after[i] == k and alive[k] and after[k] == e:
-                after[i], alive[k], before[e] = e, False, i
-                if before[i] >= 0:
-                    offer(before[i])
-                offer(i)
-        return [i for i in range(n) if alive[i]] + [n]
-
-    def _best_path(self, unit: str) -> list[int]:
-        best: list[tuple[float, int]] = [(0.0, 0)]
-        for e in range(1, len(unit) + 1):
-            top = None
-            for s in range(max(0, e - self.longest), e):
-                at = self.by_piece.get(unit[s:e])
-                score = best[s][0] + at[0] if at else best[s][0] + self.lowest - UNKNOWN_PENALTY if s == e - 1 else None
-                if score is not None and (top is None or score > top[0]):
-                    top = score, s
-            best.append(top)
-        cuts = [len(unit)]
-        while cuts[-1]:
-            cuts.append(best[cuts[-1]][1])
-        return cuts[::-1]
-
-    def decode(self, ids: list[int]) -> str:
+        return [at[1]] if at else [self.bytes[b] for b in char.encode("utf-8")] if self.bytes else [self.unknown]
+
+    def decode(self, ids: list[int] | None) -> str:
         """The text of ids, without the mark that encoding puts before it."""
-        out, run = [], bytearray()
-        for i in ids:
-            b = self.byte_of.get(i)
-            if b is not None:
-                run.append(b)
-                continue
-            if run:
-                out.append(run.decode("utf-8", "replace"))
-                run = bytearray()
-            out.append(self.text[i])
-        if run:
-            out.append(run.decode("utf-8", "replace"))
-        return "".join(out).replace(MARK, " ").removeprefix(" ")
-
-
-def runs_of(text: str | None) -> list[str]:
-    """A text's runs in order, with the mark before it and for each space: marks and what follows up to the next mark or line."""
-    return _UNITS.findall(MARK + text.replace(" ", MARK)) if text else []
-
-
-# cuts of a unit by merging: positions that remain, from all of them; sc: for each inner cut the score of joining what it parts,
+        return b"".join(map(self.raw.__getitem__, ids or [])).replace(MARK.encode(), b" ").decode("utf-8", "replace").removeprefix(" ")
+
+
+# cuts of a word by merging: positions that remain, from all of them; sc: for each inner cut the score of joining what it parts,
 # of which a step renews just the two beside the cut that goes. edge: the map from s * 2^20 + e to (score, id)
 _MERGE = """
-if(len < 2, sequence(0, len), aggregate(sequence(1, len - 1),
-  struct(sequence(0, len) AS cuts, transform(sequence(1, len - 1), k -> coalesce(try_element_at(edge, (k - 1) * 1048576L + k + 1).sc, -1e300D)) AS sc), (acc, step) ->
+if(length(unit) < 2, sequence(0, length(unit)), aggregate(sequence(1, length(unit) - 1),
+  struct(sequence(0, length(unit)) AS cuts, transform(sequence(1, length(unit) - 1), k -> coalesce(try_element_at(edge, (k - 1) * 1048576L + k + 1).sc, -1e300D)) AS sc), (acc, step) ->
   transform(array(coalesce(array_max(acc.sc), -1e300D)), top -> if(top <= -1e300D, acc,
     transform(array(int(array_position(acc.sc, top))), p -> struct(
       concat(slice(acc.cuts, 1, p), slice(acc.cuts, p + 2, size(acc.cuts))) AS cuts,
@@ -163,118 +130,167 @@ if(len < 2, sequence(0, len), aggregate(sequence(1, len - 1),
         if(p < size(acc.sc), array(coalesce(try_element_at(edge, acc.cuts[p - 1] * 1048576L + acc.cuts[p + 2]).sc, -1e300D)), cast(array() AS array<double>)),
         slice(acc.sc, p + 2, size(acc.sc))) AS sc))[0]))[0], acc -> acc.cuts))
 """
-# best path to each position, as (score, start); edges lie in order of their end, then their start
-_VITERBI = """
-aggregate(array_sort(concat(found, transform(filter(sequence(0, len - 1), k -> NOT map_contains_key(edge, k * 1048576L + k + 1)), k -> struct(k AS s, k + 1 AS e, {unknown!r}D AS sc, -1 AS id))),
-    (x, y) -> if(x.e <> y.e, x.e - y.e, x.s - y.s)), array(struct(0.0D AS sc, 0 AS s)), (best, x) ->
-  if(size(best) = x.e, concat(best, array(struct(best[x.s].sc + x.sc AS sc, x.s AS s))),
-    if(best[x.s].sc + x.sc > best[x.e].sc, concat(slice(best, 1, x.e), array(struct(best[x.s].sc + x.sc AS sc, x.s AS s))), best)),
-  best -> reverse(aggregate(sequence(1, len), array(len), (cuts, step) -> if(cuts[size(cuts) - 1] = 0, cuts, concat(cuts, array(best[cuts[size(cuts) - 1]].s))))))
+# an edge: its end e, minus its length b, its score sc, its id. The ids between cuts; the map and the cuts are elements of one-element
+# arrays, so that each is made once and not again at every use
+_MERGE_IDS = f"""
+transform(array(map_from_entries(transform(found, x -> struct((x.e + x.b) * 1048576L + x.e, struct(x.sc AS sc, x.id AS id))))), edge ->
+  transform(array({_MERGE}), cuts -> transform(sequence(1, size(cuts) - 1), k -> edge[cuts[k - 1] * 1048576L + cuts[k]].id))[0])[0]
 """
-# the map and the cuts are elements of one-element arrays, so that each is made once and not again at every use
-_IDS = """
-transform(array(map_from_entries(transform(found, x -> struct(x.s * 1048576L + x.e, struct(x.sc AS sc, x.id AS id))))), edge ->
-  transform(array({cuts}), cuts -> transform(sequence(1, size(cuts) - 1), k ->
-    coalesce(try_element_at(edge, cuts[k - 1] * 1048576L + cuts[k]).id, -1 - ascii(substring(unit, cuts[k - 1] + 1, 1)))))[0])[0]
+# best path over edges in order of their end, the longest first. w: score and ids of the best path to each of the last positions, as
+# far back as a piece reaches; e, sc, b, id: the position in work and its best edge so far
+_STEP_BACK = "element_at(acc.w, x.b).sc + x.sc"
+_DONE = "concat(element_at(acc.w, acc.b).ids, array(acc.id))"
+_VITERBI_IDS = f"""
+aggregate(sort_array(found), named_struct('w', array(named_struct('sc', 0.0D, 'ids', cast(array() AS array<int>))), 'e', 1, 'sc', -1e300D, 'b', 0, 'id', 0), (acc, x) ->
+  if(x.e = acc.e,
+    if({_STEP_BACK} > acc.sc, named_struct('w', acc.w, 'e', acc.e, 'sc', {_STEP_BACK}, 'b', x.b, 'id', x.id), acc),
+    transform(array(concat(if(size(acc.w) < {{reach}}, acc.w, slice(acc.w, 2, {{reach}} - 1)), array(named_struct('sc', acc.sc, 'ids', {_DONE})))), w ->
+      named_struct('w', w, 'e', acc.e + 1, 'sc', {_STEP_BACK.replace("acc.w", "w")}, 'b', x.b, 'id', x.id))[0]),
+  acc -> {_DONE})
 """
 
 
 def lattice(units: DataFrame, pieces: DataFrame, *, kind: str, longest: int, lowest: float) -> DataFrame:
-    """unit, ids for the distinct units; -1 - c stands for the single character c.
+    """unit, ids for the distinct units; -1 - c stands for the single character c without a piece.
+
+    pieces is broadcast: its size is the vocabulary's. The edges of a unit are found and grouped where the unit is.
+    """
+    # substrings are taken from blocks of a unit, as taking one from a long text walks to its place
+    blocks = units.select("unit", F.explode(F.expr("sequence(0, greatest(length(unit) - 1, 0) div 64)")).alias("b"))
+    blocks = blocks.select("unit", "b", F.expr(f"substring(unit, b * 64 + 1, {63 + longest})").alias("part"))
+    spots = blocks.select("unit", "b", "part", F.explode(F.expr("sequence(1, least(64, length(part)))")).alias("p"))
+    subs = spots.select("unit", F.expr("int(b * 64 + p - 1)").alias("s"), "part", "p", F.explode(F.expr(f"sequence(1, least({longest}, length(part) - p + 1))")).alias("n"))
+    subs = subs.select("unit", "s", "n", F.expr("substring(part, p, n)").alias("sub"))
+    edges = subs.join(F.broadcast(pieces), subs["sub"] == pieces["piece"], "left").filter("id is not null or n = 1")
+    edges = edges.select("unit", F.expr("s + n").alias("e"), F.expr("-n").alias("b"), F.expr(f"coalesce(score, {lowest - UNKNOWN_PENALTY!r}D)").alias("sc"), F.expr("coalesce(id, -1 - ascii(sub))").alias("id"))
+    found = edges.groupBy("unit").agg(F.collect_list(F.struct("e", "b", "sc", "id")).alias("found"))
+    return found.select("unit", F.expr(_MERGE_IDS if kind == "merge" else _VITERBI_IDS.format(reach=longest)).alias("ids"))
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, list]]:
+    """Parts of batches, each with a number by its rows and its texts (the first column)."""
+    for batch in batches:
+        step = -(-batch.num_rows // min(max(1, batch.num_rows), 1 + batch.column(0).nbytes // CHUNK_BYTES))
+        for lo in range(0, batch.num_rows, max(1, step)):
+            part = batch.slice(lo, step)
+            texts = part.column(0).to_pylist()
+            h = xxhash.xxh64(str(part.num_rows))
+            for t in texts:
+                h.update((t or "")[:64].encode("utf-8", "replace") + b"|%d" % len(t or ""))
+            yield h.intdigest() - (1 << 63), part, texts
+
+
+def _bundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of some batches of (chunk, unit, ids) at once, the rows of each chunk as one compressed row."""
+
+    def bundles(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        rows = rows.take(np.argsort(rows.column("chunk").to_numpy(), kind="stable")).combine_chunks()
+        chunk = rows.column("chunk").to_numpy()
+        lists = rows.column("ids").chunk(0)
+        at, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype("<i4")
+        ends = np.flatnonzero(np.append(chunk[1:] != chunk[:-1], True)) + 1
+        out = []
+        for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            flat = values[at[a] : at[b]]
+            out.append(zstd.ZstdCompressor(level=3).compress(pickle.dumps((rows.column("unit").slice(a, b - a).to_pylist(), np.diff(at[a : b + 1]).astype("<u4").tobytes(), flat.view(np.uint8).reshape(-1, 4).T.tobytes()))))
+        return pa.RecordBatch.from_pydict({"chunk": pa.array(chunk[ends - 1], pa.int64()), "data": pa.array(out, pa.binary())})
 
-    pieces is broadcast: its size is the vocabulary's. Substrings and pieces are equal if their 64-bit hashes and then they themselves
-    are. The edges of a unit are found and grouped where the unit is. Merging needs no edges of one character: those are where it
-    starts, and units without a longer edge have no row.
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= BUNDLED_ROWS:
+            yield bundles(held)
+            held, n = [], 0
+    if n:
+        yield bundles(held)
+
+
+class _Filling(dict):
+    """A dictionary that makes what it lacks."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        got = self[key] = self.make(key)
+        return got
+
+
+def encode(docs: DataFrame, pieces: Pieces, *, text: str = "text", keep: list[str] | None = None, kind: str = "viterbi", digests: bool = False, settled: bool = False) -> DataFrame:
+    """The columns to keep (all, if not given) with ids; or, for digests, with n_tokens, ids_sha256, decoded_sha256 and exact.
+
+    docs is read twice and must give the same rows in the same order. settled: it does (a table of files); else it is stored first.
     """
-    least = 2 if kind == "merge" else 1
-    spots = units.filter(F.length("unit") <= LONGEST_UNIT).select("unit", F.explode(F.expr(f"sequence(1, greatest(length(unit) - {least - 1}, 1))")).alias("s"))
-    subs = spots.filter(f"length(unit) >= {least}").select("unit", "s", F.explode(F.expr(f"sequence({least}, least({longest}, length(unit) - s + 1))")).alias("n"))
-    subs = subs.select("unit", F.expr("s - 1").alias("s"), F.expr("s - 1 + n").alias("e"), F.expr("substring(unit, s, n)").alias("sub")).withColumn("h", F.xxhash64("sub"))
-    known = pieces.select(F.xxhash64("piece").alias("h"), "piece", "score", "id").filter(F.length("piece") >= least)
-    edges = subs.join(F.broadcast(known), "h").filter("sub = piece").groupBy("unit").agg(F.collect_list(F.struct("s", "e", F.col("score").alias("sc"), "id")).alias("found"), F.first(F.length("unit")).alias("len"))
-    cuts = _MERGE if kind == "merge" else _VITERBI.format(unknown=lowest - UNKNOWN_PENALTY)
-    return edges.select("unit", F.expr(_IDS.format(cuts=cuts)).alias("ids"))
-
-
-def _chunk_of(batch: pa.RecordBatch, texts: list) -> int:
-    """A number for a batch, by its rows."""
-    h = xxhash.xxh64(str(batch.num_rows))
-    for t in texts:
-        h.update((t or "")[:64].encode("utf-8", "replace") + b"|%d" % len(t or ""))
-    return h.intdigest() - (1 << 63)
-
-
-def encode(docs: DataFrame, pieces: Pieces, *, text: str = "text", keep: list[str] | None = None, kind: str | None = None, digests: bool = False) -> DataFrame:
-    """The columns to keep (all, if not given) with ids; or, for digests, with n_tokens, ids_sha256, decoded_sha256 and exact."""
-    kind = kind or pieces.kind
     kept = docs.columns if keep is None else keep
     rows = docs.select(F.col(text).alias("_text"), *(F.col(c).alias(f"_{k}") for k, c in enumerate(kept)))
+    if not settled:
+        rows = stored(rows, "texts")
 
     def pairs(batches):
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            runs: set[str] = set()
+        own = pickle.loads(held.value)
+        for chunk, _, texts in _chunks(batches):
+            seen: set[str] = set()
             for t in texts:
-                runs.update(runs_of(t))
-            own = pickle.loads(held.value)
-            seen = {u for r in runs for u in own.cut(r)}
-            yield pa.RecordBatch.from_arrays([pa.array([_chunk_of(batch, texts)] * len(seen), pa.int64()), pa.array(sorted(seen), pa.string())], names=["chunk", "unit"])
+                seen.update(words_of(t))
+            words = pa.array(sorted({u for w in seen for u in own.parts_of(w)}), pa.string())
+            for lo in range(0, len(words), 65536):
+                part = words.slice(lo, 65536)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), chunk)), part], names=["chunk", "unit"])
 
     def packed(batches):
-        for batch in batches:
+        for chunk, part, _ in _chunks(batches):
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, batch.schema) as out:
-                out.write_batch(batch)
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array([_chunk_of(batch, batch.column(0).to_pylist())], pa.int64()), "data": pa.array([zstd.ZstdCompressor(level=3).compress(sink.getvalue().to_pybytes())], pa.binary())})
+            with pa.ipc.new_stream(sink, part.schema) as out:
+                out.write_batch(part)
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int64()), "data": pa.array([zstd.ZstdCompressor(level=3).compress(sink.getvalue())], pa.binary())})
 
     held = docs.sparkSession.sparkContext.broadcast(pickle.dumps(pieces))  # the vocabulary
-    looked_up = rows.select("_text").mapInArrow(pairs, "chunk long, unit string")
-    coded = lattice(looked_up.select("unit").distinct(), pieces.table(docs.sparkSession), kind=kind, longest=pieces.longest, lowest=pieces.lowest)
-    words = looked_up.join(coded, "unit").select("chunk", "unit", "ids")
+    # dealt by unit once, for the lattice and for the join with it: both read the same two columns, so that Spark reuses the exchange.
+    # A unit has some twenty edges, which a task sorts: hence more parts than usual
+    parts = PARTS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    looked_up = rows.mapInArrow(pairs, "chunk long, unit string").filter("unit is not null").repartition(parts, "unit")
+    distinct = looked_up.groupBy("unit").agg(F.min("chunk").alias("some")).filter("some is not null").select("unit")
+    coded = lattice(distinct, pieces.table(docs.sparkSession), kind=kind, longest=pieces.longest, lowest=pieces.lowest)
+    words = looked_up.join(coded.hint("merge"), "unit").select("chunk", "unit", "ids").mapInArrow(_bundled, "chunk long, data binary")
     texts = rows.mapInArrow(packed, "chunk long, data binary")
 
     fields = ["n_tokens long", "ids_sha256 string", "decoded_sha256 string", "exact boolean"] if digests else ["ids array<int>"]
-    out_schema = ", ".join([f"`_{k}` {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(kept)] + fields)
+    out_schema = T.StructType([T.StructField(f"_{k}", docs.schema[c].dataType) for k, c in enumerate(kept)] + list(T._parse_datatype_string(", ".join(fields)).fields))
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
         own = pickle.loads(held.value)
         known: dict[str, bytes] = {}
-        for batch in left.to_batches():
-            lists = batch.column("ids")
-            at, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype("<i4")
-            raw = flat.tobytes()
-            low = np.minimum.reduceat(np.append(flat, 0), np.minimum(at[:-1], len(flat))) if len(at) > 1 else []
-            for u, a, b, least in zip(batch.column("unit").to_pylist(), at[:-1].tolist(), at[1:].tolist(), np.asarray(low).tolist(), strict=True):
-                if least < 0:
-                    ids = [x for i in flat[a:b].tolist() for x in ([i] if i >= 0 else own.one(chr(-1 - i)))]
-                    known[u] = np.array(ids, "<i4").tobytes()
-                else:
-                    known[u] = raw[4 * a : 4 * b]
-        tables, coded_runs = [], {}
+        for data in left.column("data").to_pylist():
+            units, counts, planes = pickle.loads(zstd.ZstdDecompressor().decompress(data))
+            flat = np.frombuffer(planes, np.uint8).reshape(4, -1).T.copy().view("<i4").ravel()
+            at = np.concatenate([[0], np.cumsum(np.frombuffer(counts, "<u4"), dtype=np.int64)])
+            raw, ends = flat.tobytes(), (at * 4).tolist()
+            known.update(zip(units, [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)], strict=True))
+            for k in np.unique(np.searchsorted(at, np.flatnonzero(flat < 0), side="right") - 1).tolist():
+                known[units[k]] = np.array([x for i in flat[at[k] : at[k + 1]].tolist() for x in ([i] if i >= 0 else own.of_char(chr(-1 - i)))], "<i4").tobytes()
+        coded_words = _Filling(lambda w: b"".join([known[u] for u in own.parts_of(w)]))
+        tables = []
         for data in right.column("data").to_pylist():
-            batch = pa.ipc.open_stream(zstd.ZstdDecompressor().decompress(data)).read_all().to_batches()[0]
-            coded_texts = []
-            for t in batch.column(0).to_pylist():
-                runs = runs_of(t)
-                for r in set(runs).difference(coded_runs):
-                    units = own.cut(r)
-                    for u in units:
-                        if u not in known:
-                            known[u] = np.array(own.encode_unit(u, kind), "<i4").tobytes()
-                    coded_runs[r] = b"".join(map(known.__getitem__, units))
-                coded_texts.append(b"".join(map(coded_runs.__getitem__, runs)))
-            if digests:
-                back = [own.decode(np.frombuffer(c, "<i4").tolist()) for c in coded_texts]
-                cols = [pa.array([len(c) // 4 for c in coded_texts], pa.int64()), pa.array([hashlib.sha256(c).hexdigest() for c in coded_texts]), pa.array([hashlib.sha256(b.encode("utf-8")).hexdigest() for b in back]), pa.array([b == (t or "") for b, t in zip(back, batch.column(0).to_pylist(), strict=True)])]
-            else:
-                ends = np.concatenate([[0], np.cumsum([len(c) // 4 for c in coded_texts])]).astype(np.int32)
-                cols = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded_texts), "<i4")))]
-            tables.append(pa.Table.from_arrays([*batch.columns[1:], *cols], names=[*batch.schema.names[1:], *(f.split()[0] for f in fields)]))
-        return pa.concat_tables(tables) if tables else pa.Table.from_arrays([pa.array([], f.type) for f in empty], schema=empty)
-
-    empty = to_arrow_schema(docs.sparkSession.createDataFrame([], out_schema).schema)
+            whole = pa.ipc.open_stream(zstd.ZstdDecompressor().decompress(data)).read_all().to_batches()[0]
+            for batch in slices(whole):
+                texts = batch.column(0).to_pylist()
+                coded_texts = [b"".join(map(coded_words.__getitem__, words_of(t))) for t in texts]
+                if digests:
+                    back = [own.decode(np.frombuffer(c, "<i4").tolist()) for c in coded_texts]
+                    cols = [pa.array([len(c) // 4 for c in coded_texts], pa.int64()), pa.array([hashlib.sha256(c).hexdigest() for c in coded_texts], pa.string()), pa.array([hashlib.sha256(b.encode("utf-8")).hexdigest() for b in back], pa.string()), pa.array([b == (t or "") for b, t in zip(back, texts, strict=True)], pa.bool_())]
+                else:
+                    ends = np.concatenate([[0], np.cumsum([len(c) // 4 for c in coded_texts])]).astype(np.int32)
+                    cols = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded_texts), "<i4")))]
+                tables.append(pa.Table.from_arrays([*batch.columns[1:], *cols], names=out_schema.names))
+        return pa.concat_tables(tables) if tables else empty.empty_table()
+
+    empty = to_arrow_schema(out_schema)
     got = words.groupBy("chunk").cogroup(texts.groupBy("chunk")).applyInArrow(apply, out_schema)
-    return got.select(*(F.col(f"_{k}").alias(c) for k, c in enumerate(kept)), *(f.split()[0] for f in fields))
+    names = T._parse_datatype_string(", ".join(fields)).names
+    return got.select(*(F.col(f"_{k}").alias(c) for k, c in enumerate(kept)), *(F.col(n).alias(free_name(docs.select(*kept), n)) for n in names))
 
 
 def decode(df: DataFrame, pieces: Pieces, *, ids: str = "ids", into: str = "decoded") -> DataFrame:
@@ -282,16 +298,16 @@ def decode(df: DataFrame, pieces: Pieces, *, ids: str = "ids", into: str = "deco
     at = df.columns.index(ids)
 
     def start():
-        return lambda batch: [pa.array([pieces.decode(i or []) for i in batch.column(at).to_pylist()], pa.string())]
+        return lambda batch: [pa.array([pieces.decode(i) for i in batch.column(at).to_pylist()], pa.string())]
 
     return append_arrow(df, T.StructType([T.StructField(free_name(df, into), T.StringType())]), start)
 
 
-def encoded_stage(docs: DataFrame, model: str = MODEL) -> DataFrame:
+def encoded_stage(docs: DataFrame, model: str = MODEL, settled: bool = False) -> DataFrame:
     """Last pipeline stage: the documents' columns without the text, and their ids."""
-    return encode(docs, Pieces(model), keep=[c for c in docs.columns if c not in ("text", "ids")])
+    return encode(docs, Pieces(model), keep=[c for c in docs.columns if c != "text"], settled=settled)
 
 
 def op2_sentencepiece(spark, sf_dir):
-    """Every whole document encoded and decoded again, as digests."""
-    return encode(table(spark, sf_dir, "documents").select("doc_id", "text"), Pieces(), keep=["doc_id"], digests=True)
+    """Every whole document encoded by the best path over its lattice and decoded again, as digests."""
+    return encode(table(spark, sf_dir, "documents").select("doc_id", "text"), Pieces(), keep=["doc_id"], digests=True, settled=True)
