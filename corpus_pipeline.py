@@ -29,7 +29,7 @@ def mix_sources(spark, docs, sf_dir):
 
 
 def sentencepiece(spark, docs, sf_dir):
-    return pieces.encoded_stage(docs)
+    return pieces.encoded_stage(docs, settled=True)  # docs is a stored table
 
 
 STAGES = [
