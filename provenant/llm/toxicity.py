@@ -7,7 +7,7 @@ a few telling words count beside many others, and drops none.
 
 The vectors of a bounded sample of labelled rows form a block-max inverted index: posting lists by bin, cut into blocks of examples,
 with the largest weight of each bin in each block. A query bounds each block by the sum of query weight times block
-maximum, and reads the postings of blocks in descending order of that bound until none can beat the k-th best cosine: the
+maximum, reads the postings of the blocks of highest bound, and then of all others whose bound reaches the k-th best cosine: the
 neighbours are exact. Like examples share blocks.
 
 The score is the vote of the k nearest examples, each weighing 1 / (NEAR + distance), calibrated by isotonic regression
@@ -25,6 +25,7 @@ import re
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from pyspark.sql import types as T
 from provenant.llm.common import append_arrow, crc_mod, free_name, sampled_by_hash, slices, spread, table
 
 #: Upper bounds, for each label, of the labelled sample and of the examples in the index.
-SAMPLE_PER_LABEL, EXAMPLES_PER_LABEL = 3000, 1200
+SAMPLE_PER_LABEL, EXAMPLES_PER_LABEL = 3000, 400
 BINS = 1 << 20
 STEM = 5
 #: Weight of a bin that has no relation to the label.
@@ -46,7 +47,9 @@ CHANCE, CERTAIN = 6.0, 16.0
 #: Distance at which a neighbour weighs half of what a copy does.
 NEAR = 0.05
 NEIGHBOURS = 9
-BLOCK = 32
+BLOCK = 64
+#: Blocks that are read before any can be passed over.
+FIRST_BLOCKS = 2
 PREDICT_AT = 0.3
 _WORD = re.compile(r"\w+")
 FIELDS = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("evidence", T.StringType())])
@@ -58,18 +61,22 @@ def bins_of(word: str) -> tuple[int, ...]:
     return (own, zlib.crc32(word[:STEM].encode("utf-8", "replace"), 1) & (BINS - 1)) if len(word) > STEM else (own,)
 
 
-def term_counts(text: str | None, known: dict[str, tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted bins of a text and how often each occurs. known: the bins of words met before."""
-    at: list[int] = []
-    n: list[int] = []
-    for w, k in Counter(_WORD.findall((text or "").lower())).items():
-        if (bins := known.get(w)) is None:
-            bins = bins_of(w)
-            if len(known) < 400_000:
-                known[w] = bins
-        at += bins
-        n += [k] * len(bins)
-    u, inverse = np.unique(np.array(at, np.int64), return_inverse=True)
+class Bins(dict):
+    """The bins of words met before in this process."""
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) >= 400_000:
+            self.clear()
+        got = self[word] = bins_of(word)
+        return got
+
+
+def term_counts(text: str | None, known: Bins) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted bins of a text and how often each occurs."""
+    words = Counter(_WORD.findall((text or "").lower()))
+    bins = list(map(known.__getitem__, words))
+    n = np.repeat(np.fromiter(words.values(), np.int64, len(words)), np.fromiter(map(len, bins), np.int64, len(bins)))
+    u, inverse = np.unique(np.fromiter(chain.from_iterable(bins), np.int64, len(n)), return_inverse=True)
     return u, np.bincount(inverse, n, len(u))
 
 
@@ -77,7 +84,7 @@ def document_frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
     """Over all rows: documents that hold each bin, and documents. A task sends a count for each bin it met; BINS of them reach the driver at most."""
 
     def count(batches):
-        df, n, known = np.zeros(BINS, np.int32), 0, {}
+        df, n, known = np.zeros(BINS, np.int32), 0, Bins()
         for batch in batches:
             for part in slices(batch):
                 for t in part.column(0).to_pylist():
@@ -114,7 +121,8 @@ class BlockMaxIndex:
     size: int = BLOCK
 
     @classmethod
-    def build(cls, vectors: list[tuple[np.ndarray, np.ndarray]], size: int = BLOCK) -> BlockMaxIndex:
+    def build(cls, vectors: list[tuple[np.ndarray, np.ndarray]], size: int | None = None) -> BlockMaxIndex:
+        size = size or BLOCK
         n = np.array([len(v[0]) for v in vectors], np.int64)
         at = np.concatenate([v[0] for v in vectors]) if len(n) else np.zeros(0, np.int64)
         w = np.concatenate([v[1] for v in vectors]).astype(np.float32) if len(n) else np.zeros(0, np.float32)
@@ -139,20 +147,22 @@ class BlockMaxIndex:
         cells, q = _ranges(self.cell_of[place], n), np.repeat(weight, n)
         block = self.block[cells]
         bound = np.bincount(block, q * self.most[cells], -(-self.rows // self.size))
-        order = np.argsort(-bound, kind="stable")
-        lo, step = 0, 4
-        while lo < len(order) and bound[order[lo]] > 0 and (len(sims) < k or bound[order[lo]] >= sims[-1] - 1e-6):
-            taken = np.zeros(len(bound), bool)
-            taken[order[lo : lo + step]] = True
+        first = np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]
+        left = bound > 0
+        # the best blocks first; then, at once, all others whose bound reaches the k-th best cosine found there
+        for taken in (np.isin(np.arange(len(bound)), first) & left, None):
+            if taken is None:
+                taken = left & (bound >= sims[-1] - 1e-6) if len(sims) == k else left
+            left = left & ~taken
             own = taken[block]
-            m = self.start[cells[own] + 1] - self.start[cells[own]]
-            post = _ranges(self.start[cells[own]], m)
+            at_cells = cells[own]
+            m = self.start[at_cells + 1] - self.start[at_cells]
+            post = _ranges(self.start[at_cells], m)
             got = np.bincount(self.example[post], np.repeat(q[own], m) * self.weight[post], self.rows)
             new = np.flatnonzero(got > 0)
             ids, sims = np.concatenate([ids, new]), np.concatenate([sims, got[new]])
             best = np.lexsort((ids, -sims))[:k]
             ids, sims = ids[best], sims[best]
-            lo, step = lo + step, step * 2
         return ids, sims
 
 
@@ -186,7 +196,7 @@ class ToxicityModel:
     blank: float
     neighbours: int = NEIGHBOURS
 
-    def vector(self, text: str | None, known: dict) -> tuple[np.ndarray, np.ndarray]:
+    def vector(self, text: str | None, known: Bins) -> tuple[np.ndarray, np.ndarray]:
         """Bins and unit weights of a text."""
         at, tf = term_counts(text, known)
         w = (1 + np.log(tf)) * self.scale[at]
@@ -199,7 +209,7 @@ class ToxicityModel:
         pull = 1 / (NEAR + np.maximum(0.0, 1 - sims))
         return float((pull * self.label[ids]).sum() / pull.sum()), ids, sims
 
-    def score(self, text: str | None, known: dict, memo: dict) -> tuple[float, str]:
+    def score(self, text: str | None, known: Bins, memo: dict) -> tuple[float, str]:
         """Score and evidence. memo: results of texts met before in this process."""
         key = xxhash.xxh64_intdigest((text or "").encode("utf-8", "replace")), len(text or "")
         if (got := memo.get(key)) is None:
@@ -233,7 +243,7 @@ def _grouped(vectors: list[tuple[np.ndarray, np.ndarray]], pivots: int = 32) ->
 
 def fit_examples(examples: list[tuple[int, str | None, int]], idf: np.ndarray, shares: tuple[float, float] | None = None, *, per_label: int = EXAMPLES_PER_LABEL, neighbours: int = NEIGHBOURS) -> ToxicityModel:
     """Model of (id, text, label 0 or 1) rows held on the driver. shares: labels 0 and 1 among all labelled rows, if not as in the examples."""
-    known: dict = {}
+    known = Bins()
     # in an order without meaning; two thirds make the relation and, as far as they go in, the index; the others calibrate
     examples = sorted(examples, key=lambda e: (zlib.crc32(str(e[0]).encode()), e[0], e[1] or ""))
     picks = [zlib.crc32(str(e[0]).encode()) // 64 % 3 > 0 for e in examples]
@@ -284,7 +294,7 @@ def score(docs: DataFrame, model: ToxicityModel, *, text: str = "text", predict_
     fields = T.StructType([T.StructField(free_name(docs, f.name), f.dataType) for f in FIELDS])
 
     def start():
-        m, known, memo = held.value, {}, {}
+        m, known, memo = held.value, Bins(), {}
 
         def each(batch: pa.RecordBatch) -> list[pa.Array]:
             got = [m.score(t, known, memo) for t in batch.column(at).to_pylist()]

@@ -47,6 +47,23 @@ def test_flac_round_trip_and_seek():
     assert len(kinds) >= 2
 
 
+def test_flac_frames_without_seek_points():
+    """The same frames behind a header without a SEEKTABLE: a stream as other encoders write it."""
+    payload = flac.padded(bytes(range(256)) * 70 + b"\xff\xf8" * 900)
+    (stream,) = flac.encode_batch([payload])
+    p = flac.Stream(stream)
+    plain = stream[:4] + bytes([0x80]) + stream[5:42] + stream[p.first :]
+    (blocks,) = flac.pcm_blocks([plain])
+    assert b"".join(b["pcm"] for b in blocks).translate(flac._BACK) == payload
+    assert [b["sample_offset"] for b in blocks] == list(range(0, len(payload), flac.BLOCK))
+    broken = plain[:-5] + bytes([plain[-5] ^ 8]) + plain[-4:]
+    with pytest.raises(ValueError):
+        flac.pcm_blocks([broken])
+    assert flac.pcm_blocks([broken, plain, None], "null")[0::2] == [None, None]
+    with pytest.raises(ValueError):
+        flac._parse_header(bytes([0xFF, 0xF8, 0x02, 0x00, 0, 0, 0, 0]), 8)
+
+
 def _bits(fields):
     text = "".join(f"{v & ((1 << n) - 1):0{n}b}" for v, n in fields if n)
     text += "0" * (-len(text) % 8)
@@ -94,21 +111,54 @@ def test_flac_columns(spark, awkward):
 
 def test_op1(spark, docs):
     want = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
-    for r in flac.op1_flac(spark, SF).collect():
+    got = flac.op1_flac(spark, SF).collect()
+    assert len(got) == len(want)
+    for r in got:
         p = flac.padded(want[r["doc_id"]])
+        x = np.frombuffer(p, np.uint8).astype(int) - 128
+        media = flac.flac_streams([want[r["doc_id"]]])[0]
+        assert (r["media_bytes"], r["media_sha256"], r["n_blocks"]) == (len(media), hashlib.sha256(media).hexdigest(), -(-len(p) // 4096))
+        crossings = sum((a > 0) != (b > 0) for a, b in zip(x, x[1:], strict=False))
+        assert r["feature"] == f"mean={x.mean():.4f};power={(x * x).mean():.3f};crossings={crossings};levels={len(set((x >> 4).tolist()))}"
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(want[r["doc_id"]]), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
 
 
 # --- SentencePiece
 
 
-def test_encoding_equals_the_library(spark, docs, awkward):
+def best_path(run, by_piece, lowest):
+    """A plain dynamic program over one line: ids of the best sum of scores, the longest piece first among equals."""
+    best = [(0.0, 0)]
+    for e in range(1, len(run) + 1):
+        found = []
+        for a in range(max(0, e - 16), e):
+            at = by_piece.get(run[a:e])
+            if at or a == e - 1:
+                found.append((best[a][0] + (at[0] if at else lowest - 10.0), a))
+        best.append(max(found, key=lambda x: (x[0], -x[1])))
+    cuts = [len(run)]
+    while cuts[-1]:
+        cuts.append(best[cuts[-1]][1])
+    return [run[a:b] for a, b in zip(cuts[::-1], cuts[-2::-1], strict=False)]
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    m = pb.ModelProto()
+    with open(pieces.MODEL, "rb") as f:
+        m.ParseFromString(f.read())
+    return m
+
+
+def test_merging_equals_the_library(spark, docs, awkward):
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
     p = pieces.Pieces()
     both = docs.select("doc_id", "text").union(awkward)
-    out = pieces.encode(both, p, keep=["doc_id", "text"])
+    out = pieces.encode(both, p, keep=["doc_id", "text"], kind="merge")
     got = pieces.decode(out, p).collect()
     assert len(got) == both.count()
     for r in got:
@@ -116,21 +166,35 @@ def test_encoding_equals_the_library(spark, docs, awkward):
         assert r["decoded"] == (r["text"] or "")
 
 
-def test_viterbi_path_is_best(spark, docs):
-    """The lattice's path is that of a plain dynamic program over the whole line, and no worse than the library's unigram engine's."""
+def test_op2_is_the_best_path(spark, docs, awkward, vocabulary, tmp_path):
+    """The registered query's ids are those of a plain dynamic program over whole lines, and no worse than the library's unigram engine's."""
     import sentencepiece
-    from sentencepiece import sentencepiece_model_pb2 as pb
 
-    m = pb.ModelProto()
-    with open(pieces.MODEL, "rb") as f:
-        m.ParseFromString(f.read())
-    m.trainer_spec.model_type = 1
-    sp, p = sentencepiece.SentencePieceProcessor(model_proto=m.SerializeToString()), pieces.Pieces()
-    score = lambda ids: sum(p.by_piece[p.text[i]][0] if p.text[i] in p.by_piece else p.lowest - 10 for i in ids)
-    some = docs.selectExpr("doc_id", "explode(split(text, '\\n')) as text").filter("length(text) between 1 and 900")
-    for r in pieces.encode(some, p, keep=["text"], kind="viterbi").collect():
-        assert r["ids"] == p.encode_unit(pieces.MARK + r["text"].replace(" ", pieces.MARK), "viterbi")
-        assert score(r["ids"]) >= score(sp.encode(r["text"]))
+    by_piece = {x.piece: (x.score, i) for i, x in enumerate(vocabulary.pieces) if x.type in (1, 4)}
+    lowest = min(v[0] for v in by_piece.values())
+    bytes_of = {int(x.piece[1:-1], 16): i for i, x in enumerate(vocabulary.pieces) if x.type == 6}
+    coded = lambda part: [by_piece[part][1]] if part in by_piece else [bytes_of[b] for b in part.encode()]
+    rows = [(r["doc_id"], r["text"]) for r in docs.filter("doc_id % 7 = 0").collect()] + AWKWARD + [(8, "a  b\n  c \n"), (9, " x"), (10, "y" * 150 + "zq" * 90)]
+    spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["doc_id"], r["ids_sha256"], r["decoded_sha256"], r["n_tokens"], r["exact"]) for r in pieces.op2_sentencepiece(spark, str(tmp_path)).collect()}
+    vocabulary.trainer_spec.model_type = 1
+    sp = sentencepiece.SentencePieceProcessor(model_proto=vocabulary.SerializeToString())
+    score = lambda parts: sum(by_piece[x][0] if x in by_piece else lowest - 10 for x in parts)
+    want = set()
+    for i, t in rows:
+        parts, line = [], pieces.MARK + (t or "").replace(" ", pieces.MARK) if t else ""
+        for k, run in enumerate(line.split("\n")):
+            parts += (["\n"] if k else []) + best_path(run, by_piece, lowest)
+        ids = [x for part in parts for x in coded(part)]
+        want.add((i, hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest(), len(ids), True))
+        if t and len(t) < 900:
+            assert score(parts) >= score(sp.encode(t, out_type=str)) - 1e-6
+    assert got == want
+    p = pieces.Pieces()
+    clash = pieces.encode(spark.createDataFrame([(1, "a b", [9])], "doc_id long, text string, ids array<int>"), p)
+    assert clash.columns == ["doc_id", "text", "ids", "_ids"] and clash.first()["ids"] == [9]
+    assert pieces.encoded_stage(clash.drop("_ids")).columns == ["doc_id", "ids", "_ids"]
+    assert pieces.encode(spark.createDataFrame([], SCHEMA), p).count() == 0
 
 
 # --- quality, language, toxicity
@@ -146,6 +210,37 @@ def test_quality_orders_grades(spark):
     assert np.allclose(quality.fit_examples([], 3).tails(*quality.features("x", known)), [2 / 3, 1 / 3])
 
 
+def test_quality_is_the_stated_model(spark, awkward):
+    """Scores of awkward rows equal the cumulative-link formula on features written out by their definition."""
+    import math
+
+    rows = [("fine words here", 2), ("fine but trash", 1), ("spam spam 9", 0)] * 9
+    model = quality.fit_examples(rows, 3)
+    out = quality.score(awkward.withColumnRenamed("doc_id", "keep"), model).collect()
+    assert len(out) == len(AWKWARD) and out[0].asDict().keys() == {"keep", "text", "expected_grade", "tail_probability", "_keep"}
+    b = lambda f: zlib.crc32(f.encode()) & (2**15 - 1)
+    for r in out:
+        ws = (r["text"] or "").split()
+        n = {w: ws.count(w) for w in set(ws)} if len(ws) < 9 else None
+        if n is None:
+            continue
+        x, norm = {}, math.sqrt(sum((1 + math.log(k)) ** 2 for k in n.values())) or 1.0
+        total = max(1, len(ws))
+        put = lambda f, v: x.__setitem__(b(f), x.get(b(f), 0.0) + v)
+        for w, k in n.items():
+            put("w " + w.lower(), (1 + math.log(k)) / norm)
+            put("s " + quality.shape_of(w), k / total)
+        put("m again", 3 * sum(p == q for p, q in zip(ws, ws[1:], strict=False)) / total)
+        put(f"m length {int(math.log2(total))}", 0.5)
+        put("m variety", len(n) / total)
+        put(f"m variety {int(8 * len(n) / total)} {int(math.log2(total)) // 2}", 0.5)
+        put("m bias", 1.0)
+        z = sum(model.weights[k] * v for k, v in x.items())
+        tails = [1 / (1 + math.exp(-(z - t))) for t in model.thresholds]
+        assert math.isclose(r["expected_grade"], sum(tails), abs_tol=1e-9) and math.isclose(r["tail_probability"], tails[0], abs_tol=1e-9) and r["_keep"] == (tails[0] >= 0.5)
+    assert quality.score(awkward.limit(0), model).count() == 0
+
+
 def test_quality_reads_whole_words():
     bins = lambda t: set(quality.features(t, {})[0].tolist())
     assert bins("x" * 32 + "good") != bins("x" * 32 + "trash")
@@ -168,6 +263,15 @@ def test_language(spark, awkward):
     model = language.fit(spark.read.parquet(f"{sf}/documents.parquet"))
     out = language.identify(awkward.withColumnRenamed("doc_id", "score"), model).collect()
     assert {r["score"]: r["lang_pred"] for r in out if r["score"] in (1, 2, 3, 4)} == {1: "und", 2: "und", 3: "und", 4: "und"}
+    # the nearest centroid by cosines written out, and letters of no language that was learned
+    texts = [spark.read.parquet(f"{sf}/documents.parquet").filter("lang = 'en' and length(text) > 300").first()["text"], "\u0436\u0434\u0451\u043c \u0437\u0434\u0435\u0441\u044c \u0434\u043e\u043b\u0433\u043e " * 9]
+    (lang, score, rejected) = model.classify(texts)
+    v = np.zeros(language.BINS)
+    np.add.at(v, language.trigram_bins(texts[0]), 1)
+    v = np.log1p(v) * model.idf
+    cos = model.centroids @ (v / np.linalg.norm(v))
+    assert lang[0] == model.labels[int(cos.argmax())] and abs(score[0] - cos.max()) < 1e-5
+    assert rejected == [False, True]
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     none = language.fit(empty)
     assert language.identify(empty, none).count() == 0 and language.identify(awkward, none).filter("lang_pred <> 'und'").count() == 0
@@ -175,11 +279,11 @@ def test_language(spark, awkward):
 
 def test_block_max_index_is_exact():
     rng = np.random.default_rng(2)
-    x = rng.random((500, 40)).astype(np.float32) * (rng.random((500, 40)) < 0.1)
+    x = rng.random((500, 40)) * (rng.random((500, 40)) < 0.1)
     x /= np.maximum(np.linalg.norm(x, axis=1), 1e-9)[:, None]
-    index = toxicity.BlockMaxIndex.build(x, 16)
+    index = toxicity.BlockMaxIndex.build([(np.flatnonzero(row), row[row > 0]) for row in x], 16)
     for _ in range(50):
-        q = rng.random(40).astype(np.float32) * (rng.random(40) < 0.15)
+        q = rng.random(40) * (rng.random(40) < 0.15)
         at = np.flatnonzero(q)
         if len(at):
             w = q[at] / np.linalg.norm(q[at])
@@ -187,38 +291,104 @@ def test_block_max_index_is_exact():
             full = x[:, at] @ w
             want = sorted(full[full > 0], reverse=True)[:7]
             assert np.allclose(sims, want, atol=1e-6) and np.allclose(full[ids], sims, atol=1e-6)
+    ids, sims = toxicity.BlockMaxIndex.build([]).nearest(np.array([1]), np.array([1.0]), 3)
+    assert not len(ids) and not len(sims)
+
+
+def test_toxicity_neighbours_are_brute_force_ones(spark):
+    """The query's evidence against cosines of plain dictionaries over all terms, with the model's scale of each term."""
+    import math
+
+    sf = "/root/testdata/sf0.001"
+    text = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = spark.read.parquet(f"{sf}/labels.parquet").filter("crc32(cast(cast(doc_id as string) as binary)) % 4 <> 2")
+    model = toxicity.fit(spark.read.parquet(f"{sf}/documents.parquet"), labels)
+
+    def vector(t):
+        tf = {}
+        for w in re.findall(r"\w+", (t or "").lower()):
+            for b in {zlib.crc32(w.encode()) & (2**20 - 1), *([zlib.crc32(w[:5].encode(), 1) & (2**20 - 1)] if len(w) > 5 else [])}:
+                tf[b] = tf.get(b, 0) + 1
+        v = {b: (1 + math.log(n)) * float(model.scale[b]) for b, n in tf.items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {b: x / norm for b, x in v.items()} if norm else {}
+
+    examples = [vector(text[i]) for i in model.ids.tolist()]
+    got = {r["doc_id"]: r for r in toxicity.op5_toxicity(spark, sf).collect()}
+    assert set(got) == set(text)
+    for i in sorted(text)[::9]:
+        v = vector(text[i])
+        sims = sorted((sum(x * e.get(b, 0.0) for b, x in v.items()) for e in examples), reverse=True)[:3]
+        shown = [float(e.split(":")[2]) for e in got[i]["evidence"].split()]
+        assert np.allclose(shown, [x for x in sims if x > 0], atol=2e-3)
+        assert 0 <= got[i]["score"] <= 1 and got[i]["predicted"] == (got[i]["score"] >= 0.3)
 
 
 def test_toxicity(spark, awkward):
     rng = random.Random(3)
     clean = [" ".join(rng.choice(["sun", "tree", "road", "house", "green", "water", "stone"]) for _ in range(40)) for _ in range(300)]
     rows = [(i, t + (" you idiot" if i % 5 == 0 else ""), int(i % 5 == 0)) for i, t in enumerate(clean)]
-    model = toxicity.fit_examples(rows)
-    assert model.score("what an idiot you are", {}, {})[0] >= 0.3 > model.score("a green tree", {}, {})[0]
-    assert model.score(None, {}, {}) == (model.blank, "") == model.score("", {}, {})
-    assert toxicity.score(awkward.withColumnRenamed("doc_id", "score"), model).count() == len(AWKWARD)
-    assert toxicity.fit_examples([]).score("x", {}, {})[0] == 0.0
+    idf = np.full(toxicity.BINS, 2.0)
+    model = toxicity.fit_examples(rows, idf)
+    score = lambda t: model.score(t, toxicity.Bins(), {})
+    assert score("what an idiot you are")[0] >= 0.3 > score("a green tree")[0]
+    assert score(None) == (model.blank, "") == score("") == score("?!")
+    out = toxicity.score(awkward.withColumnRenamed("doc_id", "score"), model)
+    assert out.count() == len(AWKWARD) and out.columns[:3] == ["score", "text", "_score"]
+    assert len({r["_score"] for r in out.filter("score = 5").collect()}) == 1
+    assert toxicity.fit_examples([], idf).score("x", toxicity.Bins(), {})[0] == 0.0
+    assert toxicity.score(awkward.limit(0), model).count() == 0
+
+
+def test_toxicity_finds_held_out_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    got = {r["doc_id"]: r for r in toxicity.op5_toxicity(spark, sf).collect()}
+    held = [(got[r["doc_id"]]["predicted"], r["toxic"]) for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if got[r["doc_id"]]["held_out"]]
+    assert sum(p for p, y in held if y == 1) >= 0.6 * sum(y for _, y in held) and sum(p for p, y in held if y == 0) <= 0.05 * len(held)
 
 
 # --- fingerprints
 
 
+def plain_signatures(text):
+    """Signatures by their definition, one spot after another, hashed as published: XXH64."""
+    import xxhash
+
+    words = re.findall(r"\w+", (text or "").lower())
+    found = set()
+    for k, w in enumerate(words):
+        if w in spotsigs.ANCHORS:
+            chain = [x for x in words[k + 1 :] if x not in spotsigs.ANCHORS][:2]
+            if len(chain) == 2:
+                found.add(" ".join([w, *chain]))
+    if not found:
+        found = {" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))} if words else {text} if text else set()
+    return sorted(xxhash.xxh64_intdigest(x.encode()) for x in found)
+
+
 def test_spotsigs(spark, tmp_path):
-    rows = [(i, t) for i, t in AWKWARD if i is not None and (i, t) != (5, "a" * 5000)] + [(5, "a" * 5000)] + [(100 + k, f"the word{k} of a tale about thing{k % 3} and more to say") for k in range(30)]
+    import base64
+
+    rows = [(i, t) for i, t in AWKWARD if i != 5] + [(5, "a" * 5000)] + [(100 + k, f"the word{k} of a tale about thing{k % 3} and more to say") for k in range(30)]
+    rows += [((1 << 60) + k, f"the end{k} of long ids and a tale{k % 5}") for k in range(200)]
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r for r in spotsigs.op6_spotsigs(spark, str(tmp_path)).collect()}
-    order = sorted(((i, t or "") for i, t in rows), reverse=True)
+    order = sorted(((-(1 << 63) if i is None else i, t or "") for i, t in rows), reverse=True)
     assert len(got) == len(rows)
+    shown = lambda s: base64.b64encode(b"".join(x.to_bytes(8, "big") for x in s)).decode()
+    like = lambda a, b: float(not a and not b) if not a or not b else len(a & b) / len(a | b)
     for k, (i, t) in enumerate(order):
         nxt = order[(k + 1) % len(order)][1]
         half = len(t) // 2
         e = t[: len(t) - half] + nxt[:half]
-        sets = [set(spotsigs.signatures(x).tolist()) for x in (t, e, nxt)]
-        like = lambda a, b: float(not a and not b) if not a or not b else len(a & b) / len(a | b)
-        r = got[i]
-        assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256(e.encode()).hexdigest())
-        assert abs(r["near_edited"] - like(sets[0], sets[1])) < 1e-9 and abs(r["near_next"] - like(sets[0], sets[2])) < 1e-9
+        own, edited, after = map(plain_signatures, (t, e, nxt))
+        r = got[None if i == -(1 << 63) else i]
+        assert (r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"]) == (len(t), hashlib.sha256(e.encode()).hexdigest(), shown(own), shown(edited))
+        assert abs(r["near_edited"] - like(set(own), set(edited))) < 1e-9 and abs(r["near_next"] - like(set(own), set(after))) < 1e-9
     assert spotsigs.jaccard(np.array([1, 2, 3]), np.array([1]), 0.5) == 0.0
+    assert spotsigs.fingerprint(spark.createDataFrame([(1, "the a b")], "fingerprint long, text string")).columns == ["fingerprint", "text", "_fingerprint"]
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert spotsigs.op6_spotsigs(spark, f"{tmp_path}/none").count() == 0
 
 
 def test_spotsigs_near_duplicates(spark):
@@ -232,7 +402,7 @@ def test_spotsigs_near_duplicates(spark):
             w[rng.randrange(len(w))] = rng.choice(vocab)
         rows.append((10 + i, " ".join(w)))
     got = {r["doc_id"]: r["component_id"] for r in spotsigs.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
-    sets = {i: set(spotsigs.signatures(t).tolist()) for i, t in rows}
+    sets = {i: set(plain_signatures(t)) for i, t in rows}
     root = {i: i for i in sets}
 
     def find(x):
@@ -249,15 +419,23 @@ def test_spotsigs_near_duplicates(spark):
 
 
 def test_next_document_over_many_buckets(spark):
-    df = spark.range(500).selectExpr("id * 3 as doc_id", "concat('t', id) as text")
-    ordered = spotsigs.with_next(df, rows_per_bucket=40)
-    pending, got = None, {}
-    for r in ordered.collect():
-        if pending is not None and pending["bucket"] == r["bucket"]:
-            got[pending["i"]] = r["i"]
-        pending = None if r["ahead"] else r
-    ids = [3 * i for i in range(500)][::-1]
-    assert got == {a: b for a, b in zip(ids, ids[1:] + ids[:1], strict=True)}
+    """Distinct ids over many buckets, and one id that fills most of them."""
+    for rows in ([(3 * i, f"t{i}") for i in range(500)], [(7, f"t{i}") for i in range(400)] + [(i, f"u{i}") for i in range(100)] + [(None, f"n{i}") for i in range(200)]):
+        df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+        pending, after = None, {}
+        for r in spotsigs.with_next(df, buckets=13).collect():
+            if pending is not None and pending["bucket"] == r["bucket"]:
+                after[(pending["i"], pending["t"])] = (r["i"], r["t"])
+            pending = None if r["ahead"] else r
+        assert set(after) == set(rows) == set(after.values())
+        at, seen = max((r for r in rows if r[0] is not None), key=lambda r: r[0]), []
+        if len({r[0] for r in rows}) < len(rows):
+            at = next(r for r in rows if r[0] == 99)
+        for _ in rows:
+            seen.append(at[0])
+            at = after[at]
+        falls = sum((b is not None and a is None) or (a is not None and b is not None and b > a) for a, b in zip(seen, seen[1:], strict=False))
+        assert falls == 0
 
 
 # --- WARC
@@ -290,20 +468,60 @@ def test_warc(spark, tmp_path):
 # --- line dedup
 
 
-def brute_dedup(rows):
-    first, prints, runs = {}, {}, {}
-    for i, t in rows:
-        for f in linededup.fingerprints_of(t):
-            prints[(i, f[1])] = f
-            first[f[0]] = min(first.get(f[0], (i, f[1])), (i, f[1]))
-    for (i, a), f in prints.items():
-        o = first[f[0]]
-        if o != (i, a):
-            g = prints[o]
-            s, e = linededup.extended((a, f[3], f[4]), (o[1], g[3], g[4]), o[0] == i, f[2])
-            if s < e:
-                runs.setdefault(i, []).append({"s": s, "e": e})
-    return {i: linededup.without_runs(t, runs.get(i))[0] for i, t in rows}
+def brute_dedup(rows, gram=25, window=25):
+    """Winnowing, extension and deletion by their definitions, with the lines themselves in place of their hashes, but for the order of
+    grams in a window, which is that of XXH64 over the lines' hashes."""
+    import xxhash
+
+    signed = lambda b: xxhash.xxh64_intdigest(b) - (1 << 63)
+    lines = {i: [(k, x.strip(), len(x.split())) for k, x in enumerate((t or "").split("\n")) if x.split()] for i, t in rows}
+    prints = {}
+    for i, own in lines.items():
+        def reach(a, least, own=own):
+            n = 0
+            for e in range(a, len(own)):
+                n += own[e][2]
+                if n >= least:
+                    return e + 1
+            return None
+
+        order = {}
+        for a in range(len(own)):
+            if e := reach(a, gram):
+                order[a] = signed(np.array([signed(x[1].encode()) for x in own[a:e]], np.int64).tobytes())
+        for a in range(len(own)):
+            if (e := reach(a, window)) and (inside := [k for k in range(a, e) if k in order]):
+                k = min(inside, key=lambda k: (order[k], k))
+                prints[(i, k)] = tuple(x[1] for x in own[k : reach(k, gram)])
+    first = {}
+    for at, g in prints.items():
+        first[g] = min(first.get(g, at), at)
+    marks = {}
+    for i, k in prints:
+        marks.setdefault(i, []).append(k)
+    gone = {i: set() for i in lines}
+    for (i, a), g in prints.items():
+        o, b = first[g]
+        if (o, b) == (i, a):
+            continue
+        # each side carries lines from its fingerprint before to the end of the gram of the one after, and no more than two windows on
+        def around(j, k):
+            ks = sorted(marks[j])
+            p = ks.index(k)
+            e = len(prints[(j, k)])
+            low = max(ks[p - 1] if p else 0, k - gram - window)
+            high = ks[p + 1] + len(prints[(j, ks[p + 1])]) if p + 1 < len(ks) else len(lines[j])
+            return low, min(high, k + e + 2 * (gram + window))
+
+        (la, ha), (lb, hb) = around(i, a), around(o, b)
+        s, e = 0, 0
+        while a - s - 1 >= la and b - s - 1 >= lb and lines[i][a - s - 1][1] == lines[o][b - s - 1][1]:
+            s += 1
+        while a + e < ha and b + e < hb and lines[i][a + e][1] == lines[o][b + e][1]:
+            e += 1
+        start = max(a - s, b + len(g)) if o == i else a - s
+        gone[i] |= {lines[i][k][0] for k in range(start, a + e)}
+    return {i: None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]) for i, t in rows}
 
 
 def test_line_dedup(spark):
@@ -324,6 +542,9 @@ def test_line_dedup(spark):
     assert got[54] == "" and got[50] is None
     kept = {x for t in got.values() if t for x in t.split("\n")}
     assert kept >= {x for _, t in rows if t for x in t.split("\n")}
+    nulls = spark.createDataFrame([(None, "\n".join(passage)), (3, "\n".join(passage))], SCHEMA)
+    assert {r["doc_id"]: r["n_removed"] for r in linededup.dedup_lines(nulls).collect()} == {None: 0, 3: 3}
+    assert linededup.dedup_lines(spark.createDataFrame([], SCHEMA)).count() == 0
     twice = spark.createDataFrame([(1, "\n".join(passage))] * 2, SCHEMA)
     assert linededup.dedup_lines(twice).filter("n_removed > 0").count() == 0
 
@@ -420,6 +641,15 @@ def test_mixing_keeps_to_its_shares(spark):
             assert all(abs(done[x] - unit[x] * t / 11) < 1 for x in unit)
 
 
+def test_mixing_weights(spark):
+    rows = spark.createDataFrame([(i, f"s{i % 3}") for i in range(90)], "doc_id long, source string")
+    for bad in ({"s0": 0}, {"s0": -1}, {"s0": 1_000_003, "s1": 2}):
+        with pytest.raises(ValueError):
+            mixing.mix(rows, bad)
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(mixing.mix(rows, {"s0": 2_000_000, "s1": 1_000_000}, others=1_000_000, block_rows=4)) == key(mixing.mix(rows, {"s0": 2, "s1": 1}, block_rows=4))
+
+
 def test_mixing_of_nothing(spark):
     assert mixing.mix(spark.createDataFrame([], "doc_id long, source string"), {"a": 1}).count() == 0
 
@@ -444,10 +674,23 @@ def test_pipeline(spark):
     want = {i for i, (_, c) in brute_components(rows, 5, 80, 100).items() if i == c}
     got = out.collect()
     assert {r["doc_id"] for r in got} == want and "text" not in out.columns
-    import sentencepiece
+    p, text = pieces.Pieces(), dict(rows)
+    assert all(p.decode(r["ids"]) == text[r["doc_id"]] for r in got)
 
-    sp, text = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL), dict(rows)
-    assert all(r["ids"] == sp.encode(text[r["doc_id"]]) for r in got)
+
+def test_pipeline_on_awkward_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    prose = [(20 + i, "A first line of words here\nand a second of them " + " ".join(f"w{k}" for k in range(i, i + 30)), "en") for i in range(30)]
+    rows = [(i, t, "en") for i, t in AWKWARD] + prose + prose[:3]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "'src0' as source", "array(1) as ids", "7L as position", "'x' as rejected").write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "lang", "source", "ids", "position", "rejected", "_position", "_ids"]
+    got = out.collect()
+    assert {r["position"] for r in got} == {7} and sorted(r["_position"] for r in got) == list(range(len(got)))
+    assert not {r["doc_id"] for r in got} & {1, 2, 3, 4}
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
 
 
 def test_pipeline_rows_follow_the_mixture(spark, tmp_path, monkeypatch):
