@@ -7,25 +7,33 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from provenant.functions import text as tx
+from provenant.sources.scratch import stored
 
 
 def _unique_owner(rows: DataFrame, key: str) -> DataFrame:
     """key -> the one identity that its rows have; keys of several identities are left out."""
-    return rows.filter(F.col(key).isNotNull() & F.col("identity").isNotNull()).groupBy(key).agg(F.min("identity").alias("found"), F.countDistinct("identity").alias("n")).filter("n = 1").select(key, "found")
+    return rows.filter(F.col(key).isNotNull() & F.col("identity").isNotNull()).groupBy(key).agg(F.min("identity").alias("found"), F.countDistinct("identity").alias("n"), F.min("bot").alias("all_bots"), F.max("bot").alias("any_bot")).filter("n = 1").select(key, "found", "all_bots", "any_bot")
+
+
+def _taken():
+    """The owner's identity; a bot never takes that of rows that are none, nor the other way round."""
+    return F.when((F.col("bot") & ~F.col("any_bot")) | (~F.col("bot") & F.col("all_bots")), None).otherwise(F.col("found"))
 
 
 def strict_identities(rows: DataFrame) -> DataFrame:
-    """rows (row_id, login, email, name; all normalized) with identity, method and confidence.
+    """rows (row_id, login, email, name, all normalized; bot, if there) with identity, method and confidence.
 
     Login first; then an email that rows resolved so far give to one identity only, else the email itself; then an unambiguous
     name in the same way; else the row alone.
     """
+    if "bot" not in rows.columns:
+        rows = rows.withColumn("bot", tx.bot_flag(F.col("login"), F.col("name"), F.col("email")))
     step = rows.withColumn("identity", F.when(F.col("login").isNotNull(), F.concat(F.lit("login:"), "login"))).withColumn("method", F.when(F.col("identity").isNotNull(), "login"))
     by_mail = _unique_owner(step, "email")
-    step = step.join(by_mail, "email", "left").withColumn("via", F.when(F.col("identity").isNull() & F.col("email").isNotNull(), F.coalesce("found", F.concat(F.lit("email:"), "email")))).select("row_id", "login", "email", "name", F.coalesce("identity", "via").alias("identity"), F.coalesce("method", F.when(F.col("via").isNotNull(), "email")).alias("method"))
+    step = step.join(by_mail, "email", "left").withColumn("via", F.when(F.col("identity").isNull() & F.col("email").isNotNull(), F.coalesce(_taken(), F.concat(F.lit("email:"), "email")))).select("row_id", "login", "email", "name", "bot", F.coalesce("identity", "via").alias("identity"), F.coalesce("method", F.when(F.col("via").isNotNull(), "email")).alias("method"))
     usable = step.withColumn("key_name", F.when(~tx.is_ambiguous_name(F.col("name")), F.col("name")))
     by_name = _unique_owner(usable, "key_name")
-    out = usable.join(by_name, "key_name", "left").withColumn("via", F.when(F.col("identity").isNull() & F.col("key_name").isNotNull(), F.coalesce("found", F.concat(F.lit("name:"), "key_name"))))
+    out = usable.join(by_name, "key_name", "left").withColumn("via", F.when(F.col("identity").isNull() & F.col("key_name").isNotNull(), F.coalesce(_taken(), F.concat(F.lit("name:"), "key_name"))))
     return out.select("row_id", F.coalesce("identity", "via", F.concat(F.lit("row:"), F.col("row_id").cast("string"))).alias("identity"), F.coalesce("method", F.when(F.col("via").isNotNull(), "name"), F.lit("singleton")).alias("method")).withColumn("confidence", F.when(F.col("method") == "login", "very_high").when(F.col("method") == "email", "high").when(F.col("method") == "name", "medium").otherwise("low"))
 
 
@@ -44,13 +52,17 @@ def blocked_pairs(names: DataFrame, key: str, name: str, scope: str) -> DataFram
 
 
 def clusters(spark, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """node, cluster (its smallest node) by min-label propagation, checkpointed each round."""
-    both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
-    labels = nodes.select(F.col("node"), F.col("node").alias("cluster"))
+    """node, cluster (its smallest node): least labels of neighbours, then the label of the label; stored tables after each round.
+
+    Rounds grow with the logarithm of the longest chain.
+    """
+    both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
+    labels = stored(nodes.select(F.col("node"), F.col("node").alias("cluster")), "clusters")
     while True:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("cluster").alias("m"))
-        after = labels.join(near, labels.node == near.a, "left").select("node", F.least("cluster", "m").alias("cluster"), F.col("cluster").alias("old"))
-        after = after.checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else after.persist()
+        lower = labels.join(near, labels.node == near.a, "left").select("node", F.least("cluster", "m").alias("low"), F.col("cluster").alias("old"))
+        up = labels.select(F.col("node").alias("at"), F.col("cluster").alias("above"))
+        after = stored(lower.join(up, lower.low == up.at, "left").select("node", F.least("low", "above").alias("cluster"), "old"), "clusters")
         if after.filter("cluster <> old").limit(1).count() == 0:
             return after.select("node", "cluster")
         labels = after.select("node", "cluster")

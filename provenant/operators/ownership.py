@@ -35,19 +35,36 @@ def file_profiles(joined: DataFrame, *, rank_at: int = 3, share_at: float = 0.10
     return out.withColumn("major_flag", ((F.col("file_owner_rank") <= rank_at) | (F.col("share_of_file_commits") >= share_at)).cast("int"))
 
 
-def history_before(issues: DataFrame, history: DataFrame, scope: list[str]) -> DataFrame:
+def history_before(issues: DataFrame, history: DataFrame, scope: list[str], slot_seconds: int = 86_400) -> DataFrame:
     """As-of counts: for each issue (issue, ts, scope columns) each contributor's commits and days in scope strictly before it.
 
-    Issues and commits are one stream by scope. A commit adds to its contributor's cumulative counts; each state of a contributor
-    holds until that contributor's next commit, so an issue meets one state per contributor by an interval join on
-    the scope's equality, instead of all earlier commits.
+    A commit adds to its contributor's cumulative counts; each state of a contributor holds until that contributor's next commit and stands
+    in every time slot that it reaches. Issues meet states by scope and slot, so a large scope is dealt to as many keys as it has slots.
     """
     per = Window.partitionBy(*scope, "contributor")
-    day = F.to_date("ts")
+    day, slot = F.to_date("ts"), lambda c: F.floor(F.unix_seconds(c) / slot_seconds)
     states = history.groupBy(*scope, "contributor", "ts").agg(F.count(F.lit(1)).alias("k")).withColumn("new_day", (F.row_number().over(Window.partitionBy(*scope, "contributor", day).orderBy("ts")) == 1).cast("int"))
     run = per.orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     states = states.select(*scope, "contributor", F.sum("k").over(run).alias("commits"), F.sum("new_day").over(run).alias("days"), F.col("ts").alias("valid_from"), F.lead("ts").over(per.orderBy("ts")).alias("valid_to"))
-    return issues.join(states, scope).filter((F.col("valid_from") < F.col("ts")) & (F.col("valid_to").isNull() | (F.col("valid_to") >= F.col("ts")))).drop("valid_from", "valid_to")
+    last = issues.agg(F.max(slot("ts"))).first()[0]
+    until = F.least(F.coalesce(slot("valid_to"), F.lit(last)), F.lit(last)).cast("long")
+    spread = states.filter(slot("valid_from") <= F.lit(last)).withColumn("slot", F.explode(F.sequence(slot("valid_from").cast("long"), until)))
+    found = issues.withColumn("slot", slot("ts").cast("long")).join(spread, [*scope, "slot"])
+    return found.filter((F.col("valid_from") < F.col("ts")) & (F.col("valid_to").isNull() | (F.col("valid_to") >= F.col("ts")))).drop("valid_from", "valid_to", "slot")
+
+
+def evidence_counts(issues: DataFrame, evidence: DataFrame, keys: list[str], kind: str) -> DataFrame:
+    """issue, keys, kind, bucket, n_rows, n_days, churn of the evidence (keys, kind, ts, churn) before (up to the issue's time) and after each issue.
+
+    Evidence is summed by day first. An issue meets the sums of other days, and single rows of its own day alone, so that its
+    cost is that of days and not of all evidence of a key.
+    """
+    day = F.to_date("ts")
+    daily = evidence.groupBy(*keys, kind, day.alias("day")).agg(F.count(F.lit(1)).alias("k"), F.sum("churn").alias("c"))
+    own = issues.select("issue", *keys, "created", F.to_date("created").alias("own_day"))
+    others = own.join(daily, keys).filter("day <> own_day").select("issue", *keys, kind, F.when(F.col("day") < F.col("own_day"), "pre_issue").otherwise("post_issue").alias("bucket"), "day", "k", "c")
+    same = own.join(evidence.withColumn("own_day", day), [*keys, "own_day"]).select("issue", *keys, kind, F.when(F.col("ts") <= F.col("created"), "pre_issue").otherwise("post_issue").alias("bucket"), F.col("own_day").alias("day"), F.lit(1).cast("long").alias("k"), F.col("churn").alias("c"))
+    return others.union(same).groupBy("issue", *keys, kind, "bucket").agg(F.sum("k").alias("n_rows"), F.collect_set("day").alias("days"), F.sum("c").alias("churn"))
 
 
 def ranked_roles(before: DataFrame, *, commits_at: int = 2, days_at: int = 1, rank_at: int = 5, share_at: float = 0.05) -> DataFrame:

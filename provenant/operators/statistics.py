@@ -8,11 +8,42 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from provenant.sources.scratch import stored
 
-def average_rank(value: str, *within: str) -> Column:
-    """1-based rank with ties averaged, by windows over the groups."""
-    w = Window.partitionBy(*[F.col(c) for c in within]) if within else Window.partitionBy(F.lit(1))
-    return F.rank().over(w.orderBy(value)) + (F.count(F.lit(1)).over(w.partitionBy(*[F.col(c) for c in within], F.col(value)) if within else Window.partitionBy(F.col(value))) - 1) / 2
+#: Coefficients of the fit of erfc, constant first.
+ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+
+
+def in_ranges(df: DataFrame, value: str) -> DataFrame:
+    """df dealt by ranges of a value into a stored table, with part: its range's number. Stored, as Spark samples the bounds anew at every run."""
+    return stored(df.repartitionByRange(value).withColumn("part", F.spark_partition_id()), "ranges")
+
+
+def prefix_sums(df: DataFrame, value: str, *sums: str) -> DataFrame:
+    """df, whose values are distinct, with below_<c>: the sum of c over all smaller values.
+
+    Sums within a range and the totals of the ranges before it; only the totals, one row for each range, meet in one task.
+    """
+    parts = in_ranges(df, value)
+    before = Window.partitionBy(F.lit(1)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = parts.groupBy("part").agg(*(F.sum(c).alias(f"t_{c}") for c in sums)).select("part", *(F.coalesce(F.sum(f"t_{c}").over(before), F.lit(0)).alias(f"t_{c}") for c in sums))
+    run = Window.partitionBy("part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    placed = parts.select("*", *(F.coalesce(F.sum(c).over(run), F.lit(0)).alias(f"r_{c}") for c in sums)).join(F.broadcast(totals), "part")  # a row per range
+    return placed.select(*df.columns, *((F.col(f"r_{c}") + F.col(f"t_{c}")).alias(f"below_{c}") for c in sums))
+
+
+def average_ranks(df: DataFrame, value: str) -> DataFrame:
+    """value and its 1-based rank with ties averaged, a row for each distinct value."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
+    return prefix_sums(counts, value, "n").select(value, (F.col("below_n") + (F.col("n") + 1) / 2).alias("rank"))
+
+
+def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
+    """One row: n, Pearson's and Spearman's correlation, null below ten rows."""
+    rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y)
+    ranked = rows.join(average_ranks(rows, x).withColumnRenamed("rank", "rank_x"), x).join(average_ranks(rows, y).withColumnRenamed("rank", "rank_y"), y)
+    enough = F.count(F.lit(1)) >= 10
+    return ranked.agg(F.count(F.lit(1)).alias("n"), F.when(enough, F.corr(x, y)).alias("pearson"), F.when(enough, F.corr("rank_x", "rank_y")).alias("spearman"))
 
 
 def moments(df: DataFrame, group: str, value: str, *by: str) -> DataFrame:
@@ -33,27 +64,35 @@ def effect_sizes(m: DataFrame) -> DataFrame:
 
 
 def rank_statistics(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Mann-Whitney U of group 1 and Cliff's delta, from counts by distinct value instead of a sort of all rows.
+    """Mann-Whitney U of group 1, its two-sided p by the normal approximation with ties, and Cliff's delta.
 
-    A window over the table of distinct values would gather them in one task; instead ranks come from a range-partitioned prefix sum:
-    counts by value, their totals by range, and the sum of the ranges before.
+    Ranks come from counts by distinct value and prefix sums over ranges of it, not from a sort of all rows in one task.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.sum((F.col(group) == 1).cast("long")).alias("a"), F.sum((F.col(group) == 0).cast("long")).alias("b"))
-    parts = counts.repartitionByRange("v").withColumn("part", F.spark_partition_id())
-    totals = parts.groupBy("part").agg(F.sum("b").alias("t")).withColumn("before", F.sum("t").over(Window.partitionBy(F.lit(1)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
-    run = F.sum("b").over(Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    placed = parts.withColumn("run", run).join(F.broadcast(totals.select("part", "before")), "part")  # a row per partition
-    below = F.coalesce("before", F.lit(0)) + F.col("run") - F.col("b")
-    out = placed.agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b"), F.sum(F.col("a") * (below + F.col("b") / 2)).alias("mann_whitney_u"))
-    return out.withColumn("cliffs_delta", F.when((F.col("n_a") > 0) & (F.col("n_b") > 0), 2 * F.col("mann_whitney_u") / (F.col("n_a") * F.col("n_b")) - 1))
+    t = F.col("a") + F.col("b")
+    out = prefix_sums(counts, "v", "b").agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b"), F.sum(F.col("a") * (F.col("below_b") + F.col("b") / 2)).alias("mann_whitney_u"), F.sum((t * t * t - t).cast("double")).alias("ties"))
+    na, nb = F.col("n_a").cast("double"), F.col("n_b").cast("double")
+    n = na + nb
+    sd = F.sqrt(na * nb / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))
+    z = (F.abs(F.col("mann_whitney_u") - na * nb / 2) - 0.5) / sd
+    out = out.withColumn("mann_whitney_p", F.when(sd > 0, two_sided_normal(F.greatest(z, F.lit(0.0)))))
+    return out.withColumn("cliffs_delta", F.when((na > 0) & (nb > 0), 2 * F.col("mann_whitney_u") / (na * nb) - 1)).drop("ties")
 
 
 def benjamini_hochberg(df: DataFrame, p: str) -> DataFrame:
-    """df (a table of tests) with p_adj: least p * n / rank of this and all larger p, at most 1. Null p stays null."""
-    known = Window.partitionBy(F.col(p).isNull())
-    ranked = df.withColumn("_r", F.row_number().over(known.orderBy(F.col(p)))).withColumn("_n", F.count(F.lit(1)).over(known))
-    adj = F.min(F.col(p) * F.col("_n") / F.col("_r")).over(known.orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, 0))
-    return ranked.withColumn("p_adj", F.when(F.col(p).isNotNull(), F.least(adj, F.lit(1.0)))).drop("_r", "_n")
+    """df (a table of tests) with p_adj: least p * n / rank of this and all larger p, at most 1. Null p stays null.
+
+    Ranks by prefix sums over ranges of p; then the least within a range and over the ranges after it.
+    """
+    counts = df.filter(F.col(p).isNotNull()).groupBy(F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("k"))
+    total = counts.agg(F.sum("k").alias("_n"))
+    ranked = prefix_sums(counts, "_p", "k").join(F.broadcast(total)).select("_p", (F.col("_p") * F.col("_n") / (F.col("below_k") + F.col("k"))).alias("q"))  # one row of the total
+    parts = in_ranges(ranked, "_p")
+    after = Window.partitionBy(F.lit(1)).orderBy("part").rowsBetween(1, Window.unboundedFollowing)
+    least = parts.groupBy("part").agg(F.min("q").alias("m")).select("part", F.min("m").over(after).alias("m"))
+    own = Window.partitionBy("part").orderBy("_p").rowsBetween(0, Window.unboundedFollowing)
+    adjusted = parts.withColumn("q", F.min("q").over(own)).join(F.broadcast(least), "part").select("_p", F.least("q", "m", F.lit(1.0)).alias("p_adj"))  # a row per range
+    return df.join(adjusted, df[p] == adjusted["_p"], "left").drop("_p")
 
 
 def odds_ratio(a: Column, b: Column, c: Column, d: Column) -> Column:
@@ -71,38 +110,56 @@ def proportion_effects(df: DataFrame, group: str, flag: str) -> DataFrame:
     return t.withColumn("rate_a", a / (a + b)).withColumn("rate_b", c / (c + d)).withColumn("risk_difference", F.col("rate_a") - F.col("rate_b")).withColumn("odds_ratio", odds_ratio(a, b, c, d)).withColumn("chi2_yates", chi)
 
 
-def within_group_z(value: str, *by: str) -> Column:
-    """Population z-score within the group; 0 where the deviation is 0 or null."""
-    w = Window.partitionBy(*by)
-    sd = F.stddev_pop(value).over(w)
-    return F.when(sd > 0, (F.col(value) - F.avg(value).over(w)) / sd).otherwise(0.0)
+def within_group_z(df: DataFrame, value: str, by: str) -> DataFrame:
+    """df with z: the population z-score within the group; 0 where the deviation is 0 or null. Moments by aggregate, joined to the rows."""
+    m = df.groupBy(F.col(by).alias("_by")).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
+    j = df.join(m, df[by].eqNullSafe(m["_by"]))
+    return j.select(*df.columns, F.when(F.col("_s") > 0, (F.col(value) - F.col("_m")) / F.col("_s")).otherwise(0.0).alias("z"))
 
 
 def fixed_effect_slope(df: DataFrame, y: str, x: str, by: str) -> DataFrame:
-    """OLS slope of y on x with a fixed effect for each group, by demeaning within groups."""
-    w = Window.partitionBy(by)
-    dm = df.select((F.col(y) - F.avg(y).over(w)).alias("y"), (F.col(x) - F.avg(x).over(w)).alias("x"))
-    return dm.agg(F.count(F.lit(1)).alias("n"), (F.sum(F.col("x") * F.col("y")) / F.sum(F.col("x") * F.col("x"))).alias("slope"))
+    """OLS slope of y on x with a fixed effect for each group: from sums by group, one row of which is all that a group sends on."""
+    g = df.groupBy(by).agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(n) for n, c in (("sx", F.col(x)), ("sy", F.col(y)), ("sxy", F.col(x) * F.col(y)), ("sxx", F.col(x) * F.col(x)))))
+    return g.agg(F.sum("n").alias("n"), (F.sum(F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / F.sum(F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n"))).alias("slope"))
 
 
-def logit_irls(df: DataFrame, y: str, x: str, rounds: int = 12) -> tuple[float, float]:
-    """Intercept and slope of a logistic regression by Newton steps; each step is one aggregate of five sums."""
-    b0 = b1 = 0.0
+def logit_by_group(df: DataFrame, y: str, x: str, by: str, rounds: int = 25) -> DataFrame:
+    """by, n, intercept, slope of a logistic regression of y (0 or 1) on x with an intercept for each group and one slope.
+
+    Groups whose y never differs are left out, as their intercept has no finite value. Newton steps: each is one aggregate by group,
+    whose rows (one for each group) are joined back as the next step's intercepts; only the slope passes through the driver.
+    """
+    both = df.filter(F.col(y).isNotNull() & F.col(x).isNotNull()).groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg(y).alias("m")).filter("m > 0 and m < 1")
+    fit = stored(both.select(F.col(by).alias("_by"), "n", F.log(F.col("m") / (1 - F.col("m"))).alias("a")), "intercepts")
+    rows = stored(df.select(by, F.col(y).alias("_y"), F.col(x).cast("double").alias("_x")).join(fit.select("_by"), F.col(by) == F.col("_by"), "left_semi").filter("_y is not null and _x is not null"), "rows")
+    b = 0.0
     for _ in range(rounds):
-        p = 1 / (1 + F.exp(-(F.lit(b0) + F.lit(b1) * F.col(x))))
-        w = p * (1 - p)
-        r = df.agg(F.sum(F.col(y) - p), F.sum((F.col(y) - p) * F.col(x)), F.sum(w), F.sum(w * F.col(x)), F.sum(w * F.col(x) * F.col(x))).first()
-        if r[2] is None:
-            return 0.0, 0.0
-        det = r[2] * r[4] - r[3] * r[3]
-        if abs(det) < 1e-12:
+        p = 1 / (1 + F.exp(-(F.col("a") + F.lit(b) * F.col("_x"))))
+        step = rows.join(fit, rows[by] == fit["_by"]).withColumn("_p", p).withColumn("_w", F.col("_p") * (1 - F.col("_p")))
+        g = stored(step.groupBy("_by", "n", "a").agg(F.sum(F.col("_y") - F.col("_p")).alias("r"), F.sum((F.col("_y") - F.col("_p")) * F.col("_x")).alias("rx"), F.sum("_w").alias("w"), F.sum(F.col("_w") * F.col("_x")).alias("wx"), F.sum(F.col("_w") * F.col("_x") * F.col("_x")).alias("wxx")), "newton")
+        s = g.agg(F.sum(F.col("rx") - F.col("wx") * F.col("r") / F.col("w")), F.sum(F.col("wxx") - F.col("wx") * F.col("wx") / F.col("w"))).first()
+        if s[0] is None:
             break
-        s0, s1 = (r[4] * r[0] - r[3] * r[1]) / det, (r[2] * r[1] - r[3] * r[0]) / det
-        b0, b1 = b0 + s0, b1 + s1
-        if abs(s0) + abs(s1) < 1e-10:
+        d = s[0] / s[1] if s[1] > 1e-12 else 0.0
+        fit = stored(g.select("_by", "n", (F.col("a") + (F.col("r") - F.lit(d) * F.col("wx")) / F.col("w")).alias("a")), "intercepts")
+        b += d
+        if abs(d) < 1e-9 and g.filter("abs(r / w) > 1e-9").limit(1).count() == 0:
             break
-    return b0, b1
+    return fit.select(F.col("_by").alias(by), "n", F.col("a").alias("intercept"), F.lit(b).alias("slope"))
+
+
+def odds_two_by_two(a: int, b: int, c: int, d: int) -> float:
+    """Fisher's exact two-sided p of a 2 x 2 table of counts, summed over tables no likelier than this one."""
+    n, row, column = a + b + c + d, a + b, a + c
+    log_p = lambda k: sum(map(math.lgamma, (row + 1, n - row + 1, column + 1, n - column + 1))) - sum(map(math.lgamma, (n + 1, k + 1, row - k + 1, column - k + 1, n - row - column + k + 1)))
+    own = log_p(a)
+    return min(1.0, sum(math.exp(v) for k in range(max(0, row + column - n), min(row, column) + 1) if (v := log_p(k)) <= own + 1e-7))
 
 
-def normal_two_sided(z: float) -> float:
-    return math.erfc(abs(z) / math.sqrt(2))
+def two_sided_normal(z: Column) -> Column:
+    """Two-sided p of a standard normal z >= 0: Chebyshev fit of erfc, relative error below 1.2e-7."""
+    t = 1 / (1 + 0.5 * z / math.sqrt(2))
+    poly = F.lit(0.0)
+    for c in ERFC[::-1]:
+        poly = poly * t + c
+    return F.least(F.lit(1.0), t * F.exp(-z * z / 2 + poly))

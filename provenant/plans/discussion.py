@@ -90,24 +90,25 @@ def sentiment_trajectory(spark, sf):
     return rounded(d.trajectory(scored(spark, sf)))
 
 
-@query("""SELECT page_id, regexp_matches(url, '(?i)\\b(?:https?://|www\\.)[^\\s<>()\\[\\]{}"'']+')::INT AS has_url,
-  regexp_matches(url, '(?:\\.{0,2}/)?(?:[A-Za-z0-9_.-]+[\\\\/])+[A-Za-z0-9_.-]+(?:\\.[A-Za-z0-9]{1,10})?')::INT AS has_path_reference, contains(url, '`')::INT AS has_code_block, length(url)::BIGINT AS text_length_chars FROM pages""")
+@query("""SELECT doc_id, regexp_matches(t, '(?i)\\b(?:https?://|www\\.)[^\\s<>()\\[\\]{}"'']+')::INT AS has_url,
+  regexp_matches(t, '(?:\\.{0,2}/)?(?:[A-Za-z0-9_.-]+[\\\\/])+[A-Za-z0-9_.-]+(?:\\.[A-Za-z0-9]{1,10})?')::INT AS has_path_reference, contains(t, '`')::INT AS has_code_block, length(t)::BIGINT AS text_length_chars
+  FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS t FROM documents)""")
 def document_text_flags(spark, sf):
-    p = load(spark, sf, "pages")
-    f = tx.text_features("url")
-    return longs(p.select("page_id", *(f[c].alias(c) for c in ("has_url", "has_path_reference", "has_code_block", "text_length_chars"))), "text_length_chars")
+    d = load(spark, sf, "documents")
+    f = tx.text_features("text")
+    return longs(d.select("doc_id", *(f[c].alias(c) for c in ("has_url", "has_path_reference", "has_code_block", "text_length_chars"))), "text_length_chars")
 
 
-_REF = "(?i)(?:#|gh-|[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+#)(\\d+)"
-_BODY = "concat('Fixes #', l_orderkey, ', gh-', l_partkey, '. see #', l_suppkey)"
+_REF = "(?i)(?:#|gh-|[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+#|https?://github\\.com/[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+/issues/)(\\d+)"
+_BODY = "concat('Fixes #', l_orderkey, ', gh-', l_partkey, '. see https://github.com/o/r/issues/', l_suppkey, ' and #99999999999999999999')"
 
 
-@query(f"""SELECT l_orderkey, l_linenumber, list_aggregate(list_sort(list_distinct(list_transform(regexp_extract_all(b, '{_REF}', 1), lambda x: x::BIGINT))), 'string_agg', ',') AS all_refs,
-  list_aggregate(list_sort(list_distinct(list_transform(regexp_extract_all(regexp_extract(b, '(?i)\\bfixes\\b([^\\n.;]*)', 1), '{_REF}', 1), lambda x: x::BIGINT))), 'string_agg', ',') AS closing_refs
+@query(f"""SELECT l_orderkey, l_linenumber, list_aggregate(list_sort(list_distinct(list_transform(regexp_extract_all(b, '{_REF}', 1), lambda x: TRY_CAST(x AS BIGINT)))), 'string_agg', ',') AS all_refs,
+  list_aggregate(list_sort(list_distinct(list_transform(regexp_extract_all(regexp_extract(b, '(?i)\\bfixes\\b([^\\n.;]*)', 1), '{_REF}', 1), lambda x: TRY_CAST(x AS BIGINT)))), 'string_agg', ',') AS closing_refs
   FROM (SELECT *, {_BODY} AS b FROM lineitem)""")
 def issue_reference_extraction(spark, sf):
     li = load(spark, sf, "lineitem")
-    body = F.concat(F.lit("Fixes #"), "l_orderkey", F.lit(", gh-"), "l_partkey", F.lit(". see #"), "l_suppkey")
+    body = F.concat(F.lit("Fixes #"), "l_orderkey", F.lit(", gh-"), "l_partkey", F.lit(". see https://github.com/o/r/issues/"), "l_suppkey", F.lit(" and #99999999999999999999"))
     listed = lambda c: F.array_join(F.transform(F.array_sort(c), lambda x: x.cast("string")), ",")
     return li.select("l_orderkey", "l_linenumber", listed(tx.issue_references(body)).alias("all_refs"), listed(tx.closing_references(body)).alias("closing_refs"))
 
@@ -186,5 +187,4 @@ r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2
 SELECT count(*) AS n, round(corr(x, y), 6) AS pearson, round(corr(rx, ry), 6) AS spearman FROM r""")
 def spearman_corr(spark, sf):
     i = d.issue_sentiment(scored(spark, sf)).select(F.round("mean_comment_sentiment", 12).alias("y"), F.col("comment_count").cast("double").alias("x"))
-    r = i.select("x", "y", st.average_rank("x").alias("rx"), st.average_rank("y").alias("ry"))
-    return rounded(r.agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("pearson"), F.corr("rx", "ry").alias("spearman")))
+    return rounded(st.spearman(i, "x", "y"))

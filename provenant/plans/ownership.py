@@ -69,13 +69,13 @@ def ownership_policy(spark, sf):
 def _issues_and_history(spark, sf, kind_as_file: bool):
     e = load(spark, sf, "events")
     scope = F.col("event_type") if kind_as_file else F.lit("all")
-    issues = e.filter("event_type = 'error' and event_id % 10 = 0")
+    issues = e.filter("event_type = 'error'")
     issues = issues.select(F.col("event_id").alias("issue"), F.col("user_id").alias("author"), "ts", F.explode(F.array(F.lit("click"), F.lit("view"))).alias("scope")) if kind_as_file else issues.select(F.col("event_id").alias("issue"), F.col("user_id").alias("author"), "ts", F.lit("all").alias("scope"))
     return issues, e.filter("event_type <> 'error'").select(scope.alias("scope"), F.col("user_id").alias("contributor"), "ts")
 
 
 def _roles_sql(issue_scope: str, history_scope: str, rank: int, share: float) -> str:
-    return f"""WITH i AS (SELECT event_id AS issue, user_id AS author, ts, {issue_scope} AS scope FROM events WHERE event_type = 'error' AND event_id % 10 = 0),
+    return f"""WITH i AS (SELECT event_id AS issue, user_id AS author, ts, {issue_scope} AS scope FROM events WHERE event_type = 'error'),
   h AS (SELECT {history_scope} AS scope, user_id AS contributor, ts FROM events WHERE event_type <> 'error'),
   b AS (SELECT i.issue, i.author, i.scope, h.contributor, count(*) AS commits, count(DISTINCT h.ts::DATE) AS days FROM i JOIN h ON i.scope = h.scope AND h.ts < i.ts GROUP BY ALL),
   s AS (SELECT *, commits / sum(commits) OVER (PARTITION BY issue, scope) AS share, row_number() OVER (PARTITION BY issue, scope ORDER BY commits DESC, contributor) AS rank FROM b),
@@ -101,30 +101,31 @@ def pre_issue_file_roles(spark, sf):
 
 
 def _evidence(spark, sf):
+    """Each error's counts of its user's other events, by kind and before or after it."""
     e = load(spark, sf, "events")
-    issues = e.filter("event_type = 'error' and event_id % 50 = 0").select(F.col("event_id").alias("issue"), "user_id", F.col("ts").alias("created"))
-    ev = e.filter("event_type <> 'error'").select("user_id", F.col("event_id").alias("sha"), F.col("event_type").alias("kind"), "ts", F.col("value").alias("churn"))
-    return issues.join(ev, "user_id").withColumn("bucket", time_bucket(F.col("created"), F.col("ts")))
+    issues = e.filter("event_type = 'error'").select(F.col("event_id").alias("issue"), "user_id", F.col("ts").alias("created"))
+    ev = e.filter("event_type <> 'error'").select("user_id", F.col("event_type").alias("kind"), "ts", F.col("value").alias("churn"))
+    return ow.evidence_counts(issues, ev, ["user_id"], "kind")
 
 
 _EVIDENCE = """ev AS (SELECT i.event_id AS issue, i.user_id, i.ts AS created, e.event_id AS sha, e.event_type AS kind, e.ts, e.value AS churn, CASE WHEN e.ts <= i.ts THEN 'pre_issue' ELSE 'post_issue' END AS bucket
-  FROM events i JOIN events e ON i.user_id = e.user_id WHERE i.event_type = 'error' AND i.event_id % 50 = 0 AND e.event_type <> 'error')"""
+  FROM events i JOIN events e ON i.user_id = e.user_id WHERE i.event_type = 'error' AND e.event_type <> 'error')"""
 
 
-@query(f"WITH {_EVIDENCE} SELECT issue, kind, bucket, count(*) AS n_rows, count(DISTINCT sha) AS n_commits, round(sum(churn), 4) AS churn FROM ev GROUP BY ALL")
+@query(f"WITH {_EVIDENCE} SELECT issue, kind, bucket, count(*) AS n_rows, round(sum(churn), 4) AS churn FROM ev GROUP BY ALL")
 def evidence_time_buckets(spark, sf):
-    out = _evidence(spark, sf).groupBy("issue", "kind", "bucket").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("sha").alias("n_commits"), F.round(F.sum("churn"), 4).alias("churn"))
-    return out
+    return _evidence(spark, sf).select("issue", "kind", "bucket", "n_rows", F.round("churn", 4).alias("churn"))
 
 
 @query(f"WITH {_EVIDENCE} SELECT issue, user_id, count(DISTINCT sha) AS commits, count(DISTINCT ts::DATE) AS days FROM ev WHERE bucket = 'pre_issue' GROUP BY ALL HAVING count(DISTINCT sha) >= 2 AND count(DISTINCT ts::DATE) >= 1")
 def conservative_fallback_support(spark, sf):
-    return ow.conservative_support(_evidence(spark, sf), "issue", "user_id")
+    g = _evidence(spark, sf).filter("bucket = 'pre_issue'").groupBy("issue", "user_id").agg(F.sum("n_rows").alias("commits"), F.size(F.array_distinct(F.flatten(F.collect_list("days")))).cast("long").alias("days"))
+    return g.filter("commits >= 2 and days >= 1")
 
 
 @query(f"""WITH {_EVIDENCE} SELECT issue, sum((bucket = 'pre_issue')::INT)::BIGINT AS raw_pre, sum((bucket = 'post_issue')::INT)::BIGINT AS raw_post, sum((bucket = 'pre_issue' AND kind = 'click')::INT)::BIGINT AS selected_pre, sum((kind = 'click')::INT)::BIGINT AS selected_all FROM ev GROUP BY issue""")
 def selection_loss(spark, sf):
-    n = lambda c: F.sum(c.cast("int"))
+    n = lambda c: F.sum(F.when(c, F.col("n_rows")).otherwise(0))
     pre, click = F.col("bucket") == "pre_issue", F.col("kind") == "click"
     return _evidence(spark, sf).groupBy("issue").agg(n(pre).alias("raw_pre"), n(~pre).alias("raw_post"), n(pre & click).alias("selected_pre"), n(click).alias("selected_all"))
 
@@ -189,7 +190,7 @@ def fuzzy_name_pairs(spark, sf):
     return pairs.withColumn("similarity", F.round(score("a", "b"), 6))
 
 
-_EDGES = """e AS (SELECT DISTINCT o_custkey AS a, (o_custkey * 7 + 3) % 1500 AS b FROM orders WHERE o_orderkey % 40 = 0)"""
+_EDGES = """e AS (SELECT DISTINCT o_custkey AS a, (o_custkey * 7 + 3) % (SELECT count(*) FROM customer) AS b FROM orders)"""
 
 
 @query(f"""WITH RECURSIVE {_EDGES}, n AS (SELECT c_custkey AS node FROM customer),
@@ -197,9 +198,9 @@ _EDGES = """e AS (SELECT DISTINCT o_custkey AS a, (o_custkey * 7 + 3) % 1500 AS
   w AS (SELECT node, node AS r FROM n UNION SELECT w.node, both_.b FROM w JOIN both_ ON w.r = both_.a)
   SELECT node, min(r) AS cluster FROM w GROUP BY node""")
 def identity_components(spark, sf):
-    o = load(spark, sf, "orders").filter("o_orderkey % 40 = 0")
+    o = load(spark, sf, "orders").select("o_custkey").distinct()
     nodes = load(spark, sf, "customer").select(F.col("c_custkey").alias("node"))
-    edges = o.select(F.col("o_custkey").alias("a"), ((F.col("o_custkey") * 7 + 3) % 1500).alias("b")).distinct().join(nodes, F.col("b") == F.col("node"), "left_semi")
+    edges = o.join(F.broadcast(nodes.agg(F.count(F.lit(1)).alias("n")))).select(F.col("o_custkey").alias("a"), ((F.col("o_custkey") * 7 + 3) % F.col("n")).alias("b")).join(nodes, F.col("b") == F.col("node"), "left_semi")
     return idn.clusters(spark, nodes, edges)
 
 

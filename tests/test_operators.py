@@ -116,8 +116,60 @@ def test_statistics(spark):
     assert math.isclose(r["cliffs_delta"], sum(pairs) / 6)
     bh = st.benjamini_hochberg(spark.createDataFrame([(0.01,), (0.04,), (0.03,), (None,)], "p double"), "p")
     assert [None if r["p"] is None else (r["p"], round(r["p_adj"], 6)) for r in sorted(bh.collect(), key=lambda r: (r["p"] is None, r["p"]))] == [(0.01, 0.03), (0.03, 0.04), (0.04, 0.04), None]
-    b0, b1 = st.logit_irls(spark.createDataFrame([(1.0, 1.0)] * 3 + [(0.0, 1.0)] + [(1.0, 0.0)] + [(0.0, 0.0)] * 3, "y double, x double"), "y", "x")
-    assert math.isclose(b0, math.log(1 / 3), abs_tol=1e-6) and math.isclose(b1, math.log(9), abs_tol=1e-6)
+    two = spark.createDataFrame([("r", 1.0, 1.0)] * 3 + [("r", 0.0, 1.0)] + [("r", 1.0, 0.0)] + [("r", 0.0, 0.0)] * 3 + [("all one", 1.0, 1.0)] * 4, "repo string, y double, x double")
+    (r,) = st.logit_by_group(two, "y", "x", "repo").collect()
+    assert r["repo"] == "r" and math.isclose(r["intercept"], math.log(1 / 3), abs_tol=1e-6) and math.isclose(r["slope"], math.log(9), abs_tol=1e-6)
+    assert math.isclose(st.odds_two_by_two(3, 1, 1, 3), 0.4857142857, abs_tol=1e-9) and st.odds_two_by_two(0, 0, 0, 0) == 1.0
+    assert math.isclose(spark.range(1).select(st.two_sided_normal(F.lit(1.959963985))).first()[0], 0.05, rel_tol=1e-5)
+
+
+def test_rank_statistics_over_many_ranges(spark):
+    """Equal to a plain loop with eight partitions, adaptive execution on and off."""
+    import random
+
+    rng = random.Random(1)
+    rows = [(rng.randint(0, 1), float(rng.randint(0, 400))) for _ in range(3000)]
+    a, b = sorted(x for g, x in rows if g), sorted(x for g, x in rows if not g)
+    u = sum((x > y) + (x == y) / 2 for x in a for y in b)
+    ps = [rng.random() ** 2 for _ in range(500)] + [0.25] * 20
+    order = sorted(range(len(ps)), key=lambda i: ps[i])
+    want, least = {}, 1.0
+    for r in range(len(ps), 0, -1):
+        least = min(least, ps[order[r - 1]] * len(ps) / r)
+        want[order[r - 1]] = least
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        for aqe in ("true", "false"):
+            spark.conf.set("spark.sql.adaptive.enabled", aqe)
+            r = st.rank_statistics(spark.createDataFrame(rows, "g int, x double").repartition(5), "g", "x").first()
+            assert r["mann_whitney_u"] == u and math.isclose(r["cliffs_delta"], 2 * u / (len(a) * len(b)) - 1)
+            got = st.benjamini_hochberg(spark.createDataFrame(list(enumerate(ps)), "i int, p double").repartition(5), "p").collect()
+            assert len(got) == len(ps) and all(math.isclose(x["p_adj"], want[x["i"]], abs_tol=1e-12) for x in got)
+            c = st.spearman(spark.createDataFrame([(x, x * x + 1) for _, x in rows], "x double, y double"), "x", "y").first()
+            assert math.isclose(c["spearman"], 1.0)
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
+def test_parsers_on_awkward_text(spark):
+    refs = lambda t: one(spark, tx.issue_references("t"), t=t)
+    assert refs("see https://github.com/o/r/issues/41, #12345678901234567890 and GH-3") == [41, 3]
+    assert one(spark, tx.closing_references("t"), t="Closes https://github.com/o/r/issues/8") == []  # a clause ends at a full stop
+    assert one(spark, tx.parse_labels("t"), t='["won\'t fix", "Bug"]') == ["won't fix", "bug"]
+    assert one(spark, tx.parse_labels("t"), t="['it\\'s', \"a'b\"]") == ["it's", "a'b"]
+    assert one(spark, tx.parse_labels("t"), t="[open, b]") == ["[open", "b]"]
+    assert one(spark, tx.parse_labels("t"), t="[]") == [] == one(spark, tx.parse_labels("t"), t=" ")
+    assert one(spark, tx.normalize_label("t"), t="Won`t\u2010Fix") == "wont fix"
+    ambiguous = lambda t: one(spark, tx.is_ambiguous_name(F.col("t")), t=t)
+    assert [ambiguous(x) for x in ("renovate", "bob", "dev", "none", "jo lee", "li")] == [True, True, True, False, False, True]
+
+
+def test_bots_keep_their_own_identity(spark):
+    rows = spark.createDataFrame([(1, "ann", "a@x", "ann lee"), (2, None, "a@x", "tool[bot]"), (3, "ci-bot", "b@x", None), (4, None, "b@x", "carl poe")], "row_id int, login string, email string, name string")
+    got = {r["row_id"]: r["identity"] for r in idn.strict_identities(rows).collect()}
+    assert got == {1: "login:ann", 2: "email:a@x", 3: "login:ci-bot", 4: "email:b@x"}
 
 
 def test_empty_tables(spark):

@@ -44,9 +44,34 @@ def test_query_equals_its_sql(spark, con, name):
         assert all(x == y or isinstance(x, float) and isinstance(y, float) and abs(x - y) < 2e-5 * max(1, abs(x)) for x, y in zip(a, b, strict=True)), (a, b)
 
 
-def test_queries_without_sql_return_rows(spark):
-    for name in set(catalog.QUERIES) - set(catalog.ORACLES):
-        assert catalog.QUERIES[name](spark, SF).count() >= 0
+def test_fuzzy_name_pairs_equal_all_pairs(spark, con):
+    names = con.sql("SELECT DISTINCT p_type, p_name FROM part").fetchall()
+    by = {}
+    for scope, name in names:
+        by.setdefault(scope, []).append(name)
+    want = {(s, a, b) for s, ns in by.items() for a in ns for b in ns if a < b and set(a.split(" ")) & set(b.split(" "))}
+    got = catalog.QUERIES["fuzzy_name_pairs"](spark, SF).collect()
+    assert {tuple(r)[:3] for r in got} == want and len(got) == len(want)
+    assert all(0 <= r["similarity"] <= 1 for r in got)
+
+
+def test_matched_controls_have_no_partner_twice(spark):
+    got = catalog.QUERIES["matched_controls_greedy"](spark, SF).collect()
+    assert got and len({r["control_issue"] for r in got}) == len(got)
+
+
+def test_logit_gradient_is_zero(spark, con):
+    fit = {r["repo"]: (r["intercept"], r["slope"]) for r in catalog.QUERIES["logit_fixed_effects"](spark, SF).collect()}
+    rows = con.sql("SELECT lang, toxic, ln(1 + n_chars) - 7 FROM documents JOIN labels USING (doc_id) WHERE toxic IS NOT NULL").fetchall()
+    assert fit
+    left = {k: 0.0 for k in fit}
+    slope = 0.0
+    for repo, y, x in rows:
+        if repo in fit:
+            r = y - 1 / (1 + math.exp(-(fit[repo][0] + fit[repo][1] * x)))
+            left[repo] += r
+            slope += r * x
+    assert all(abs(v) < 1e-3 for v in left.values()) and abs(slope) < 1e-2
 
 
 def test_entry(spark):
