@@ -72,3 +72,75 @@ def without_large(found: DataFrame, most: int = 6) -> DataFrame:
     """Clusters of more than `most` nodes fall apart into single nodes."""
     n = F.count(F.lit(1)).over(Window.partitionBy("cluster"))
     return found.withColumn("n", n).select("node", F.when(F.col("n") > most, F.col("node")).otherwise(F.col("cluster")).alias("cluster"))
+
+
+#: What each signal adds to the score of a pair, by the family it belongs to.
+SIGNALS = {"exact_email": 1.0, "exact_login": 1.0, "noreply_login": 0.9, "exact_name": 0.6, "pr_bridge": 0.8, "discussion_bridge": 0.2, "cross_source": 0.1, "weak_only": -0.5}
+
+
+def candidate_pairs(rows: DataFrame, keys: dict[str, tuple[str, ...]]) -> DataFrame:
+    """scope, a, b (a < b) of rows (scope, key, ...) that share a value of any kind; keys: kind -> columns that hold its values.
+
+    Equi-joins on (scope, kind, value), so only rows that share a value meet; a value that all have is as many pairs as it links.
+    """
+    long = None
+    for kind, columns in keys.items():
+        for c in columns:
+            part = rows.select("scope", "key", F.lit(kind).alias("kind"), F.col(c).alias("value")).filter("value is not null")
+            long = part if long is None else long.union(part)
+    long = long.distinct()
+    a, b = long.withColumnRenamed("key", "a"), long.withColumnRenamed("key", "b")
+    return a.join(b, ["scope", "kind", "value"]).filter("a < b").select("scope", "a", "b").distinct()
+
+
+def _bridge(own: str, other: str) -> tuple:
+    """Logins of one side that the other's counts name, either way, and the larger count of each."""
+    named = lambda x, y: F.filter(F.map_keys(f"{x}{own}"), lambda k: F.array_contains(f"{y}{other}", k))
+    logins = F.array_union(named("l_", "r_"), named("r_", "l_"))
+    count = lambda side, k: F.coalesce(F.try_element_at(F.col(f"{side}{own}"), k), F.lit(0))
+    return logins, lambda k: F.greatest(count("l_", k), count("r_", k)), lambda k: (count("l_", k), count("r_", k))
+
+
+def pair_scores(pairs: DataFrame, *, name_at: float = 0.94, localpart_at: float = 0.95) -> DataFrame:
+    """pairs with score, families, has_anchor, has_structural.
+
+    Each side (prefixes l_ and r_) has arrays emails, logins, noreply, names, sources, issues, and maps pr and talk (login -> count);
+    name_similarity and localpart_similarity are the best of the pair.
+    """
+    meet = lambda a, b: F.coalesce(F.arrays_overlap(f"l_{a}", f"r_{b}"), F.lit(False))
+    logins, most, both = _bridge("pr", "logins")
+    talked, _, _ = _bridge("talk", "logins")
+    hits = F.aggregate(F.transform(logins, most), F.lit(0).cast("long"), lambda s, x: s + x)
+    repeated = F.size(F.filter(logins, lambda k: most(k) > 0))
+    bijective = F.exists(logins, lambda k: (most(k) >= 2) & (both(k)[0] <= 2) & (both(k)[1] <= 2))
+    j = pairs.select(
+        "*",
+        meet("emails", "emails").alias("exact_email"), meet("logins", "logins").alias("exact_login"), (meet("noreply", "logins") | meet("logins", "noreply")).alias("noreply_login"), meet("names", "names").alias("exact_name"),
+        (F.col("name_similarity") >= name_at).alias("similar_name"), (F.col("localpart_similarity") >= localpart_at).alias("similar_localpart"),
+        (F.size(logins) > 0).alias("pr_bridge"), F.when(bijective, 0.35).when(repeated >= 2, 0.25).when(hits >= 2, 0.15).otherwise(0.0).alias("pr_bonus"),
+        F.size(F.array_intersect("l_issues", "r_issues")).alias("shared_issues"), (F.size(talked) > 0).alias("talked"), (F.size(F.array_union("l_sources", "r_sources")) >= 2).alias("cross_source"),
+    )
+    j = j.withColumn("discussion_bridge", F.col("talked") | (F.col("shared_issues") >= 1)).withColumn("talk_bonus", F.when(F.col("shared_issues") >= 3, 0.2).when(F.col("shared_issues") >= 2, 0.1).otherwise(0.0))
+    anchor = F.col("exact_email") | F.col("exact_login") | F.col("noreply_login")
+    structural = F.col("pr_bridge") | F.col("discussion_bridge") | (F.col("pr_bonus") > 0) | (F.col("talk_bonus") > 0)
+    weak = ~anchor & ~structural & (F.col("similar_name") | F.col("similar_localpart"))
+    value = lambda c: F.when(F.col(c), SIGNALS[c]).otherwise(0.0)
+    score = sum((value(c) for c in SIGNALS if c != "weak_only"), F.col("pr_bonus") + F.col("talk_bonus") + F.when(weak, SIGNALS["weak_only"]).otherwise(0.0))
+    score = score + F.when(~F.col("similar_name"), 0.0).when(F.col("name_similarity") >= 0.98, 0.5).otherwise(0.35) + F.when(F.col("similar_localpart"), 0.25).otherwise(0.0)
+    families = [anchor, F.col("exact_name") | F.col("similar_name"), F.col("similar_localpart"), F.col("pr_bridge"), F.col("discussion_bridge"), F.col("pr_bonus") > 0, F.col("talk_bonus") > 0, F.col("cross_source")]
+    return j.select("*", F.round(score, 6).alias("score"), sum((f.cast("int") for f in families[1:]), families[0].cast("int")).alias("families"), anchor.alias("has_anchor"), structural.alias("has_structural"))
+
+
+def pair_decisions(scored: DataFrame, *, merge_at: float = 0.9, strong_at: float = 1.2) -> DataFrame:
+    """scored with decision (accepted, or the first rule that rejects the pair) and tier of the accepted."""
+    named = F.col("exact_name") | F.col("similar_name")
+    decision = F.when(F.col("l_bot") | F.col("r_bot"), "rejected_bot").when(named & ~F.col("has_anchor") & ~F.col("has_structural"), "rejected_name_without_structure")
+    decision = decision.when(~F.col("has_anchor") & (F.col("families") < 2), "rejected_insufficient_signal_families").when(F.col("score") < merge_at, "rejected_low_score").otherwise("accepted")
+    return scored.withColumn("decision", decision).withColumn("tier", F.when(F.col("decision") == "accepted", F.when(F.col("score") >= strong_at, "strong").otherwise("moderate")))
+
+
+def fuzzy_clusters(spark, nodes: DataFrame, decided: DataFrame, most: int = 6) -> DataFrame:
+    """node, cluster, cluster_size of the accepted pairs; clusters of more than `most` nodes fall apart again."""
+    found = without_large(clusters(spark, nodes, decided.filter("decision = 'accepted'").select("a", "b")), most)
+    size = found.groupBy("cluster").agg(F.count(F.lit(1)).alias("cluster_size"))
+    return found.join(size, "cluster").select("node", "cluster", "cluster_size")

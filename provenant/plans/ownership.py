@@ -248,3 +248,57 @@ def commit_ranges(spark, sf):
     j = o.join(c, o.o_custkey == c.c_custkey).join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey"))
     out = j.rollup("r_name").agg(F.grouping("r_name").alias("g"), F.min("o_orderdate").alias("first_commit"), F.max("o_orderdate").alias("last_commit"), F.count(F.lit(1)).alias("n_commits"))
     return out.select(F.when(F.col("g") == 1, "all").otherwise(F.col("r_name")).alias("scope"), "first_commit", "last_commit", "n_commits").transform(iso_times)
+
+
+_ACTIVITY = """a AS (SELECT c_custkey AS k, c_nationkey AS repo, CASE WHEN c_custkey % 3 = 0 THEN 'user' || (c_custkey % 100) END AS login, CASE WHEN c_custkey % 2 = 0 THEN 'mail' || (c_custkey % 90) || '@example.com' END AS email,
+    CASE WHEN c_custkey % 5 > 0 THEN 'name of ' || (c_custkey % 70) END AS name, CASE WHEN c_custkey % 7 = 0 THEN 'user' || (c_custkey % 100) END AS noreply, 'user' || ((c_custkey + 3) % 100) AS pr, c_custkey % 4 AS pr_n,
+    'user' || ((c_custkey + 6) % 100) AS talk, c_custkey % 5 AS i1, 10 + c_custkey % 11 AS i2, c_custkey % 2 AS source, c_custkey % 50 = 0 AS bot FROM customer),
+  p AS (SELECT l.repo AS scope, l.k AS a, r.k AS b, l.bot OR r.bot AS bot, coalesce(l.email = r.email, false) AS same_mail, coalesce(l.login = r.login, false) AS same_login, coalesce(l.noreply = r.login, false) OR coalesce(r.noreply = l.login, false) AS hidden,
+    coalesce(l.name = r.name, false) AS same_name, list_filter(list_distinct([CASE WHEN l.pr = r.login THEN l.pr END, CASE WHEN r.pr = l.login THEN r.pr END]), lambda x: x IS NOT NULL) AS ov, l.pr AS lp, r.pr AS rp, l.pr_n AS ln, r.pr_n AS rn,
+    coalesce(l.talk = r.login, false) OR coalesce(r.talk = l.login, false) AS talked, (l.i1 = r.i1)::INT + (l.i2 = r.i2)::INT AS shared, l.source <> r.source AS cross_source
+    FROM a l JOIN a r ON l.repo = r.repo AND l.k < r.k AND (l.email = r.email OR l.login = r.login OR l.name = r.name OR l.noreply = r.login OR r.noreply = l.login OR l.pr = r.login OR r.pr = l.login)),
+  h AS (SELECT *, list_transform(ov, lambda x: [CASE WHEN lp = x THEN ln ELSE 0 END, CASE WHEN rp = x THEN rn ELSE 0 END]) AS cs FROM p),
+  b AS (SELECT *, CASE WHEN len(list_filter(cs, lambda c: greatest(c[1], c[2]) >= 2 AND c[1] <= 2 AND c[2] <= 2)) > 0 THEN 0.35 WHEN len(list_filter(cs, lambda c: greatest(c[1], c[2]) > 0)) >= 2 THEN 0.25
+      WHEN list_sum(list_transform(cs, lambda c: greatest(c[1], c[2]))) >= 2 THEN 0.15 ELSE 0 END AS bonus, same_mail OR same_login OR hidden AS anchor, talked OR shared >= 1 AS talk_bridge FROM h),
+  s AS (SELECT *, len(ov) > 0 OR talk_bridge AS structural,
+      1.0 * same_mail::INT + 1.0 * same_login::INT + 0.9 * hidden::INT + 1.1 * same_name::INT + 0.25 * same_mail::INT + 0.8 * (len(ov) > 0)::INT + 0.2 * talk_bridge::INT + bonus + CASE WHEN shared >= 2 THEN 0.1 ELSE 0 END + 0.1 * cross_source::INT
+        - CASE WHEN NOT anchor AND len(ov) = 0 AND NOT talk_bridge AND same_name THEN 0.5 ELSE 0 END AS raw,
+      anchor::INT + same_name::INT + same_mail::INT + (len(ov) > 0)::INT + talk_bridge::INT + (bonus > 0)::INT + (shared >= 2)::INT + cross_source::INT AS families FROM b),
+  d AS (SELECT scope, a, b, round(raw::DOUBLE, 6) AS score, families::INT AS families, CASE WHEN bot THEN 'rejected_bot' WHEN same_name AND NOT anchor AND NOT structural THEN 'rejected_name_without_structure'
+      WHEN NOT anchor AND families < 2 THEN 'rejected_insufficient_signal_families' WHEN round(raw::DOUBLE, 6) < 0.9 THEN 'rejected_low_score' ELSE 'accepted' END AS decision FROM s)"""
+
+
+def _decided(spark, sf):
+    """Customers of a nation as identities of a repository, with names and addresses that some share; equal names are alike, others aren't."""
+    k = F.col("c_custkey")
+    user = lambda c: F.concat(F.lit("user"), c % 100)
+    some = lambda c: F.when(c.isNotNull(), F.array(c)).otherwise(F.array().cast("array<string>"))
+    rows = load(spark, sf, "customer").select(F.col("c_nationkey").alias("scope"), k.alias("key"), F.when(k % 3 == 0, user(k)).alias("login"), F.when(k % 2 == 0, F.concat(F.lit("mail"), k % 90, F.lit("@example.com"))).alias("email"), F.when(k % 5 > 0, F.concat(F.lit("name of "), k % 70)).alias("name"), F.when(k % 7 == 0, user(k)).alias("hidden"), user(k + 3).alias("pr_login"), user(k + 6).alias("talk_login"))
+    found = idn.candidate_pairs(rows, {"email": ("email",), "name": ("name",), "login": ("login", "hidden", "pr_login")})
+    sets = rows.select("key", some(F.col("email")).alias("emails"), some(F.col("login")).alias("logins"), some(F.col("hidden")).alias("noreply"), some(F.col("name")).alias("names"), F.array(F.col("key") % 2).alias("sources"), F.array(F.col("key") % 5, 10 + F.col("key") % 11).alias("issues"), F.create_map("pr_login", F.col("key") % 4).alias("pr"), F.create_map("talk_login", F.lit(1)).alias("talk"), (F.col("key") % 50 == 0).alias("bot"))
+    side = lambda p, key: sets.select(F.col("key").alias(key), *(F.col(c).alias(f"{p}{c}") for c in sets.columns[1:]))
+    pairs = found.join(side("l_", "a"), "a").join(side("r_", "b"), "b")
+    same = lambda c: F.when(F.arrays_overlap(f"l_{c}", f"r_{c}"), 1.0).otherwise(0.0)
+    pairs = pairs.withColumn("name_similarity", same("names")).withColumn("localpart_similarity", same("emails"))
+    # two hidden or two pull-request logins that are equal are no signal of their own
+    linked = F.arrays_overlap("l_emails", "r_emails") | F.arrays_overlap("l_names", "r_names") | F.arrays_overlap("l_logins", "r_logins") | F.arrays_overlap("l_noreply", "r_logins") | F.arrays_overlap("l_logins", "r_noreply") | F.arrays_overlap(F.map_keys("l_pr"), "r_logins") | F.arrays_overlap("l_logins", F.map_keys("r_pr"))
+    return idn.pair_decisions(idn.pair_scores(pairs.filter(linked)))
+
+
+@query(f"WITH {_ACTIVITY} SELECT scope, a, b, score, families, decision FROM d")
+def fuzzy_pair_audit(spark, sf):
+    return _decided(spark, sf).select("scope", "a", "b", "score", "families", "decision")
+
+
+@query(f"WITH {_ACTIVITY} SELECT scope, decision, count(*) AS n_pairs FROM d GROUP BY scope, decision")
+def fuzzy_pair_outcomes(spark, sf):
+    return _decided(spark, sf).groupBy("scope", "decision").agg(F.count(F.lit(1)).alias("n_pairs"))
+
+
+@query(f"""WITH RECURSIVE {_ACTIVITY}, both_ AS (SELECT a, b FROM d WHERE decision = 'accepted' UNION SELECT b, a FROM d WHERE decision = 'accepted'),
+  w AS (SELECT c_custkey AS node, c_custkey AS r FROM customer UNION SELECT w.node, both_.b FROM w JOIN both_ ON w.r = both_.a),
+  c AS (SELECT node, min(r) AS cluster FROM w GROUP BY node), n AS (SELECT *, count(*) OVER (PARTITION BY cluster) AS n FROM c), f AS (SELECT node, CASE WHEN n > 6 THEN node ELSE cluster END AS cluster FROM n)
+  SELECT node, cluster, count(*) OVER (PARTITION BY cluster) AS cluster_size FROM f""")
+def fuzzy_identity_clusters(spark, sf):
+    nodes = load(spark, sf, "customer").select(F.col("c_custkey").alias("node"))
+    return idn.fuzzy_clusters(spark, nodes, _decided(spark, sf))
