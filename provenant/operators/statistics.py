@@ -79,6 +79,40 @@ def rank_statistics(df: DataFrame, group: str, value: str) -> DataFrame:
     return out.withColumn("cliffs_delta", F.when((na > 0) & (nb > 0), 2 * F.col("mann_whitney_u") / (na * nb) - 1)).drop("ties")
 
 
+def kruskal_wallis(df: DataFrame, group: str, value: str) -> DataFrame:
+    """One row: groups, rows, H corrected for ties and its degrees of freedom; H is null below two groups or where all values are equal."""
+    rows = df.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).filter("g is not null and v is not null")
+    per = rows.groupBy("v", "g").agg(F.count(F.lit(1)).alias("k"))
+    placed = average_ranks(rows, "v")
+    sums = per.join(placed, "v").groupBy("g").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("rank")).alias("t"))
+    one = sums.agg(F.count(F.lit(1)).alias("n_groups"), F.sum("k").alias("n"), F.sum(F.col("t") * F.col("t") / F.col("k")).alias("q"))
+    t = F.col("t").cast("double")
+    ties = per.groupBy("v").agg(F.sum("k").alias("t")).agg(F.sum(t * t * t - t).alias("ties"))
+    n = F.col("n").cast("double")
+    even = 1 - F.col("ties") / (n * n * n - n)
+    h = (12 / (n * (n + 1)) * F.col("q") - 3 * (n + 1)) / even
+    return one.join(F.broadcast(ties)).select("n_groups", "n", F.when((F.col("n_groups") > 1) & (even > 0), h).alias("kruskal_h"), (F.col("n_groups") - 1).alias("df"))  # one row each
+
+
+def wilcoxon(df: DataFrame, late: str, early: str, by: str) -> DataFrame:
+    """Per group: signed-rank W of pairs that differ, and its two-sided p by the normal approximation with ties.
+
+    Ranks of all groups come from one set of prefix sums over (group, size of difference), less what lies before the group.
+    """
+    d = F.col(late).cast("double") - F.col(early).cast("double")
+    rows = df.select(F.col(by).alias("g"), d.alias("d")).filter("d <> 0 and g is not null")
+    counts = rows.groupBy(F.struct("g", F.abs("d").alias("v")).alias("at")).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("d") > 0).cast("long")).alias("up"))
+    placed = prefix_sums(counts, "at", "n").withColumn("g", F.col("at.g"))
+    start = placed.groupBy("g").agg(F.min("below_n").alias("start"))
+    rank = F.col("below_n") - F.col("start") + (F.col("n") + 1) / 2
+    t = F.col("n").cast("double")
+    g = placed.join(start, "g").groupBy("g").agg(F.sum("n").alias("n_pairs"), F.sum(rank * F.col("up")).alias("plus"), F.sum(t * t * t - t).alias("ties"))
+    n = F.col("n_pairs").cast("double")
+    mean, sd = n * (n + 1) / 4, F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
+    w = F.least(F.col("plus"), n * (n + 1) / 2 - F.col("plus"))
+    return g.select(F.col("g").alias(by), "n_pairs", w.alias("wilcoxon_w"), F.when(sd > 0, two_sided_normal(F.abs(w - mean) / sd)).alias("wilcoxon_p"))
+
+
 def benjamini_hochberg(df: DataFrame, p: str) -> DataFrame:
     """df (a table of tests) with p_adj: least p * n / rank of this and all larger p, at most 1. Null p stays null.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from provenant.operators.statistics import prefix_sums
 
 def keep_first(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key by an explicit order, which should break all ties."""
@@ -37,7 +38,14 @@ def missingness(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def quantiles(df: DataFrame, value: str, qs: list[float]) -> DataFrame:
-    return df.agg(F.percentile(value, F.array(*[F.lit(q) for q in qs])).alias("q"))
+    """One row with q: exact quantiles, linear between neighbours. Their places come from counts and prefix sums over ranges, so no task holds all values."""
+    counts = df.select(F.col(value).cast("double").alias("v")).filter("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg((F.sum("n") - 1).alias("last"))
+    placed = prefix_sums(counts, "v", "n").join(F.broadcast(total))  # one row of the total
+    from_, to = F.col("below_n"), F.col("below_n") + F.col("n")
+    found = placed.agg(*(F.max(F.when((from_ <= at) & (at < to), F.col("v"))).alias(f"{side}{i}") for i, q in enumerate(qs) for side, at in (("lo", F.floor(F.col("last") * q)), ("hi", F.ceil(F.col("last") * q)))), F.max("last").alias("last"))
+    between = lambda i, q: F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * (F.col("last") * q - F.floor(F.col("last") * q))
+    return found.select(F.array(*(between(i, q) for i, q in enumerate(qs))).alias("q"))
 
 
 def quantile_bucket(df: DataFrame, value: str, n: int, into: str = "bucket") -> DataFrame:

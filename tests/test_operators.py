@@ -199,3 +199,36 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination()
     key = lambda df: sorted(map(tuple, df.collect()))
     assert key(spark.table("act")) == key(windows.activity(rows))
+
+
+def test_rank_tests_equal_known_values(spark):
+    """H and W of small groups worked out by hand; p of W by the normal approximation."""
+    h = st.kruskal_wallis(spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 3.0), ("b", 4.0), ("c", 5.0), ("c", 6.0), (None, 9.0), ("a", None)], "g string, v double"), "g", "v").first()
+    assert (h["n_groups"], h["n"], h["df"]) == (3, 6, 2) and abs(h["kruskal_h"] - 32 / 7) < 1e-9
+    pairs = [("x", 3.0, 1.0), ("x", 1.0, 2.0), ("x", 5.0, 2.0), ("x", 4.0, 4.0), ("y", 1.0, 3.0), ("y", 3.0, 1.0), (None, 1.0, 0.0)]
+    w = {r["g"]: r for r in st.wilcoxon(spark.createDataFrame(pairs, "g string, l double, e double"), "l", "e", "g").collect()}
+    assert (w["x"]["n_pairs"], w["x"]["wilcoxon_w"]) == (3, 1.0) and (w["y"]["n_pairs"], w["y"]["wilcoxon_w"]) == (2, 1.5)
+    assert abs(w["y"]["wilcoxon_p"] - 1) < 1e-6
+    assert st.kruskal_wallis(spark.createDataFrame([], "g string, v double"), "g", "v").first()["kruskal_h"] is None
+
+
+def test_quantiles_are_exact_over_many_ranges(spark):
+    import numpy as np
+
+    values = [float((i * 7919) % 1009) / 3 for i in range(4000)] + [5.0] * 500
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double").repartition(8)
+    got = tb.quantiles(df, "v", [0.0, 0.01, 0.25, 0.5, 0.99, 1.0]).first()["q"]
+    assert np.allclose(got, np.quantile(values, [0.0, 0.01, 0.25, 0.5, 0.99, 1.0]), atol=1e-9)
+    assert tb.quantiles(df.filter("v < 0"), "v", [0.5]).first()["q"] == [None]
+
+
+def test_fallback_by_number_and_screen_limits(spark):
+    from provenant.operators import dataset as ds
+
+    base = spark.createDataFrame([(1, "a", 1, "keep"), (1, None, 2, "keep"), (1, "c", None, "keep"), (2, "a", 1, "keep")], "repo int, issue_id string, issue_number int, own string")
+    more = spark.createDataFrame([(1, "a", None, 10, "x"), (1, None, 2, 20, "x"), (1, None, 1, 30, "x")], "repo int, issue_id string, issue_number int, v int, own string")
+    got = {(r["repo"], r["issue_id"], r["issue_number"]): (r["v"], r["own"]) for r in ds.merge_by_id_or_number(base, more).collect()}
+    assert got == {(1, "a", 1): (10, "keep"), (1, None, 2): (20, "keep"), (1, "c", None): (None, "keep"), (2, "a", 1): (None, "keep")}
+    rows = spark.createDataFrame([("a", 5), ("b", 2), ("c", 9)], "k string, n int")
+    assert [r["k"] for r in ds.count_screen(rows, "n", 3, ["n"], "k", None).collect()] == ["c", "a"]
+    assert [r["k"] for r in ds.count_screen(rows, "n", 3, ["n"], "k", 1).collect()] == ["c"]
