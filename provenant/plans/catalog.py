@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from provenant.plans import dataset, discussion, evidence, groups, ownership, payloads, reports  # noqa: F401  they register their queries
+from provenant.plans import dataset, discussion, evidence, groups, ownership, participants, payloads, reports  # noqa: F401  they register their queries
 from provenant.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

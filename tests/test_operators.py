@@ -232,3 +232,27 @@ def test_fallback_by_number_and_screen_limits(spark):
     rows = spark.createDataFrame([("a", 5), ("b", 2), ("c", 9)], "k string, n int")
     assert [r["k"] for r in ds.count_screen(rows, "n", 3, ["n"], "k", None).collect()] == ["c", "a"]
     assert [r["k"] for r in ds.count_screen(rows, "n", 3, ["n"], "k", 1).collect()] == ["c"]
+
+
+def test_differences_hold_null_keys_and_emotions_fall_back(spark):
+    from provenant.operators import participants as pt
+
+    a = spark.createDataFrame([("x",), ("y",), ("y",), (None,)], "sha string")
+    b = spark.createDataFrame([("y",), ("z",)], "sha string")
+    assert {tuple(r) for r in pt.differences(a, b, ["sha"]).collect()} == {("x", "first"), (None, "first"), ("z", "second")}
+    e = spark.createDataFrame([("comment", "joy"), ("comment", None), ("summary", "anger")], "level string, emotion string")
+    assert [r["emotion"] for r in pt.issue_emotions(e).collect()] == ["anger"]
+    assert [r["emotion"] for r in pt.issue_emotions(e.filter("level = 'comment'")).collect()] == ["joy"]
+
+
+def test_roles_of_issues_without_comments_or_history(spark):
+    from provenant.operators import participants as pt
+
+    issues = spark.createDataFrame([(1, "a"), (2, None)], "issue int, author string")
+    comments = spark.createDataFrame([(1, 1, "b"), (1, 2, None), (1, 3, "b"), (1, 4, "a")], "issue int, seq int, author string")
+    roles = spark.createDataFrame([(1, "b", 5, 2, 1, 0.5, 1)], "issue int, contributor string, commits int, days int, rank int, share double, major int")
+    got = {r["issue"]: r for r in pt.participant_roles(issues, comments, roles).collect()}
+    one, two = got[1], got[2]
+    assert (one["author_is_major"], one["commenter_count"], one["major_commenter_count"], one["top_commenter_is_major"]) == (0, 2, 1, 1)
+    assert abs(one["comment_share_by_major"] - 2 / 3) < 1e-9 and one["major_commenter_share"] == 0.5
+    assert (two["commenter_count"], two["any_commenter_is_major"], two["major_commenter_share"]) == (0, 0, None)
