@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from provenant.sources.scratch import stored
@@ -183,11 +186,111 @@ def logit_by_group(df: DataFrame, y: str, x: str, by: str, rounds: int = 25) ->
 
 
 def odds_two_by_two(a: int, b: int, c: int, d: int) -> float:
-    """Fisher's exact two-sided p of a 2 x 2 table of counts, summed over tables no likelier than this one."""
+    """Fisher's exact two-sided p of a 2 x 2 table of counts: tables no likelier than this one, summed outwards until a term no longer counts.
+
+    The walk ends some deviations away, so its length grows as the root of the counts.
+    """
     n, row, column = a + b + c + d, a + b, a + c
+    low, high = max(0, row + column - n), min(row, column)
     log_p = lambda k: sum(map(math.lgamma, (row + 1, n - row + 1, column + 1, n - column + 1))) - sum(map(math.lgamma, (n + 1, k + 1, row - k + 1, column - k + 1, n - row - column + k + 1)))
     own = log_p(a)
-    return min(1.0, sum(math.exp(v) for k in range(max(0, row + column - n), min(row, column) + 1) if (v := log_p(k)) <= own + 1e-7))
+    mode = min(high, max(low, (row + 1) * (column + 1) // (n + 2)))
+
+    def outwards(k: int, step: int) -> float:
+        total = 0.0
+        while low <= k <= high and (t := math.exp(log_p(k) - own)) > 1e-17:
+            total += t
+            k += step
+        return total
+
+    if log_p(mode) <= own + 1e-7:
+        return 1.0
+    step = -1 if a < mode else 1
+    inside, outside = mode, (high if step < 0 else low) - step  # likelier, and beyond the other end
+    while abs(outside - inside) > 1:
+        k = (inside + outside) // 2
+        inside, outside = (inside, k) if not low <= k <= high or log_p(k) <= own + 1e-7 else (k, outside)
+    return min(1.0, math.exp(own) * (outwards(a, step) + outwards(outside, -step)))
+
+
+@F.pandas_udf(DoubleType())
+def fisher_p(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+    """Fisher's p of tables that are aggregates already, a row for each."""
+    return pd.Series([odds_two_by_two(*map(int, t)) for t in zip(a, b, c, d, strict=True)], dtype="float64")
+
+
+def flag_effects(df: DataFrame, group: str, flags: list[str], by: list[str], min_n: int = 5) -> DataFrame:
+    """A row per by and flag: sizes, positives and rates of the groups 1 (a) and 0 (b), risk difference, odds ratio, Fisher's p.
+
+    A flag that is unknown counts as not set. Below min_n rows in a group the status is limited_n and p is null.
+    """
+    v = lambda f: F.coalesce(F.col(f).try_cast("double"), F.lit(0.0)) > 0
+    n = lambda g, c: F.sum(((F.col(group) == g) & c).cast("long"))
+    t = df.filter(F.col(group).isin(0, 1)).groupBy(*by).agg(n(1, F.lit(True)).alias("n_a"), n(0, F.lit(True)).alias("n_b"), *(x for f in flags for x in (n(1, v(f)).alias(f"{f}_a"), n(0, v(f)).alias(f"{f}_b"))))
+    rows = t.select(*by, "n_a", "n_b", F.inline(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f"{f}_a").alias("positive_a"), F.col(f"{f}_b").alias("positive_b")) for f in flags))))
+    pa, pb, na, nb = (F.col(c) for c in ("positive_a", "positive_b", "n_a", "n_b"))
+    enough = (na >= min_n) & (nb >= min_n)
+    rate = lambda p, k: F.when(k > 0, p / k)
+    out = rows.withColumn("rate_a", rate(pa, na)).withColumn("rate_b", rate(pb, nb)).withColumn("risk_difference", F.col("rate_a") - F.col("rate_b"))
+    out = out.withColumn("odds_ratio", F.when((na > 0) & (nb > 0), odds_ratio(pa, na - pa, pb, nb - pb))).withColumn("status", F.when(enough, "ok").otherwise("limited_n"))
+    return out.withColumn("fisher_p", F.when(enough, fisher_p(pa, na - pa, pb, nb - pb)))
+
+
+def grouped_medians(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """by and the exact median of a value in each group that has one; from counts and prefix sums, so no task holds a group."""
+    counts = df.select(F.struct(*by, F.col(value).cast("double").alias("_v")).alias("k")).filter("k._v is not null").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    placed = stored(prefix_sums(counts, "k", "n"), "placed")
+    group = F.struct(*(F.col(f"k.{b}").alias(b) for b in by))
+    sizes = placed.groupBy(group.alias("g")).agg(F.min("below_n").alias("start"), F.sum("n").alias("size"))
+    at = lambda q: F.col("start") + F.floor((F.col("size") - 1 + q) / 2)
+    here = lambda q: F.when((F.col("below_n") <= at(q)) & (at(q) < F.col("below_n") + F.col("n")), F.col("k._v"))
+    found = placed.join(sizes, group.eqNullSafe(F.col("g"))).groupBy("g").agg(((F.max(here(0)) + F.max(here(1))) / 2).alias("median"))
+    return found.select(*(F.col(f"g.{b}").alias(b) for b in by), "median")
+
+
+def fixed_effect_model(df: DataFrame, y: str, xs: list[str], by: str) -> DataFrame:
+    """OLS of y on xs with an intercept for each group: term, coefficient, HC3 error, 95 % interval, p, n, n_groups, r_squared.
+
+    Rows with an unknown value go. Values are centred by group, so the intercepts never become columns: a row's leverage is 1 / group size
+    plus its part in the centred terms. A group of one row says nothing of the slopes and adds nothing to their errors. Terms that
+    depend on each other give no row. What reaches the driver is one row of (1 + xs) squared sums.
+    """
+    cols, k = [y, *xs], len(xs)
+    rows = df.select(F.col(by).alias("_by"), *(F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols))).dropna()
+    means = stored(rows.groupBy("_by").agg(F.count(F.lit(1)).alias("_n"), *(F.avg(f"c{i}").alias(f"m{i}") for i in range(k + 1))), "means")
+    z = stored(rows.join(means, "_by").select("_n", "c0", *((F.col(f"c{i}") - F.col(f"m{i}")).alias(f"z{i}") for i in range(k + 1))), "centred")
+    s = z.agg(F.count(F.lit(1)).alias("n"), (F.var_pop("c0") * F.count(F.lit(1))).alias("sst"), *(F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"s{i}_{j}") for i in range(k + 1) for j in range(i + 1))).first()
+    fit = None
+    if s["n"]:
+        a = np.array([[s[f"s{max(i, j)}_{min(i, j)}"] for j in range(k + 1)] for i in range(k + 1)])
+        scale = np.sqrt(np.diag(a)[1:])
+        if (scale > 0).all() and np.linalg.matrix_rank(a[1:, 1:] / np.outer(scale, scale), tol=1e-9) == k:
+            inverse = np.linalg.inv(a[1:, 1:])
+            fit = inverse @ a[1:, 0]
+    if fit is None:
+        return df.sparkSession.createDataFrame([], "term string, coefficient double, std_error double, ci_low double, ci_high double, p_value double, n bigint, n_groups bigint, r_squared double")
+    total = lambda terms: sum(terms, F.lit(0.0))
+    zs = [F.col(f"z{i + 1}") for i in range(k)]
+    weight = lambda t: total(F.lit(float(inverse[t, j])) * zs[j] for j in range(k))
+    error = F.col("z0") - total(F.lit(float(fit[j])) * zs[j] for j in range(k))
+    free = 1 - 1 / F.col("_n") - total(weight(t) * zs[t] for t in range(k))
+    left = F.when(free > 1e-12, error / free).otherwise(0.0)
+    one = z.select(error.alias("e"), *((weight(t) * left).alias(f"u{t}") for t in range(k))).agg(F.sum(F.col("e") * F.col("e")).alias("sse"), *(F.sqrt(F.sum(F.col(f"u{t}") * F.col(f"u{t}"))).alias(f"se{t}") for t in range(k)))
+    n_groups = means.agg(F.count(F.lit(1)).alias("n_groups"))
+    terms = F.inline(F.array(*(F.struct(F.lit(xs[t]).alias("term"), F.lit(float(fit[t])).alias("coefficient"), F.col(f"se{t}").alias("std_error")) for t in range(k))))
+    out = one.join(F.broadcast(n_groups)).select("sse", "n_groups", terms)  # one row each
+    b, se = F.col("coefficient"), F.col("std_error")
+    r2 = 1 - F.col("sse") / F.lit(float(s["sst"])) if s["sst"] > 0 else F.lit(None).cast("double")
+    return out.select("term", "coefficient", "std_error", (b - 1.96 * se).alias("ci_low"), (b + 1.96 * se).alias("ci_high"), F.when(se > 0, two_sided_normal(F.abs(b / se))).alias("p_value"), F.lit(s["n"]).cast("bigint").alias("n"), "n_groups", r2.alias("r_squared"))
+
+
+def adjusted_change(df: DataFrame, y: str, x: str, controls: list[str], by: str) -> DataFrame:
+    """x's coefficient in the models of y without and with controls (rows complete for each model): model, n, coefficient, std_error, change from the first."""
+    base = fixed_effect_model(df, y, [x], by).withColumn("model", F.lit("base"))
+    more = fixed_effect_model(df, y, [x, *controls], by).withColumn("model", F.lit("adjusted"))
+    first = base.select(F.col("coefficient").alias("_base"))
+    both = base.union(more).filter(F.col("term") == x).join(F.broadcast(first), how="left")  # one row
+    return both.select("model", "n", "coefficient", "std_error", F.when(F.col("model") == "adjusted", F.col("coefficient") - F.col("_base")).alias("change"))
 
 
 def two_sided_normal(z: Column) -> Column:
