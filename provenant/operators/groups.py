@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from provenant.functions import text as tx
 from provenant.functions.numbers import safe_divide
+from provenant.operators.statistics import grouped_medians
 
 #: What several spellings of a group's name stand for.
 CASE_NAMES = ("wontfix", "won_t_fix", "won't_fix", "wont_fix")
@@ -59,7 +60,12 @@ def denominator(df: DataFrame, name: str) -> Column:
 def feature_summary(df: DataFrame, feature: str, group: str, counts: Column, binary: bool) -> DataFrame:
     """Per group of the rows that count: n, valid_n, positive_count and rate of a flag, or mean, median and deviation of a number."""
     v = F.col(feature).try_cast("double")
-    g = df.filter(counts).groupBy(F.col(group).alias("analysis_set")).agg(F.count(F.lit(1)).alias("n"), F.count(v).alias("valid_n"), F.sum((F.coalesce(v, F.lit(0.0)) > 0).cast("int")).alias("positive"), F.avg(v).alias("m"), F.median(v).alias("median_"), F.stddev_samp(v).alias("sd"))
+    rows = df.filter(counts).select(F.col(group).alias("analysis_set"), v.alias("_v"))
+    v = F.col("_v")
+    g = rows.groupBy("analysis_set").agg(F.count(F.lit(1)).alias("n"), F.count(v).alias("valid_n"), F.sum((F.coalesce(v, F.lit(0.0)) > 0).cast("int")).alias("positive"), F.avg(v).alias("m"), F.stddev_samp(v).alias("sd"))
+    if not binary:
+        middle = grouped_medians(rows, ["analysis_set"], "_v").select(F.col("analysis_set").alias("_s"), F.col("median").alias("median_"))
+        g = g.join(middle, F.col("analysis_set").eqNullSafe(F.col("_s")), "left")
     rate = safe_divide(F.col("positive"), F.col("n"))
     none = F.lit(None).cast("double")
     return g.select("analysis_set", F.lit(feature).alias("feature"), "n", "valid_n", (F.col("positive") if binary else F.lit(None).cast("bigint")).alias("positive_count"), (rate if binary else none).alias("rate"), (rate if binary else F.col("m")).alias("mean"), (none if binary else F.col("median_")).alias("median"), (none if binary else F.col("sd")).alias("std"))

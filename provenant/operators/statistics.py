@@ -236,16 +236,22 @@ def flag_effects(df: DataFrame, group: str, flags: list[str], by: list[str], min
     return out.withColumn("fisher_p", F.when(enough, fisher_p(pa, na - pa, pb, nb - pb)))
 
 
-def grouped_medians(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """by and the exact median of a value in each group that has one; from counts and prefix sums, so no task holds a group."""
+def grouped_quantiles(df: DataFrame, by: list[str], value: str, qs: list[float]) -> DataFrame:
+    """by and q: exact quantiles, linear between neighbours, of each group that has a value; from counts and prefix sums, so no task holds a group."""
     counts = df.select(F.struct(*by, F.col(value).cast("double").alias("_v")).alias("k")).filter("k._v is not null").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
     placed = stored(prefix_sums(counts, "k", "n"), "placed")
     group = F.struct(*(F.col(f"k.{b}").alias(b) for b in by))
-    sizes = placed.groupBy(group.alias("g")).agg(F.min("below_n").alias("start"), F.sum("n").alias("size"))
-    at = lambda q: F.col("start") + F.floor((F.col("size") - 1 + q) / 2)
-    here = lambda q: F.when((F.col("below_n") <= at(q)) & (at(q) < F.col("below_n") + F.col("n")), F.col("k._v"))
-    found = placed.join(sizes, group.eqNullSafe(F.col("g"))).groupBy("g").agg(((F.max(here(0)) + F.max(here(1))) / 2).alias("median"))
-    return found.select(*(F.col(f"g.{b}").alias(b) for b in by), "median")
+    sizes = placed.groupBy(group.alias("g")).agg(F.min("below_n").alias("start"), (F.sum("n") - 1).alias("last"))
+    rank = F.col("below_n") - F.col("start")
+    here = lambda at: F.max(F.when((rank <= at) & (at < rank + F.col("n")), F.col("k._v")))
+    found = placed.join(sizes, group.eqNullSafe(F.col("g"))).groupBy("g", "last").agg(*(here(side(F.col("last") * q)).alias(f"{name}{i}") for i, q in enumerate(qs) for name, side in (("lo", F.floor), ("hi", F.ceil))))
+    between = lambda i, q: F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * (F.col("last") * q - F.floor(F.col("last") * q))
+    return found.select(*(F.col(f"g.{b}").alias(b) for b in by), F.array(*(between(i, q) for i, q in enumerate(qs))).alias("q"))
+
+
+def grouped_medians(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """by and the exact median of a value in each group that has one."""
+    return grouped_quantiles(df, by, value, [0.5]).select(*by, F.col("q")[0].alias("median"))
 
 
 def fixed_effect_model(df: DataFrame, y: str, xs: list[str], by: str) -> DataFrame:

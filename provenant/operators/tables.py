@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from provenant.operators.statistics import prefix_sums
+from provenant.operators.statistics import grouped_quantiles, prefix_sums
+
 
 def keep_first(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key by an explicit order, which should break all ties."""
@@ -71,10 +72,12 @@ def population_cube(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def describe_by(df: DataFrame, group: str, value: str) -> DataFrame:
+    """Per group: rows, known values, their mean, deviation, exact quartiles and ends. The quartiles come from prefix sums, so a group may be of any size."""
     v = F.col(value).cast("double")
-    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = df.groupBy(group).agg(F.count(F.lit(1)).alias("n_rows"), F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), q.alias("q"), F.min(v).alias("minimum"), F.max(v).alias("maximum"))
-    return out.select(group, "n_rows", "n", "mean", "sd", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "minimum", "maximum")
+    out = df.groupBy(group).agg(F.count(F.lit(1)).alias("n_rows"), F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.min(v).alias("minimum"), F.max(v).alias("maximum"))
+    q = grouped_quantiles(df, [group], value, [0.25, 0.5, 0.75]).select(F.col(group).alias("_g"), "q")
+    both = out.join(q, F.col(group).eqNullSafe(F.col("_g")), "left")
+    return both.select(group, "n_rows", "n", "mean", "sd", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "minimum", "maximum")
 
 
 def unique_path_links(mentions: DataFrame, universe: DataFrame) -> DataFrame:

@@ -191,5 +191,8 @@ def event_windows(spark, sf):
 
 @query(f"""WITH {_BASE} SELECT source, count(*) AS n, sum((toxic = 1)::INT)::BIGINT AS n_case, round(sum((toxic = 1)::INT) / nullif(count(toxic), 0), 6) AS case_rate, round(median(n_chars), 6) AS median_chars FROM b GROUP BY source""")
 def repo_qa_summary(spark, sf):
-    g = base(spark, sf).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("toxic") == 1).cast("int")).alias("n_case"), F.count("toxic").alias("k"), F.median("n_chars").alias("median_chars"))
+    b = base(spark, sf)
+    g = b.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("toxic") == 1).cast("int")).alias("n_case"), F.count("toxic").alias("k"))
+    middle = st.grouped_medians(b, ["source"], "n_chars").select(F.col("source").alias("_s"), F.col("median").alias("median_chars"))
+    g = g.join(middle, F.col("source").eqNullSafe(F.col("_s")), "left")
     return rounded(g.select("source", "n", "n_case", safe_divide(F.col("n_case"), F.col("k")).alias("case_rate"), "median_chars"))
