@@ -80,6 +80,12 @@ def term_counts(text: str | None, known: Bins) -> tuple[np.ndarray, np.ndarray]:
     return u, np.bincount(inverse, n, len(u))
 
 
+def bins_held(text: str | None, known: Bins) -> np.ndarray:
+    """The bins of a text, in no order."""
+    held = set(chain.from_iterable(map(known.__getitem__, set(_WORD.findall((text or "").lower())))))
+    return np.fromiter(held, np.int64, len(held))
+
+
 def document_frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
     """Over all rows: documents that hold each bin, and documents. A task sends a count for each bin it met; BINS of them reach the driver at most."""
 
@@ -88,7 +94,7 @@ def document_frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
         for batch in batches:
             for part in slices(batch):
                 for t in part.column(0).to_pylist():
-                    df[term_counts(t, known)[0]] += 1
+                    df[bins_held(t, known)] += 1
                     n += 1
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_pydict({"bin": pa.array(np.concatenate([[-1], some]), pa.int32()), "n": pa.array(np.concatenate([[n], df[some]]), pa.int64())})
