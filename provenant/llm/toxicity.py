@@ -107,8 +107,14 @@ def document_frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
 
 
 def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The numbers start[i], ..., start[i] + n[i] - 1 for all i, one after another."""
-    return np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+    """The numbers start[i], ..., start[i] + n[i] - 1 for all i, one after another; no n is 0."""
+    if not len(n):
+        return np.zeros(0, np.int64)
+    ends = np.cumsum(n)
+    step = np.ones(ends[-1], np.int64)
+    step[0] = start[0]
+    step[ends[:-1]] = start[1:] - start[:-1] - n[:-1] + 1
+    return np.cumsum(step)
 
 
 @dataclass(frozen=True)
@@ -155,8 +161,10 @@ class BlockMaxIndex:
         bound = np.bincount(block, q * self.most[cells], -(-self.rows // self.size))
         first = np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]
         left = bound > 0
+        best_blocks = np.zeros(len(bound), bool)
+        best_blocks[first] = True
         # the best blocks first; then, at once, all others whose bound reaches the k-th best cosine found there
-        for taken in (np.isin(np.arange(len(bound)), first) & left, None):
+        for taken in (best_blocks & left, None):
             if taken is None:
                 taken = left & (bound >= sims[-1] - 1e-6) if len(sims) == k else left
             left = left & ~taken
