@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from provenant.functions import text as tx
+from provenant.operators.similarity import admission, similar_pairs
 from provenant.sources.scratch import stored
 
 
@@ -78,19 +79,29 @@ def without_large(found: DataFrame, most: int = 6) -> DataFrame:
 SIGNALS = {"exact_email": 1.0, "exact_login": 1.0, "noreply_login": 0.9, "exact_name": 0.6, "pr_bridge": 0.8, "discussion_bridge": 0.2, "cross_source": 0.1, "weak_only": -0.5}
 
 
-def candidate_pairs(rows: DataFrame, keys: dict[str, tuple[str, ...]]) -> DataFrame:
-    """scope, a, b (a < b) of rows (scope, key, ...) that share a value of any kind; keys: kind -> columns that hold its values.
+def candidate_pairs(rows: DataFrame, keys: dict[str, tuple[tuple[str, ...], tuple[str, ...]]], similar: dict[str, float] | None = None) -> DataFrame:
+    """scope, a, b (a < b) of rows (scope, key, ...) that share a value of any kind or have alike ones.
 
-    Equi-joins on (scope, kind, value), so only rows that share a value meet; a value that all have is as many pairs as it links.
+    keys: kind -> (columns with own values, columns that name others' values); two rows that name the same third one share nothing by that. similar: column -> least
+    Jaro-Winkler similarity. Equi-joins on (scope, kind, value) and on blocks of alike values, so only rows that can be a pair meet; a value that all have is as many pairs as it links.
     """
     long = None
     for kind, columns in keys.items():
-        for c in columns:
-            part = rows.select("scope", "key", F.lit(kind).alias("kind"), F.col(c).alias("value")).filter("value is not null")
-            long = part if long is None else long.union(part)
-    long = long.distinct()
-    a, b = long.withColumnRenamed("key", "a"), long.withColumnRenamed("key", "b")
-    return a.join(b, ["scope", "kind", "value"]).filter("a < b").select("scope", "a", "b").distinct()
+        for own, names in zip((True, False), columns, strict=True):
+            for c in names:
+                part = rows.select("scope", "key", F.lit(kind).alias("kind"), F.col(c).alias("value"), F.lit(own).alias("own")).filter("value is not null")
+                long = part if long is None else long.union(part)
+    long = long.groupBy("scope", "key", "kind", "value").agg(F.max("own").alias("own"))
+    a, b = long.withColumnsRenamed({"key": "a", "own": "own_a"}), long.withColumnsRenamed({"key": "b", "own": "own_b"})
+    found = a.join(b, ["scope", "kind", "value"]).filter("a < b and (own_a or own_b)").select("scope", "a", "b")
+    for c, at in (similar or {}).items():
+        found = found.union(similar_pairs(rows, "key", c, "scope", at).select("scope", "a", "b"))
+    return found.distinct()
+
+
+def best_similarity(a: Column, b: Column) -> Column:
+    """The best Jaro-Winkler similarity of any two texts of two arrays; 0 where one is empty."""
+    return F.coalesce(F.array_max(F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: tx.jaro_winkler(x, y))))), F.lit(0.0))
 
 
 def _bridge(own: str, other: str) -> tuple:
@@ -128,7 +139,8 @@ def pair_scores(pairs: DataFrame, *, name_at: float = 0.94, localpart_at: float
     score = sum((value(c) for c in SIGNALS if c != "weak_only"), F.col("pr_bonus") + F.col("talk_bonus") + F.when(weak, SIGNALS["weak_only"]).otherwise(0.0))
     score = score + F.when(~F.col("similar_name"), 0.0).when(F.col("name_similarity") >= 0.98, 0.5).otherwise(0.35) + F.when(F.col("similar_localpart"), 0.25).otherwise(0.0)
     families = [anchor, F.col("exact_name") | F.col("similar_name"), F.col("similar_localpart"), F.col("pr_bridge"), F.col("discussion_bridge"), F.col("pr_bonus") > 0, F.col("talk_bonus") > 0, F.col("cross_source")]
-    return j.select("*", F.round(score, 6).alias("score"), sum((f.cast("int") for f in families[1:]), families[0].cast("int")).alias("families"), anchor.alias("has_anchor"), structural.alias("has_structural"))
+    why = admission(talked=F.col("talked"), shared_issues=F.col("shared_issues"), pr_bridge=F.col("pr_bridge"), similar_name=F.col("similar_name"), similar_localpart=F.col("similar_localpart"))
+    return j.select("*", why.alias("admitted_by"), F.round(score, 6).alias("score"), sum((f.cast("int") for f in families[1:]), families[0].cast("int")).alias("families"), anchor.alias("has_anchor"), structural.alias("has_structural"))
 
 
 def pair_decisions(scored: DataFrame, *, merge_at: float = 0.9, strong_at: float = 1.2) -> DataFrame:

@@ -10,6 +10,7 @@ from provenant.operators import cohort as co
 from provenant.operators import identity as idn
 from provenant.operators import ownership as ow
 from provenant.operators import tables as tb
+from provenant.operators.similarity import similar_pairs
 from provenant.plans.registry import COMMITS_SQL, commits, iso_times, load, longs, query, rounded
 
 _PER = f"""c AS ({COMMITS_SQL}), pc AS (SELECT repo, contributor, sha, count(DISTINCT file) AS files, min(ts) AS ts, count(*) AS touches, sum(churn) AS churn FROM c GROUP BY ALL),
@@ -182,12 +183,43 @@ def _names(spark, sf):
     return load(spark, sf, "part").select(F.col("p_type").alias("scope"), F.col("p_name").alias("name")).distinct()
 
 
-@query()
+def jaro_winkler_sql(table: str, x: str, y: str, into: str) -> str:
+    """A subquery: the table with the Jaro-Winkler similarity of two columns. A fold over the letters of x collects the places of y that they match; halves of transpositions count."""
+    return f"""(SELECT * EXCLUDE (x_, y_, reach_, s_, t_, js_, sorted_, j_, k_), CASE WHEN x_ = y_ THEN 1.0 WHEN len(js_) > 0 THEN j_ + 0.1 * k_ * (1 - j_) ELSE 0.0 END AS {into}
+    FROM (SELECT *, (len(js_) / len(s_) + len(js_) / len(t_) + (len(js_) - len(list_filter(range(1, len(js_) + 1), lambda k: t_[js_[k]] <> t_[sorted_[k]])) / 2) / len(js_)) / 3 AS j_,
+      CASE WHEN left(x_, 4) = left(y_, 4) THEN 4 WHEN left(x_, 3) = left(y_, 3) THEN 3 WHEN left(x_, 2) = left(y_, 2) THEN 2 WHEN left(x_, 1) = left(y_, 1) THEN 1 ELSE 0 END AS k_
+    FROM (SELECT *, list_sort(js_) AS sorted_ FROM (SELECT *, list_reduce([CAST([] AS BIGINT[])] || list_transform(range(1, len(s_) + 1), lambda i: [i]), lambda js, i: js || list_filter(range(greatest(i[1] - reach_, 1), least(i[1] + reach_, len(t_)) + 1), lambda j: t_[j] = s_[i[1]] AND NOT list_contains(js, j))[1:1]) AS js_
+    FROM (SELECT *, string_split(x_, '') AS s_, string_split(y_, '') AS t_, greatest(greatest(length(x_), length(y_)) // 2 - 1, 0) AS reach_ FROM (SELECT *, coalesce({x}, '') AS x_, coalesce({y}, '') AS y_ FROM {table}))))))"""
+
+
+@query(f"""WITH n AS (SELECT DISTINCT p_type AS scope, p_name AS name FROM part), p AS (SELECT l.scope, l.name AS a, r.name AS b FROM n l JOIN n r ON l.scope = r.scope AND l.name < r.name AND list_has_any(string_split(l.name, ' '), string_split(r.name, ' ')))
+  SELECT scope, a, b, round(similarity, 6) AS similarity FROM {jaro_winkler_sql('p', 'a', 'b', 'similarity')}""")
 def fuzzy_name_pairs(spark, sf):
-    """Pairs of names within a type that share a word, with their Jaro-Winkler similarity; checked in tests."""
+    """Pairs of names within a type that share a word, with their Jaro-Winkler similarity."""
     pairs = idn.blocked_pairs(_names(spark, sf), "name", "name", "scope")
-    score = F.pandas_udf(tx.jaro_winkler, "double")
-    return pairs.withColumn("similarity", F.round(score("a", "b"), 6))
+    return pairs.withColumn("similarity", F.round(tx.jaro_winkler(F.col("a"), F.col("b")), 6))
+
+
+#: Names as people type them: of every three customers one leaves a letter out and one doubles it.
+_TYPED = """(SELECT c_custkey AS k, c_nationkey AS repo, CASE c_custkey % 3 WHEN 0 THEN substr(p_name, 1, i) || substr(p_name, i + 2) WHEN 1 THEN substr(p_name, 1, i + 1) || substr(p_name, i + 1) ELSE p_name END AS typed
+    FROM (SELECT *, (c_custkey % length(p_name))::INT AS i FROM customer JOIN part ON p_partkey = c_custkey))"""
+
+
+def _typed(spark, sf):
+    c, p = load(spark, sf, "customer"), load(spark, sf, "part")
+    k, n, i = F.col("c_custkey"), F.col("p_name"), F.col("i")
+    rows = c.join(p, c.c_custkey == p.p_partkey).withColumn("i", (k % F.length("p_name")).cast("int"))
+    from_ = lambda at: F.substring(n, at, F.length(n))
+    typed = F.when(k % 3 == 0, F.concat(F.substring(n, F.lit(1), i), from_(i + 2))).when(k % 3 == 1, F.concat(F.substring(n, F.lit(1), i + 1), from_(i + 1))).otherwise(n)
+    return rows.select(k.alias("k"), F.col("c_nationkey").alias("repo"), typed.alias("typed"))
+
+
+@query(f"""WITH t AS {_TYPED}, n AS (SELECT DISTINCT repo, typed FROM t), v AS (SELECT l.repo, l.typed AS x, r.typed AS y FROM n l JOIN n r ON l.repo = r.repo AND l.typed <= r.typed),
+  p AS (SELECT repo, x, y, s FROM {jaro_winkler_sql('v', 'x', 'y', 's')} WHERE s >= 0.94), b AS (SELECT * FROM p UNION SELECT repo, y, x, s FROM p)
+  SELECT b.repo AS scope, l.k AS a, r.k AS b, round(s, 6) AS similarity FROM b JOIN t l ON l.repo = b.repo AND l.typed = x JOIN t r ON r.repo = b.repo AND r.typed = y AND l.k < r.k""")
+def similar_name_pairs(spark, sf):
+    """Customers of a nation whose typed names are alike."""
+    return rounded(similar_pairs(_typed(spark, sf), "k", "typed", "repo", 0.94))
 
 
 _EDGES = """e AS (SELECT DISTINCT o_custkey AS a, (o_custkey * 7 + 3) % (SELECT count(*) FROM customer) AS b FROM orders)"""
@@ -250,44 +282,46 @@ def commit_ranges(spark, sf):
     return out.select(F.when(F.col("g") == 1, "all").otherwise(F.col("r_name")).alias("scope"), "first_commit", "last_commit", "n_commits").transform(iso_times)
 
 
-_ACTIVITY = """a AS (SELECT c_custkey AS k, c_nationkey AS repo, CASE WHEN c_custkey % 3 = 0 THEN 'user' || (c_custkey % 100) END AS login, CASE WHEN c_custkey % 2 = 0 THEN 'mail' || (c_custkey % 90) || '@example.com' END AS email,
-    CASE WHEN c_custkey % 5 > 0 THEN 'name of ' || (c_custkey % 70) END AS name, CASE WHEN c_custkey % 7 = 0 THEN 'user' || (c_custkey % 100) END AS noreply, 'user' || ((c_custkey + 3) % 100) AS pr, c_custkey % 4 AS pr_n,
-    'user' || ((c_custkey + 6) % 100) AS talk, c_custkey % 5 AS i1, 10 + c_custkey % 11 AS i2, c_custkey % 2 AS source, c_custkey % 50 = 0 AS bot FROM customer),
+_ACTIVITY = f"""t AS {_TYPED}, a AS (SELECT c_custkey AS k, c_nationkey AS repo, CASE WHEN c_custkey % 3 = 0 THEN 'user' || (c_custkey % 100) END AS login, CASE WHEN c_custkey % 2 = 0 THEN replace(typed, ' ', '.') || '@example.com' END AS email,
+    CASE WHEN c_custkey % 2 = 0 THEN replace(typed, ' ', '.') END AS part, CASE WHEN c_custkey % 5 > 0 THEN typed END AS name, CASE WHEN c_custkey % 7 = 0 THEN 'user' || (c_custkey % 100) END AS noreply, 'user' || ((c_custkey + 3) % 100) AS pr, c_custkey % 4 AS pr_n,
+    'user' || ((c_custkey + 6) % 100) AS talk, c_custkey % 5 AS i1, 10 + c_custkey % 11 AS i2, c_custkey % 2 AS source, c_custkey % 50 = 0 AS bot FROM customer JOIN t ON k = c_custkey),
+  z0 AS (SELECT l.k AS lk, r.k AS rk, l.name AS x1, r.name AS y1, l.part AS x2, r.part AS y2 FROM a l JOIN a r ON l.repo = r.repo AND l.k < r.k),
+  z1 AS (SELECT * FROM {jaro_winkler_sql('z0', 'x1', 'y1', 'ns')}), z AS (SELECT lk, rk, CASE WHEN x1 IS NULL OR y1 IS NULL THEN 0.0 ELSE ns END AS ns, CASE WHEN x2 IS NULL OR y2 IS NULL THEN 0.0 ELSE ps END AS ps FROM {jaro_winkler_sql('z1', 'x2', 'y2', 'ps')}),
   p AS (SELECT l.repo AS scope, l.k AS a, r.k AS b, l.bot OR r.bot AS bot, coalesce(l.email = r.email, false) AS same_mail, coalesce(l.login = r.login, false) AS same_login, coalesce(l.noreply = r.login, false) OR coalesce(r.noreply = l.login, false) AS hidden,
-    coalesce(l.name = r.name, false) AS same_name, list_filter(list_distinct([CASE WHEN l.pr = r.login THEN l.pr END, CASE WHEN r.pr = l.login THEN r.pr END]), lambda x: x IS NOT NULL) AS ov, l.pr AS lp, r.pr AS rp, l.pr_n AS ln, r.pr_n AS rn,
+    coalesce(l.name = r.name, false) AS same_name, ns, ps, list_filter(list_distinct([CASE WHEN l.pr = r.login THEN l.pr END, CASE WHEN r.pr = l.login THEN r.pr END]), lambda x: x IS NOT NULL) AS ov, l.pr AS lp, r.pr AS rp, l.pr_n AS ln, r.pr_n AS rn,
     coalesce(l.talk = r.login, false) OR coalesce(r.talk = l.login, false) AS talked, (l.i1 = r.i1)::INT + (l.i2 = r.i2)::INT AS shared, l.source <> r.source AS cross_source
-    FROM a l JOIN a r ON l.repo = r.repo AND l.k < r.k AND (l.email = r.email OR l.login = r.login OR l.name = r.name OR l.noreply = r.login OR r.noreply = l.login OR l.pr = r.login OR r.pr = l.login)),
+    FROM z JOIN a l ON lk = l.k JOIN a r ON rk = r.k WHERE (l.email = r.email OR l.login = r.login OR ns >= 0.94 OR ps >= 0.95 OR l.noreply = r.login OR r.noreply = l.login OR l.pr = r.login OR r.pr = l.login)),
   h AS (SELECT *, list_transform(ov, lambda x: [CASE WHEN lp = x THEN ln ELSE 0 END, CASE WHEN rp = x THEN rn ELSE 0 END]) AS cs FROM p),
   b AS (SELECT *, CASE WHEN len(list_filter(cs, lambda c: greatest(c[1], c[2]) >= 2 AND c[1] <= 2 AND c[2] <= 2)) > 0 THEN 0.35 WHEN len(list_filter(cs, lambda c: greatest(c[1], c[2]) > 0)) >= 2 THEN 0.25
       WHEN list_sum(list_transform(cs, lambda c: greatest(c[1], c[2]))) >= 2 THEN 0.15 ELSE 0 END AS bonus, same_mail OR same_login OR hidden AS anchor, talked OR shared >= 1 AS talk_bridge FROM h),
   s AS (SELECT *, len(ov) > 0 OR talk_bridge AS structural,
-      1.0 * same_mail::INT + 1.0 * same_login::INT + 0.9 * hidden::INT + 1.1 * same_name::INT + 0.25 * same_mail::INT + 0.8 * (len(ov) > 0)::INT + 0.2 * talk_bridge::INT + bonus + CASE WHEN shared >= 2 THEN 0.1 ELSE 0 END + 0.1 * cross_source::INT
-        - CASE WHEN NOT anchor AND len(ov) = 0 AND NOT talk_bridge AND same_name THEN 0.5 ELSE 0 END AS raw,
-      anchor::INT + same_name::INT + same_mail::INT + (len(ov) > 0)::INT + talk_bridge::INT + (bonus > 0)::INT + (shared >= 2)::INT + cross_source::INT AS families FROM b),
-  d AS (SELECT scope, a, b, round(raw::DOUBLE, 6) AS score, families::INT AS families, CASE WHEN bot THEN 'rejected_bot' WHEN same_name AND NOT anchor AND NOT structural THEN 'rejected_name_without_structure'
+      1.0 * same_mail::INT + 1.0 * same_login::INT + 0.9 * hidden::INT + 0.6 * same_name::INT + CASE WHEN ns >= 0.98 THEN 0.5 WHEN ns >= 0.94 THEN 0.35 ELSE 0 END + 0.25 * (ps >= 0.95)::INT + 0.8 * (len(ov) > 0)::INT + 0.2 * talk_bridge::INT + bonus + CASE WHEN shared >= 2 THEN 0.1 ELSE 0 END + 0.1 * cross_source::INT
+        - CASE WHEN NOT anchor AND len(ov) = 0 AND NOT talk_bridge AND (ns >= 0.94 OR ps >= 0.95) THEN 0.5 ELSE 0 END AS raw,
+      anchor::INT + (ns >= 0.94)::INT + (ps >= 0.95)::INT + (len(ov) > 0)::INT + talk_bridge::INT + (bonus > 0)::INT + (shared >= 2)::INT + cross_source::INT AS families FROM b),
+  d AS (SELECT scope, a, b, round(raw::DOUBLE, 6) AS score, families::INT AS families, round(ns, 6) AS name_similarity, round(ps, 6) AS localpart_similarity, CASE WHEN NOT talk_bridge THEN NULL WHEN shared >= 2 THEN 'discussion_two_shared_issues_plus_' || CASE WHEN len(ov) > 0 THEN 'pr_bridge' WHEN ns >= 0.94 THEN 'name_similarity' WHEN ps >= 0.95 THEN 'email_localpart_similarity' END
+      ELSE 'discussion_plus_' || CASE WHEN ns >= 0.94 THEN 'name_similarity' WHEN ps >= 0.95 THEN 'email_localpart_similarity' WHEN len(ov) > 0 THEN 'pr_bridge' END END AS admitted_by,
+      CASE WHEN bot THEN 'rejected_bot' WHEN ns >= 0.94 AND NOT anchor AND NOT structural THEN 'rejected_name_without_structure'
       WHEN NOT anchor AND families < 2 THEN 'rejected_insufficient_signal_families' WHEN round(raw::DOUBLE, 6) < 0.9 THEN 'rejected_low_score' ELSE 'accepted' END AS decision FROM s)"""
 
 
 def _decided(spark, sf):
-    """Customers of a nation as identities of a repository, with names and addresses that some share; equal names are alike, others aren't."""
-    k = F.col("c_custkey")
+    """Customers of a nation as identities of a repository, with names and addresses as typed."""
+    k = F.col("k")
     user = lambda c: F.concat(F.lit("user"), c % 100)
     some = lambda c: F.when(c.isNotNull(), F.array(c)).otherwise(F.array().cast("array<string>"))
-    rows = load(spark, sf, "customer").select(F.col("c_nationkey").alias("scope"), k.alias("key"), F.when(k % 3 == 0, user(k)).alias("login"), F.when(k % 2 == 0, F.concat(F.lit("mail"), k % 90, F.lit("@example.com"))).alias("email"), F.when(k % 5 > 0, F.concat(F.lit("name of "), k % 70)).alias("name"), F.when(k % 7 == 0, user(k)).alias("hidden"), user(k + 3).alias("pr_login"), user(k + 6).alias("talk_login"))
-    found = idn.candidate_pairs(rows, {"email": ("email",), "name": ("name",), "login": ("login", "hidden", "pr_login")})
-    sets = rows.select("key", some(F.col("email")).alias("emails"), some(F.col("login")).alias("logins"), some(F.col("hidden")).alias("noreply"), some(F.col("name")).alias("names"), F.array(F.col("key") % 2).alias("sources"), F.array(F.col("key") % 5, 10 + F.col("key") % 11).alias("issues"), F.create_map("pr_login", F.col("key") % 4).alias("pr"), F.create_map("talk_login", F.lit(1)).alias("talk"), (F.col("key") % 50 == 0).alias("bot"))
+    part = F.when(k % 2 == 0, F.replace("typed", F.lit(" "), F.lit(".")))
+    rows = _typed(spark, sf).select(F.col("repo").alias("scope"), k.alias("key"), F.when(k % 3 == 0, user(k)).alias("login"), F.concat(part, F.lit("@example.com")).alias("email"), part.alias("part"), F.when(k % 5 > 0, F.col("typed")).alias("name"), F.when(k % 7 == 0, user(k)).alias("hidden"), user(k + 3).alias("pr_login"), user(k + 6).alias("talk_login"))
+    found = idn.candidate_pairs(rows, {"email": (("email",), ()), "login": (("login",), ("hidden", "pr_login"))}, {"name": 0.94, "part": 0.95})
+    sets = rows.select("key", some(F.col("email")).alias("emails"), some(F.col("part")).alias("parts"), some(F.col("login")).alias("logins"), some(F.col("hidden")).alias("noreply"), some(F.col("name")).alias("names"), F.array(F.col("key") % 2).alias("sources"), F.array(F.col("key") % 5, 10 + F.col("key") % 11).alias("issues"), F.create_map("pr_login", F.col("key") % 4).alias("pr"), F.create_map("talk_login", F.lit(1)).alias("talk"), (F.col("key") % 50 == 0).alias("bot"))
     side = lambda p, key: sets.select(F.col("key").alias(key), *(F.col(c).alias(f"{p}{c}") for c in sets.columns[1:]))
     pairs = found.join(side("l_", "a"), "a").join(side("r_", "b"), "b")
-    same = lambda c: F.when(F.arrays_overlap(f"l_{c}", f"r_{c}"), 1.0).otherwise(0.0)
-    pairs = pairs.withColumn("name_similarity", same("names")).withColumn("localpart_similarity", same("emails"))
-    # two hidden or two pull-request logins that are equal are no signal of their own
-    linked = F.arrays_overlap("l_emails", "r_emails") | F.arrays_overlap("l_names", "r_names") | F.arrays_overlap("l_logins", "r_logins") | F.arrays_overlap("l_noreply", "r_logins") | F.arrays_overlap("l_logins", "r_noreply") | F.arrays_overlap(F.map_keys("l_pr"), "r_logins") | F.arrays_overlap("l_logins", F.map_keys("r_pr"))
-    return idn.pair_decisions(idn.pair_scores(pairs.filter(linked)))
+    best = lambda c: idn.best_similarity(F.col(f"l_{c}"), F.col(f"r_{c}"))
+    return idn.pair_decisions(idn.pair_scores(pairs.withColumn("name_similarity", best("names")).withColumn("localpart_similarity", best("parts"))))
 
 
-@query(f"WITH {_ACTIVITY} SELECT scope, a, b, score, families, decision FROM d")
+@query(f"WITH {_ACTIVITY} SELECT scope, a, b, score, families, decision, name_similarity, localpart_similarity, admitted_by FROM d")
 def fuzzy_pair_audit(spark, sf):
-    return _decided(spark, sf).select("scope", "a", "b", "score", "families", "decision")
+    return rounded(_decided(spark, sf).select("scope", "a", "b", "score", "families", "decision", "name_similarity", "localpart_similarity", "admitted_by"))
 
 
 @query(f"WITH {_ACTIVITY} SELECT scope, decision, count(*) AS n_pairs FROM d GROUP BY scope, decision")

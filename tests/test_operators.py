@@ -2,6 +2,7 @@
 
 import math
 
+import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from provenant.operators import cohort as co
 from provenant.operators import discussion as d
 from provenant.operators import identity as idn
 from provenant.operators import ownership as ow
+from provenant.operators import similarity
 from provenant.operators import statistics as st
 from provenant.operators import tables as tb
 from provenant.sources import io
@@ -49,11 +51,72 @@ def test_references_and_mentions(spark):
     assert one(spark, tx.file_mentions("t"), t="see `src/a.py`, ./lib/b.c and main.go.") == ["src/a.py", "lib/b.c", "main.go"]
 
 
-def test_jaro_winkler():
-    import pandas as pd
+def plain_jaro_winkler(s, t):
+    if s == t:
+        return 1.0 if s else 0.0
+    reach, free, mine = max(max(len(s), len(t)) // 2 - 1, 0), list(t), []
+    places = []
+    for i, ch in enumerate(s):
+        j = next((j for j in range(max(0, i - reach), min(len(t), i + reach + 1)) if free[j] == ch), None)
+        if j is not None:
+            free[j] = None
+            mine.append(ch)
+            places.append(j)
+    if not mine:
+        return 0.0
+    moved = sum(x != t[j] for x, j in zip(mine, sorted(places), strict=True)) / 2
+    jaro = (len(mine) / len(s) + len(mine) / len(t) + (len(mine) - moved) / len(mine)) / 3
+    prefix = next((k for k in range(min(4, len(s), len(t))) if s[k] != t[k]), min(4, len(s), len(t)))
+    return jaro + 0.1 * prefix * (1 - jaro)
+
+
+def test_jaro_winkler(spark):
+    import random
+
+    random.seed(2)
+    words = ["martha", "marhta", "dixon", "dicksonx", "same", "é😀a", "a", "", *("".join(random.choice("abcd ") for _ in range(random.randint(1, 12))) for _ in range(60))]
+    rows = [(a, b) for a in words for b in words] + [(None, "x")]
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", tx.jaro_winkler(F.col("a"), F.col("b")).alias("s")).collect()
+    assert all(abs(r["s"] - (plain_jaro_winkler(r["a"], r["b"]) if r["a"] else 0.0)) < 1e-12 for r in got)
+    known = {(r["a"], r["b"]): round(r["s"], 4) for r in got}
+    assert known[("martha", "marhta")] == 0.9611 and known[("dixon", "dicksonx")] == 0.8133 and known[(None, "x")] == 0.0
+
+
+@pytest.mark.parametrize("at", [0.94, 0.95, 0.9])
+def test_similar_values_are_all_pairs(spark, at):
+    import random
 
-    got = tx.jaro_winkler(pd.Series(["martha", "dixon", "same", None]), pd.Series(["marhta", "dicksonx", "same", "x"]))
-    assert [round(v, 4) for v in got] == [0.9611, 0.8133, 1.0, 0.0]
+    random.seed(int(at * 100))
+    base = ["jon smith", "john smith", "john smyth", "maria de la cruz", "x", "ab", "abc", "abd", "Zoë Ünal", "a b c d e f g h i j k l m n o p q r s t u v w x y z"]
+    names = set(base)
+    for b in [*base, *("".join(random.choice("abcdefgh ") for _ in range(random.randint(2, 18))) for _ in range(25))] * 6:
+        t = list(b)
+        for _ in range(random.randint(0, 3)):
+            i = random.randrange(len(t) + 1)
+            t[i : i + random.randint(0, 1)] = random.choice(["", "a", "e", "z"])
+            if len(t) > 3 and random.random() < 0.5:
+                j = random.randrange(len(t) - 1)
+                t[j], t[j + 1] = t[j + 1], t[j]
+        names.add("".join(t))
+    names = sorted(names - {""})
+    rows = [(s, n) for s in (1, None) for n in names] + [(2, "jon smith"), (1, None), (1, ""), (1, names[0])]
+    got = similarity.similar_values(spark.createDataFrame(rows, "repo int, name string"), "repo", "name", at).collect()
+    want = {(s, a, b) for s in (1, None) for a in names for b in names if a < b and plain_jaro_winkler(a, b) >= at}
+    assert len(got) == len(want) and {(r["scope"], r["left"], r["right"]) for r in got} == want and len(want) > 50
+
+
+def test_similar_pairs_and_long_names(spark):
+    long = "ab cd" * 300
+    rows = [(1, 1, "jon smith"), (1, 2, "john smith"), (1, 3, "john smyth"), (1, 4, "jon smith"), (2, 5, "jon smith"), (1, 6, long), (1, 7, long + "x"), (1, 8, None), (1, 1, "someone else")]
+    df = spark.createDataFrame(rows, "repo int, k int, name string")
+    got = {(r["a"], r["b"]): round(r["similarity"], 4) for r in similarity.similar_pairs(df, "k", "name", "repo", 0.94).collect()}
+    assert {p for p in got if max(p) < 6} == {(1, 2), (1, 4), (2, 3), (2, 4)} and got[(1, 4)] == 1.0 and (6, 7) in got
+    assert similarity.similar_pairs(df.limit(0), "k", "name", "repo").count() == 0
+
+
+def test_rows_that_name_the_same_third_are_no_pair(spark):
+    rows = spark.createDataFrame([(1, 1, "u", None), (1, 2, None, "u"), (1, 3, None, "u")], "scope int, key int, login string, hidden string")
+    assert {tuple(r) for r in idn.candidate_pairs(rows, {"login": (("login",), ("hidden",))}).collect()} == {(1, 1, 2), (1, 1, 3)}
 
 
 def test_numbers(spark):
