@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from provenant.functions import text as tx
 from provenant.functions.numbers import safe_divide
+from provenant.functions.tails import f_upper, t_two_sided
 from provenant.operators.statistics import grouped_medians
 
 #: What several spellings of a group's name stand for.
@@ -85,18 +86,19 @@ def mark_duplicates(df: DataFrame, keys: list[str], into: str = "duplicate_key")
 
 
 def early_late(df: DataFrame, early: str, late: str, *by: str) -> DataFrame:
-    """Per group: pairs, mean difference of late and early, its deviation, and the paired t with its degrees of freedom."""
+    """Per group: pairs, mean difference of late and early, its deviation, and the paired t with its degrees of freedom and p."""
     d = F.col(late) - F.col(early)
     g = df.groupBy(*by).agg(F.count(d).alias("n_pairs"), F.avg(d).alias("mean_difference"), F.stddev_samp(d).alias("sd_difference"))
-    return g.withColumn("paired_t", F.when((F.col("sd_difference") > 0) & (F.col("n_pairs") > 1), F.col("mean_difference") / (F.col("sd_difference") / F.sqrt("n_pairs")))).withColumn("df", F.col("n_pairs") - 1)
+    return g.withColumn("paired_t", F.when((F.col("sd_difference") > 0) & (F.col("n_pairs") > 1), F.col("mean_difference") / (F.col("sd_difference") / F.sqrt("n_pairs")))).withColumn("df", F.col("n_pairs") - 1).withColumn("paired_p", t_two_sided(F.col("paired_t"), F.col("df")))
 
 
 def anova(df: DataFrame, group: str, value: str) -> DataFrame:
-    """One-way analysis of variance from moments by group: groups, rows, F and its degrees of freedom."""
+    """One-way analysis of variance from moments by group: groups, rows, F, its degrees of freedom and p."""
     v = F.col(value).cast("double")
     g = df.filter(v.isNotNull()).groupBy(group).agg(F.count(v).alias("k"), F.avg(v).alias("m"), F.var_pop(v).alias("s"))
     n, grand = F.sum("k"), F.sum(F.col("k") * F.col("m")) / F.sum("k")
     one = g.agg(F.count(F.lit(1)).alias("n_groups"), n.alias("n"), F.sum(F.col("k") * F.col("m") * F.col("m")).alias("q"), grand.alias("mean"), F.sum(F.col("k") * F.col("s")).alias("within"))
     between = F.col("q") - F.col("n") * F.col("mean") * F.col("mean")
     f = (between / (F.col("n_groups") - 1)) / (F.col("within") / (F.col("n") - F.col("n_groups")))
-    return one.select("n_groups", "n", F.when((F.col("n_groups") > 1) & (F.col("n") > F.col("n_groups")) & (F.col("within") > 0), f).alias("f_statistic"), (F.col("n_groups") - 1).alias("df_between"), (F.col("n") - F.col("n_groups")).alias("df_within"))
+    out = one.select("n_groups", "n", F.when((F.col("n_groups") > 1) & (F.col("n") > F.col("n_groups")) & (F.col("within") > 0), f).alias("f_statistic"), (F.col("n_groups") - 1).alias("df_between"), (F.col("n") - F.col("n_groups")).alias("df_within"))
+    return out.withColumn("f_p", f_upper(F.greatest("f_statistic", F.lit(0.0)), F.col("df_between"), F.col("df_within")))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
+from provenant.functions.tails import chi2_upper, t_two_sided
 from provenant.sources.scratch import stored
 
 #: Coefficients of the fit of erfc, constant first.
@@ -57,13 +58,27 @@ def moments(df: DataFrame, group: str, value: str, *by: str) -> DataFrame:
 
 
 def effect_sizes(m: DataFrame) -> DataFrame:
-    """m with difference, Cohen's d by pooled deviation, Hedges' g, Welch's t and its degrees of freedom."""
+    """m with difference, Cohen's d by pooled deviation, Hedges' g, Welch's t, its degrees of freedom and two-sided p."""
     na, nb, va, vb = (F.col(c) for c in ("n_a", "n_b", "var_a", "var_b"))
     pooled = F.sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2))
     diff = F.col("mean_a") - F.col("mean_b")
     d = F.when(pooled > 0, diff / pooled)
     se2 = va / na + vb / nb
-    return m.withColumn("difference", diff).withColumn("cohen_d", d).withColumn("hedges_g", d * (1 - 3 / (4 * (na + nb) - 9))).withColumn("welch_t", F.when(se2 > 0, diff / F.sqrt(se2))).withColumn("welch_df", F.when(se2 > 0, se2 * se2 / (F.pow(va / na, F.lit(2)) / (na - 1) + F.pow(vb / nb, F.lit(2)) / (nb - 1))))
+    out = m.withColumn("difference", diff).withColumn("cohen_d", d).withColumn("hedges_g", d * (1 - 3 / (4 * (na + nb) - 9))).withColumn("welch_t", F.when(se2 > 0, diff / F.sqrt(se2))).withColumn("welch_df", F.when(se2 > 0, se2 * se2 / (F.pow(va / na, F.lit(2)) / (na - 1) + F.pow(vb / nb, F.lit(2)) / (nb - 1))))
+    return out.withColumn("welch_p", t_two_sided(F.col("welch_t"), F.col("welch_df")))
+
+
+def pairwise_welch(df: DataFrame, group: str, value: str) -> DataFrame:
+    """group_a, group_b (a < b) of all groups with two known values or more: their sizes and means, Welch's t, degrees of freedom, p, and p adjusted over all pairs.
+
+    Rows meet only as moments by group; the pairs are those of the groups' names, whose number the caller's grouping bounds.
+    """
+    v = F.col(value).cast("double")
+    g = df.filter(v.isNotNull() & F.col(group).isNotNull()).groupBy(F.col(group).alias("g")).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.var_samp(v).alias("var")).filter("n > 1")
+    one = g.agg(F.sort_array(F.collect_list(F.struct("g", "n", "mean", "var"))).alias("all"))
+    pairs = one.select("all", F.posexplode("all").alias("k", "a")).select("a", F.explode(F.slice("all", F.col("k") + 2, F.size("all"))).alias("b"))
+    rows = pairs.select(F.col("a.g").alias("group_a"), F.col("b.g").alias("group_b"), *(F.col(f"{s}.{c}").alias(f"{c}_{s}") for c in ("n", "mean", "var") for s in "ab"))
+    return benjamini_hochberg(effect_sizes(rows).drop("var_a", "var_b"), "welch_p")
 
 
 def rank_statistics(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -83,7 +98,7 @@ def rank_statistics(df: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def kruskal_wallis(df: DataFrame, group: str, value: str) -> DataFrame:
-    """One row: groups, rows, H corrected for ties and its degrees of freedom; H is null below two groups or where all values are equal."""
+    """One row: groups, rows, H corrected for ties, its degrees of freedom and p; H is null below two groups or where all values are equal."""
     rows = df.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).filter("g is not null and v is not null")
     per = rows.groupBy("v", "g").agg(F.count(F.lit(1)).alias("k"))
     placed = average_ranks(rows, "v")
@@ -94,7 +109,7 @@ def kruskal_wallis(df: DataFrame, group: str, value: str) -> DataFrame:
     n = F.col("n").cast("double")
     even = 1 - F.col("ties") / (n * n * n - n)
     h = (12 / (n * (n + 1)) * F.col("q") - 3 * (n + 1)) / even
-    return one.join(F.broadcast(ties)).select("n_groups", "n", F.when((F.col("n_groups") > 1) & (even > 0), h).alias("kruskal_h"), (F.col("n_groups") - 1).alias("df"))  # one row each
+    return one.join(F.broadcast(ties)).select("n_groups", "n", F.when((F.col("n_groups") > 1) & (even > 0), h).alias("kruskal_h"), (F.col("n_groups") - 1).alias("df")).withColumn("kruskal_p", chi2_upper(F.greatest("kruskal_h", F.lit(0.0)), F.col("df")))  # one row each
 
 
 def wilcoxon(df: DataFrame, late: str, early: str, by: str) -> DataFrame:
@@ -138,13 +153,13 @@ def odds_ratio(a: Column, b: Column, c: Column, d: Column) -> Column:
 
 
 def proportion_effects(df: DataFrame, group: str, flag: str) -> DataFrame:
-    """2 x 2 counts of a flag by group with rates, risk difference, odds ratio and Yates' chi-square."""
+    """2 x 2 counts of a flag by group with rates, risk difference, odds ratio, Yates' chi-square and its p."""
     n = lambda g, f: F.sum(((F.col(group) == g) & (F.col(flag) == f)).cast("long"))
     t = df.agg(n(1, 1).alias("a"), n(1, 0).alias("b"), n(0, 1).alias("c"), n(0, 0).alias("d"))
     a, b, c, d = (F.col(x).cast("double") for x in "abcd")
     total = a + b + c + d
     chi = total * F.pow(F.greatest(F.abs(a * d - b * c) - total / 2, F.lit(0.0)), F.lit(2)) / ((a + b) * (c + d) * (a + c) * (b + d))
-    return t.withColumn("rate_a", a / (a + b)).withColumn("rate_b", c / (c + d)).withColumn("risk_difference", F.col("rate_a") - F.col("rate_b")).withColumn("odds_ratio", odds_ratio(a, b, c, d)).withColumn("chi2_yates", chi)
+    return t.withColumn("rate_a", a / (a + b)).withColumn("rate_b", c / (c + d)).withColumn("risk_difference", F.col("rate_a") - F.col("rate_b")).withColumn("odds_ratio", odds_ratio(a, b, c, d)).withColumn("chi2_yates", chi).withColumn("chi2_p", chi2_upper(chi, F.lit(1)))
 
 
 def within_group_z(df: DataFrame, value: str, by: str) -> DataFrame:

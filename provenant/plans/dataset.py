@@ -8,6 +8,7 @@ from provenant.operators import dataset as ds
 from provenant.operators import discussion as d
 from provenant.operators import evidence as ev
 from provenant.operators import statistics as st
+from provenant.plans import tails
 from provenant.plans.discussion import _ISSUE, scored
 from provenant.plans.evidence import _ROWS, _rows
 from provenant.plans.registry import load, query, rounded
@@ -157,17 +158,21 @@ _RANKED = "r AS (SELECT *, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION
 
 
 @query(f"""WITH p AS (SELECT o_orderpriority AS g, o_orderkey % 1000 AS v FROM orders), {_RANKED}, s AS (SELECT g, count(*) AS k, sum(rk) AS t FROM r GROUP BY g), n AS (SELECT count(*)::DOUBLE AS n FROM p),
-  c AS (SELECT sum(t::DOUBLE * t * t - t) AS ties FROM (SELECT count(*) AS t FROM p GROUP BY v))
-  SELECT (SELECT count(*) FROM s) AS n_groups, (SELECT count(*) FROM p) AS n, round((12 / (n.n * (n.n + 1)) * (SELECT sum(t * t / k) FROM s) - 3 * (n.n + 1)) / (1 - c.ties / (n.n * n.n * n.n - n.n)), 4) AS kruskal_h, (SELECT count(*) FROM s) - 1 AS df FROM n, c""")
+  c AS (SELECT sum(t::DOUBLE * t * t - t) AS ties FROM (SELECT count(*) AS t FROM p GROUP BY v)),
+  h AS (SELECT (SELECT count(*) FROM s) AS n_groups, (SELECT count(*) FROM p) AS n, (12 / (n.n * (n.n + 1)) * (SELECT sum(t * t / k) FROM s) - 3 * (n.n + 1)) / (1 - c.ties / (n.n * n.n * n.n - n.n)) AS h, (SELECT count(*) FROM s) - 1 AS df FROM n, c)
+  SELECT n_groups, n, round(h, 4) AS kruskal_h, df, round({tails.chi2_tail('h', 'df')}, 6) AS kruskal_p FROM h""")
 def kruskal_by_priority(spark, sf):
     o = load(spark, sf, "orders").select("o_orderpriority", (F.col("o_orderkey") % 1000).alias("v"))
-    return st.kruskal_wallis(o, "o_orderpriority", "v").withColumn("kruskal_h", F.round("kruskal_h", 4))
+    return st.kruskal_wallis(o, "o_orderpriority", "v").withColumn("kruskal_h", F.round("kruskal_h", 4)).withColumn("kruskal_p", F.round("kruskal_p", 6))
 
 
-@query("""WITH p AS (SELECT c_nationkey AS part, c_custkey % 37 - c_custkey % 23 AS d FROM customer), z AS (SELECT part, d, abs(d) AS v FROM p WHERE d <> 0),
-  r AS (SELECT *, rank() OVER (PARTITION BY part ORDER BY v) + (count(*) OVER (PARTITION BY part, v) - 1) / 2.0 AS rk FROM z)
-  SELECT part, count(*) AS n_pairs, round(least(sum(CASE WHEN d > 0 THEN rk ELSE 0 END), sum(CASE WHEN d < 0 THEN rk ELSE 0 END))::DOUBLE, 4) AS wilcoxon_w FROM r GROUP BY part""")
+@query(f"""WITH p AS (SELECT c_nationkey AS part, c_custkey % 37 - c_custkey % 23 AS d FROM customer), z AS (SELECT part, d, abs(d) AS v FROM p WHERE d <> 0),
+  r AS (SELECT *, rank() OVER (PARTITION BY part ORDER BY v) + (count(*) OVER (PARTITION BY part, v) - 1) / 2.0 AS rk FROM z),
+  t AS (SELECT part, sum(t * t * t - t) AS ties FROM (SELECT part, v, count(*)::DOUBLE AS t FROM z GROUP BY ALL) GROUP BY part),
+  w AS (SELECT part, count(*) AS n, least(sum(CASE WHEN d > 0 THEN rk ELSE 0 END), sum(CASE WHEN d < 0 THEN rk ELSE 0 END))::DOUBLE AS w FROM r GROUP BY part),
+  s AS (SELECT w.*, sqrt(n::DOUBLE * (n + 1) * (2 * n + 1) / 24 - ties / 48) AS sd FROM w JOIN t ON w.part = t.part)
+  SELECT part, n AS n_pairs, round(w, 4) AS wilcoxon_w, CASE WHEN sd > 0 THEN round({tails.normal_tail('(abs(w - n * (n + 1) / 4.0) / sd)')}, 4) END AS wilcoxon_p FROM s""")
 def wilcoxon_by_nation(spark, sf):
     k = F.col("c_custkey")
     c = load(spark, sf, "customer").select(F.col("c_nationkey").alias("part"), (k % 37).alias("late"), (k % 23).alias("early"))
-    return rounded(st.wilcoxon(c, "late", "early", "part").select("part", "n_pairs", "wilcoxon_w"), 4)
+    return rounded(st.wilcoxon(c, "late", "early", "part"), 4)

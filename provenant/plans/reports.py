@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from provenant.functions.numbers import clipped, safe_divide
 from provenant.operators import statistics as st
 from provenant.operators import tables as tb
+from provenant.plans import tails
 from provenant.plans.registry import load, query, rounded
 from provenant.sources import io
 from provenant.sources.scratch import new_path
@@ -82,23 +83,25 @@ _TWO = f"WITH {_BASE}, r AS (SELECT repo, toxic AS g, n_chars::DOUBLE AS x FROM
 
 
 @query(f"""{_TWO}, {_effects_sql('r', '')} SELECT n_a, round(mean_a, 6) AS mean_a, round(var_a, 4) AS var_a, n_b, round(mean_b, 6) AS mean_b, round(var_b, 4) AS var_b, round(difference, 6) AS difference, round(d, 6) AS cohen_d, round(d * (1 - 3 / (4 * (n_a + n_b) - 9)), 6) AS hedges_g,
-  round(difference / sqrt(se2), 6) AS welch_t, round(se2 * se2 / ((var_a / n_a) ** 2 / (n_a - 1) + (var_b / n_b) ** 2 / (n_b - 1)), 6) AS welch_df FROM f""")
+  round(wt, 6) AS welch_t, round(wd, 6) AS welch_df, round({tails.t_tail('wt', 'wd')}, 6) AS welch_p FROM (SELECT *, difference / sqrt(se2) AS wt, se2 * se2 / ((var_a / n_a) ** 2 / (n_a - 1) + (var_b / n_b) ** 2 / (n_b - 1)) AS wd FROM f)""")
 def two_group_effects(spark, sf):
     e = st.effect_sizes(st.moments(two_groups(spark, sf), "toxic", "x"))
     return rounded(e.withColumn("var_a", F.round("var_a", 4)).withColumn("var_b", F.round("var_b", 4)))
 
 
 @query(f"""{_TWO}, k AS (SELECT *, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rk FROM r),
-  u AS (SELECT count(*) FILTER (g = 1) AS n_a, count(*) FILTER (g = 0) AS n_b, sum(rk) FILTER (g = 1) AS s FROM k)
-  SELECT n_a, n_b, round(s - n_a * (n_a + 1) / 2, 4) AS mann_whitney_u, round(2 * (s - n_a * (n_a + 1) / 2) / (n_a * n_b) - 1, 6) AS cliffs_delta FROM u""")
+  u AS (SELECT count(*) FILTER (g = 1) AS n_a, count(*) FILTER (g = 0) AS n_b, sum(rk) FILTER (g = 1) AS s FROM k),
+  w AS (SELECT n_a, n_b, s - n_a * (n_a + 1) / 2 AS u, (n_a + n_b)::DOUBLE AS n, (SELECT sum(t * t * t - t) FROM (SELECT count(*)::DOUBLE AS t FROM r WHERE g IN (0, 1) GROUP BY x)) AS ties FROM u),
+  z AS (SELECT *, greatest((abs(u - n_a::DOUBLE * n_b / 2) - 0.5) / sqrt(n_a::DOUBLE * n_b / 12 * ((n + 1) - ties / (n * (n - 1)))), 0.0) AS z FROM w)
+  SELECT n_a, n_b, round(u, 4) AS mann_whitney_u, round({tails.normal_tail('z')}, 6) AS mann_whitney_p, round(2 * u / (n_a * n_b) - 1, 6) AS cliffs_delta FROM z""")
 def mann_whitney_ranks(spark, sf):
-    out = st.rank_statistics(two_groups(spark, sf), "toxic", "x").drop("mann_whitney_p")  # its p is tested on known values
+    out = st.rank_statistics(two_groups(spark, sf), "toxic", "x")
     return rounded(out.withColumn("mann_whitney_u", F.round("mann_whitney_u", 4)))
 
 
-@query("""WITH t AS (SELECT count(*) FILTER (toxic = 1 AND quality = 1) AS a, count(*) FILTER (toxic = 1 AND quality = 0) AS b, count(*) FILTER (toxic = 0 AND quality = 1) AS c, count(*) FILTER (toxic = 0 AND quality = 0) AS d FROM labels)
+@query(f"""WITH t AS (SELECT count(*) FILTER (toxic = 1 AND quality = 1) AS a, count(*) FILTER (toxic = 1 AND quality = 0) AS b, count(*) FILTER (toxic = 0 AND quality = 1) AS c, count(*) FILTER (toxic = 0 AND quality = 0) AS d FROM labels)
   SELECT a, b, c, d, round(a / (a + b), 6) AS rate_a, round(c / (c + d), 6) AS rate_b, round(a / (a + b) - c / (c + d), 6) AS risk_difference, round((a + 0.5) * (d + 0.5) / ((b + 0.5) * (c + 0.5)), 6) AS odds_ratio,
-  round((a + b + c + d) * greatest(abs(a::DOUBLE * d - b::DOUBLE * c) - (a + b + c + d) / 2, 0) ** 2 / ((a + b)::DOUBLE * (c + d) * (a + c) * (b + d)), 6) AS chi2_yates FROM t""")
+  round(chi, 6) AS chi2_yates, round({tails.chi2_tail('chi', '1')}, 6) AS chi2_p FROM (SELECT *, (a + b + c + d) * greatest(abs(a::DOUBLE * d - b::DOUBLE * c) - (a + b + c + d) / 2, 0) ** 2 / ((a + b)::DOUBLE * (c + d) * (a + c) * (b + d)) AS chi FROM t)""")
 def proportion_effects(spark, sf):
     return rounded(st.proportion_effects(load(spark, sf, "labels"), "toxic", "quality"))
 
