@@ -9,6 +9,7 @@ from provenant.functions.numbers import time_bucket
 from provenant.operators import cohort as co
 from provenant.operators import identity as idn
 from provenant.operators import ownership as ow
+from provenant.operators import standing as sd
 from provenant.operators import tables as tb
 from provenant.operators.similarity import similar_pairs
 from provenant.plans.registry import COMMITS_SQL, commits, iso_times, load, longs, query, rounded
@@ -86,9 +87,11 @@ def _roles_sql(issue_scope: str, history_scope: str, rank: int, share: float) ->
 
 def _roles(spark, sf, kind_as_file, rank, share):
     issues, history = _issues_and_history(spark, sf, kind_as_file)
-    b = ow.history_before(issues, history, ["scope"]).withColumn("issue_", F.col("issue")).withColumn("issue", F.struct("issue", "scope"))
-    m = ow.ranked_roles(b, rank_at=rank, share_at=share)
-    return rounded(m.groupBy(F.col("issue.issue").alias("issue"), F.col("issue.scope").alias("scope")).agg(F.count(F.lit(1)).alias("n_contributors"), F.sum("major").alias("n_major"), F.max(F.when(F.col("contributor") == F.col("author"), F.col("major")).otherwise(0)).alias("author_is_major"), F.max("share").alias("top_share")))
+    taken = sd.steps(history)
+    scopes = sd.scopes_before(issues, taken, rank_at=rank, share_at=share)
+    own = sd.roles_before(issues.withColumnRenamed("author", "contributor"), taken, rank_at=rank, share_at=share, ranks=False).select("issue", "scope", F.col("major").alias("author_is_major"))
+    j = scopes.join(own, ["issue", "scope"], "left")
+    return rounded(j.select("issue", "scope", "n_contributors", "n_major", F.coalesce("author_is_major", F.lit(0)).alias("author_is_major"), (F.col("top_commits") / F.col("total_commits")).alias("top_share")))
 
 
 @query(_roles_sql("'all'", "'all'", 5, 0.05))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from provenant.operators import evidence as ev
-from provenant.operators import ownership as ow
 from provenant.operators import participants as pt
+from provenant.operators import standing as sd
 from provenant.plans.evidence import _PULLS, _pulls
 from provenant.plans.ownership import _issues_and_history, _roles_sql
 from provenant.plans.registry import load, query, rounded
@@ -29,23 +29,26 @@ def _talk(issues):
 
 
 def _history(spark, sf, kind_as_file, rank, share):
+    """Issues, comments, and the roles of authors and commenters alone."""
     issues, history = _issues_and_history(spark, sf, kind_as_file)
-    b = ow.history_before(issues, history, ["scope"]).withColumn("issue", F.struct("issue", "scope"))
-    roles = ow.ranked_roles(b, rank_at=rank, share_at=share).withColumn("issue", F.col("issue.issue"))
-    return issues.select("issue", "author").distinct(), roles
+    own = issues.select("issue", "author").distinct()
+    talk = _talk(own)
+    who = own.select("issue", F.col("author").alias("contributor")).union(talk.select("issue", "author")).filter("contributor is not null").distinct()
+    people = issues.select("issue", "scope", "ts").join(who, "issue")
+    return own, talk, sd.roles_before(people, sd.steps(history), rank_at=rank, share_at=share)
 
 
 @query(_roles_sql("'all'", "'all'", 5, 0.05).rsplit("SELECT issue, scope", 1)[0].rstrip() + f", {_TALK}, {_PEOPLE}")
 def repo_participant_roles(spark, sf):
-    issues, roles = _history(spark, sf, False, 5, 0.05)
-    return rounded(pt.participant_roles(issues, _talk(issues), roles))
+    issues, talk, roles = _history(spark, sf, False, 5, 0.05)
+    return rounded(pt.participant_roles(issues, talk, roles))
 
 
 @query(_roles_sql("unnest(['click', 'view'])", "event_type", 3, 0.2).rsplit("SELECT issue, scope", 1)[0].rstrip().replace("m AS (", "m0 AS (") + f""",
   m1 AS (SELECT issue, contributor, sum(commits)::BIGINT AS commits, sum(days)::BIGINT AS days, min(rank) AS rank, max(share) AS share FROM m0 GROUP BY ALL), m AS (SELECT *, (commits >= 2 AND days >= 1 AND (rank <= 3 OR share >= 0.2))::INT AS major FROM m1), {_TALK}, {_PEOPLE}""")
 def file_participant_roles(spark, sf):
-    issues, roles = _history(spark, sf, True, 3, 0.2)
-    return rounded(pt.participant_roles(issues, _talk(issues), pt.over_files(roles)))
+    issues, talk, roles = _history(spark, sf, True, 3, 0.2)
+    return rounded(pt.participant_roles(issues, talk, pt.over_files(roles)))
 
 
 @query(f"""WITH {_PULLS}, xs AS (SELECT j.repo, issue, sha FROM j JOIN x ON j.repo = x.repo AND j.pr_id = x.pr_id), n AS (SELECT 1 AS step, 'linked' AS name, count(DISTINCT (repo, issue)) AS n FROM k UNION ALL SELECT 2, 'pull_request', count(DISTINCT (repo, issue)) FROM j
