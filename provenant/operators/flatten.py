@@ -10,7 +10,12 @@ from pyspark.sql import functions as F
 
 from provenant.functions import text as tx
 
-ISSUE = "id bigint, number bigint, title string, state string, created_at string, closed_at string, comments bigint, user struct<login:string,id:bigint>, labels array<struct<name:string>>, pull_request struct<url:string>"
+ISSUE = """id bigint, node_id string, number bigint, state string, state_reason string, title string, body string, user struct<login:string,type:string>, assignees array<struct<login:string>>, labels array<string>,
+  milestone struct<title:string>, comments bigint, locked boolean, active_lock_reason string, author_association string, created_at string, updated_at string, closed_at string, closed_by struct<login:string>,
+  html_url string, url string, repository_url string, timeline_url string, performed_via_github_app string, pull_request struct<url:string>"""
+COMMENT = "id bigint, node_id string, issue_url string, user struct<login:string,type:string>, author_association string, created_at string, updated_at string, body string, html_url string, url string, reactions string, performed_via_github_app string"
+REPOSITORY = """id bigint, node_id string, name string, full_name string, owner struct<login:string>, html_url string, description string, language string, stargazers_count bigint, forks_count bigint, open_issues_count bigint, watchers_count bigint,
+  default_branch string, visibility string, fork boolean, archived boolean, disabled boolean, is_template boolean, created_at string, updated_at string, pushed_at string, topics array<string>"""
 PULL = "id bigint, number bigint, state string, created_at string, merged_at string, merge_commit_sha string, user struct<login:string>, head struct<ref:string,sha:string>, base struct<ref:string,sha:string>"
 
 
@@ -19,12 +24,50 @@ def utc(c: Column) -> Column:
     return F.try_to_timestamp(c)
 
 
-def flatten_issues(raw: DataFrame, payload: str, wanted: list[str]) -> DataFrame:
-    """The other columns of raw with an issue's fields, its label names as a JSON list, whether a wanted label is among them, and whether it is a pull request."""
-    j = raw.withColumn("_j", F.from_json(payload, ISSUE))
-    names = F.transform("_j.labels", lambda x: x["name"])
-    kept = [c for c in raw.columns if c != payload]
-    return j.select(*kept, F.col("_j.id").alias("issue_id"), F.col("_j.number").alias("issue_number"), "_j.title", "_j.state", utc(F.col("_j.created_at")).alias("created_at"), utc(F.col("_j.closed_at")).alias("closed_at"), F.col("_j.comments").alias("comment_count"), F.col("_j.user.login").alias("author_login"), F.to_json(names).alias("labels"), F.coalesce(tx.has_label(names, wanted), F.lit(False)).cast("int").alias("has_wanted_label"), F.col("_j.pull_request").isNotNull().cast("int").alias("is_pull_request"))
+def _flat(raw: DataFrame, payload: str, schema: str) -> tuple[DataFrame, list[str]]:
+    """raw with the payload as _j, and the columns it keeps."""
+    return raw.withColumn("_j", F.from_json(payload, schema)), [c for c in raw.columns if c != payload]
+
+
+def _times(*names: str) -> list[Column]:
+    return [utc(F.col(f"_j.{n}")).alias(n) for n in names]
+
+
+def flatten_issues(raw: DataFrame, payload: str, wanted: list[str], hidden: tuple[str, ...] = ()) -> DataFrame:
+    """The other columns of raw with an issue's fields, whether a wanted label is among its labels, and whether it is a pull request.
+
+    Labels may be objects or plain text. A payload that lacks comments has 0 of them. Columns named in hidden stay null, for fields that are not to be kept.
+    """
+    j, kept = _flat(raw, payload, ISSUE)
+    is_object = lambda x: F.get_json_object(x, "$.name").isNotNull() | x.startswith("{")
+    names = F.transform("_j.labels", lambda x: F.when(is_object(x), F.get_json_object(x, "$.name")).otherwise(x))
+    objects = F.concat(F.lit("["), F.array_join(F.transform("_j.labels", lambda x: F.when(is_object(x), x).otherwise(F.to_json(F.struct(x.alias("name"))))), ","), F.lit("]"))
+    lacks = ~F.coalesce(F.array_contains(F.json_object_keys(F.col(payload)), "comments"), F.lit(True))
+    none = F.lit("[]")
+    out = j.select(
+        *kept, F.col("_j.id").alias("issue_id"), F.col("_j.node_id").alias("issue_node_id"), F.col("_j.number").alias("issue_number"), "_j.state", "_j.state_reason", "_j.title", "_j.body", F.col("_j.user.login").alias("author_login"), F.col("_j.user.type").alias("author_type"),
+        F.coalesce(F.to_json(F.transform("_j.assignees", lambda x: x["login"])), none).alias("assignee_logins"), F.coalesce(F.to_json(names), none).alias("labels"), F.coalesce(objects, none).alias("label_payloads"), F.col("_j.milestone.title").alias("milestone_title"),
+        F.when(lacks, F.lit(0)).otherwise(F.col("_j.comments")).cast("bigint").alias("comment_count"), "_j.locked", "_j.active_lock_reason", "_j.author_association", *_times("created_at", "updated_at", "closed_at"), F.col("_j.closed_by.login").alias("closed_by_login"),
+        "_j.html_url", "_j.url", "_j.repository_url", "_j.timeline_url", F.coalesce("_j.performed_via_github_app", F.lit("null")).alias("performed_via_github_app"),
+        F.coalesce(tx.has_label(names, wanted), F.lit(False)).cast("int").alias("has_wanted_label"), F.col("_j.pull_request").isNotNull().cast("int").alias("is_pull_request"), F.lit("search/issues").alias("source_api"),
+    )
+    return out.withColumns({c: F.lit(None).cast(out.schema[c].dataType) for c in hidden})
+
+
+def flatten_comments(raw: DataFrame, payload: str, hidden: tuple[str, ...] = ()) -> DataFrame:
+    """The other columns of raw (of the repository and issue) with a comment's fields; reactions and the app as JSON text."""
+    j, kept = _flat(raw, payload, COMMENT)
+    out = j.select(*kept, F.col("_j.id").alias("comment_id"), F.col("_j.node_id").alias("comment_node_id"), "_j.issue_url", F.col("_j.user.login").alias("author_login"), F.col("_j.user.type").alias("author_type"), "_j.author_association", *_times("created_at", "updated_at"), "_j.body", "_j.html_url", "_j.url", F.coalesce("_j.reactions", F.lit("null")).alias("reactions"), F.coalesce("_j.performed_via_github_app", F.lit("null")).alias("performed_via_github_app"))
+    return out.withColumns({c: F.lit(None).cast(out.schema[c].dataType) for c in hidden})
+
+
+def flatten_repositories(raw: DataFrame, payload: str, listed_id: str | None = None, listed_name: str | None = None) -> DataFrame:
+    """The other columns of raw with a repository's fields; id and full name are those of the list (listed columns) where the payload has none (or 0, or an empty name)."""
+    j, kept = _flat(raw, payload, REPOSITORY)
+    known = lambda c, none, listed: F.coalesce(F.nullif(F.col(c), F.lit(none)), F.col(listed)) if listed else F.col(c)
+    plain = ("html_url", "description", "language", "stargazers_count", "forks_count", "open_issues_count", "watchers_count", "default_branch", "visibility")
+    flags = {"fork": "is_fork", "archived": "is_archived", "disabled": "is_disabled", "is_template": "is_template"}
+    return j.select(*kept, known("_j.id", 0, listed_id).alias("repo_id_found"), F.col("_j.node_id").alias("repo_node_id"), F.col("_j.name").alias("repo_name"), known("_j.full_name", "", listed_name).alias("full_name_found"), F.col("_j.owner.login").alias("owner_login"), *(F.col(f"_j.{c}").alias(c) for c in plain), *(F.col(f"_j.{c}").alias(n) for c, n in flags.items()), *_times("created_at", "updated_at", "pushed_at"), F.coalesce(F.to_json("_j.topics"), F.lit("[]")).alias("topics"))
 
 
 def flatten_pulls(raw: DataFrame, payload: str) -> DataFrame:
@@ -34,17 +77,25 @@ def flatten_pulls(raw: DataFrame, payload: str) -> DataFrame:
     return j.select(*kept, F.col("_j.id").alias("pr_id"), F.col("_j.number").alias("pr_number"), "_j.state", utc(F.col("_j.created_at")).alias("created_at"), utc(F.col("_j.merged_at")).alias("merged_at"), "_j.merge_commit_sha", F.col("_j.user.login").alias("author_login"), F.col("_j.head.sha").alias("head_sha"), F.col("_j.base.ref").alias("base_ref"))
 
 
-def file_changes(lines: DataFrame, keys: list[str], line: str) -> DataFrame:
-    """keys, path, old_path, status, additions, deletions from lines of --numstat and --name-status, merged by path.
+def file_changes(lines: DataFrame, keys: list[str], line: str, place: str | None = None) -> DataFrame:
+    """keys, path, old_path, status, raw_status, additions, deletions from lines of --numstat and --name-status, merged by path.
 
-    A numstat line has two counts and a path; a name-status line a letter (with a score for renames and copies) and one path or two.
+    A numstat line has two counts and a path; a name-status line a letter (with a score for renames and copies) and one path or two. Of lines of one kind on the same path
+    the last by place counts; without places, the greatest.
     """
     part = F.split(line, "\t")
+    at = F.col(place) if place else F.lit(0)
     count = lambda k: F.when(F.get(part, F.lit(k)) == "-", None).otherwise(F.get(part, F.lit(k))).cast("bigint")
-    numbers = lines.filter(F.col(line).rlike(r"^(\d+|-)\t(\d+|-)\t.")).select(*keys, F.get(part, F.lit(2)).alias("path"), F.lit(None).cast("string").alias("old_path"), F.lit(None).cast("string").alias("status"), count(0).alias("additions"), count(1).alias("deletions"))
-    moved = F.size(part) >= 3
-    status = lines.filter(F.col(line).rlike(r"^[ACDMRTUX]\d*\t.")).select(*keys, F.when(moved, F.get(part, F.lit(2))).otherwise(F.get(part, F.lit(1))).alias("path"), F.when(moved, F.get(part, F.lit(1))).alias("old_path"), F.substring(part[0], 1, 1).alias("status"), F.lit(None).cast("bigint").alias("additions"), F.lit(None).cast("bigint").alias("deletions"))
-    return numbers.union(status).groupBy(*keys, "path").agg(*(F.max(c).alias(c) for c in ("old_path", "status", "additions", "deletions")))
+    sizes, state = F.col(line).rlike(r"^(\d+|-)\t(\d+|-)\t."), F.col(line).rlike(r"^[ACDMRTUX]\d*\t.")
+    moved = part[0].rlike("^[RC]") & (F.size(part) >= 3)
+    path = F.when(sizes | moved, F.get(part, F.lit(2))).otherwise(F.get(part, F.lit(1)))
+    rows = lines.filter(sizes | state).select(
+        *keys, path.alias("path"),
+        F.when(sizes, F.struct(at.alias("at"), count(0).alias("additions"), count(1).alias("deletions"))).alias("n"),
+        F.when(~sizes, F.struct(at.alias("at"), part[0].alias("raw"), F.when(moved, F.get(part, F.lit(1))).alias("old"))).alias("s"),
+    ).filter("path <> ''")
+    g = rows.groupBy(*keys, "path").agg(F.max("n").alias("n"), F.max("s").alias("s"))
+    return g.select(*keys, "path", F.col("s.old").alias("old_path"), F.substring("s.raw", 1, 1).alias("status"), F.col("s.raw").alias("raw_status"), F.col("n.additions").alias("additions"), F.col("n.deletions").alias("deletions"))
 
 
 def split_window(start: Column, end: Column) -> Column:
@@ -65,8 +116,10 @@ def repo_of_url(c: Column) -> Column:
 
 
 def passes_lists(repo: Column, allow_repos: list[str], block_repos: list[str], allow_owners: list[str], block_owners: list[str]) -> Column:
-    """Blocked owners and repositories never pass; where there is any allow list, only what it names does."""
-    name, owner = F.lower(repo), F.lower(F.split(repo, "/")[0])
-    listed = lambda c, names: c.isin(*[n.lower() for n in names]) if names else F.lit(False)
-    allowed = listed(name, allow_repos) | listed(owner, allow_owners) if allow_repos or allow_owners else F.lit(True)
-    return ~(listed(name, block_repos) | listed(owner, block_owners)) & allowed
+    """Blocked owners and repositories never pass; each allow list that is not empty must name the owner, or the repository. Names are compared as they are."""
+    owner = F.split(repo, "/")[0]
+    out = ~(owner.isin(*block_owners) | repo.isin(*block_repos))
+    for c, names in ((owner, allow_owners), (repo, allow_repos)):
+        if names:
+            out = out & c.isin(*names)
+    return out
