@@ -90,10 +90,13 @@ def concentration(evidence: DataFrame, issue: str, contributor: str, churn: str,
 
 def continuity(rows: DataFrame, issue: str, contributor: str, bucket: str) -> DataFrame:
     """Per issue: contributors before and after, in common, and their Jaccard similarity (null without any)."""
-    sets = rows.groupBy(issue).agg(F.collect_set(F.when(F.col(bucket) == "pre_issue", F.col(contributor))).alias("pre"), F.collect_set(F.when(F.col(bucket) == "post_issue", F.col(contributor))).alias("post"))
-    both = F.size(F.array_intersect("pre", "post"))
-    either = F.size(F.array_union("pre", "post"))
-    return sets.select(issue, F.size("pre").alias("pre_owner_count"), F.size("post").alias("post_owner_count"), both.alias("shared_owner_count"), safe_divide(both, either).alias("owner_jaccard"), (both > 0).cast("int").alias("any_shared_owner_flag"))
+    seen = lambda when: F.max((F.col(bucket) == when).cast("int"))
+    # one row for each person of an issue, so that no set of people is gathered
+    per = rows.groupBy(issue, contributor).agg(seen("pre_issue").alias("pre"), seen("post_issue").alias("post"))
+    known = F.col(contributor).isNotNull()
+    n = lambda c: F.sum(F.when(known & c, 1).otherwise(0)).cast("int")
+    g = per.groupBy(issue).agg(n(F.col("pre") == 1).alias("pre_owner_count"), n(F.col("post") == 1).alias("post_owner_count"), n((F.col("pre") == 1) & (F.col("post") == 1)).alias("shared_owner_count"), n((F.col("pre") == 1) | (F.col("post") == 1)).alias("either"))
+    return g.select(issue, "pre_owner_count", "post_owner_count", "shared_owner_count", safe_divide(F.col("shared_owner_count"), F.col("either")).alias("owner_jaccard"), (F.col("shared_owner_count") > 0).cast("int").alias("any_shared_owner_flag"))
 
 
 def conservative_support(evidence: DataFrame, issue: str, contributor: str, *, commits_at: int = 2, days_at: int = 1) -> DataFrame:

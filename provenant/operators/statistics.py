@@ -200,6 +200,49 @@ def logit_by_group(df: DataFrame, y: str, x: str, by: str, rounds: int = 25) ->
     return fit.select(F.col("_by").alias(by), "n", F.col("a").alias("intercept"), F.lit(b).alias("slope"))
 
 
+def logit_model(df: DataFrame, y: str, xs: list[str], by: str, *, rounds: int = 40, at_most: float = 25.0) -> DataFrame:
+    """Logistic regression of y (0 or 1) on xs with an intercept for each group: model, term, coefficient, std_error, ci_low, ci_high, odds_ratio, p_value, n, n_groups.
+
+    Rows with an unknown value go, and so do groups whose y never differs. A Newton step is one aggregate by group; the intercepts' part of the information is diagonal, so the slopes need only
+    the sums of each group's part less what its intercept explains (Schur's complement): one row of at most (1 + xs) squared sums reaches the driver, and its inverse holds the slopes' errors.
+    Where the slopes have no finite value (an effect of more than at_most in standard deviations: xs separate y) or do not come to rest, the result is that of the linear model with the same intercepts, named linear.
+    """
+    k = len(xs)
+    rows = df.select(F.col(by).alias("_by"), F.col(y).cast("double").alias("_y"), *(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(xs))).dropna()
+    both = rows.groupBy("_by").agg(F.count(F.lit(1)).alias("n"), F.avg("_y").alias("m")).filter("m > 0 and m < 1")
+    fit = stored(both.select("_by", F.log(F.col("m") / (1 - F.col("m"))).alias("a")), "intercepts")
+    rows = stored(rows.join(fit.select("_by"), "_by", "left_semi"), "rows")
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("_by").alias("g"), *(F.stddev_pop(f"x{i}").alias(f"s{i}") for i in range(k))).first()
+    sd = np.array([size[f"s{i}"] or 0.0 for i in range(k)])
+    b, inverse, finite = np.zeros(k), None, False
+    for _ in range(rounds if size["n"] and (sd > 0).all() else 0):
+        p = 1 / (1 + F.exp(-sum((F.lit(float(b[i])) * F.col(f"x{i}") for i in range(k)), F.col("a"))))
+        step = rows.join(fit, "_by").withColumn("_r", F.col("_y") - p).withColumn("_w", p * (1 - p))
+        pairs = [(i, j) for i in range(k) for j in range(i + 1)]
+        sums = [F.sum("_r").alias("r"), F.sum("_w").alias("w"), *(F.sum(F.col("_r") * F.col(f"x{i}")).alias(f"r{i}") for i in range(k)), *(F.sum(F.col("_w") * F.col(f"x{i}")).alias(f"w{i}") for i in range(k)), *(F.sum(F.col("_w") * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"w{i}_{j}") for i, j in pairs)]
+        g = stored(step.groupBy("_by", "a").agg(*sums), "newton")
+        s = g.agg(*(F.sum(F.col(f"r{i}") - F.col(f"w{i}") * F.col("r") / F.col("w")).alias(f"g{i}") for i in range(k)), *(F.sum(F.col(f"w{i}_{j}") - F.col(f"w{i}") * F.col(f"w{j}") / F.col("w")).alias(f"h{i}_{j}") for i, j in pairs), F.max(F.abs(F.col("r") / F.col("w"))).alias("off")).first()
+        info = np.array([[s[f"h{max(i, j)}_{min(i, j)}"] for j in range(k)] for i in range(k)], dtype=float)
+        if not np.isfinite(info).all() or (np.diag(info) <= 0).any() or np.linalg.matrix_rank(info / np.sqrt(np.outer(np.diag(info), np.diag(info))), tol=1e-9) < k:
+            break
+        inverse = np.linalg.inv(info)
+        d = inverse @ np.array([s[f"g{i}"] for i in range(k)])
+        b = b + d
+        if (np.abs(b) * sd > at_most).any():
+            break
+        fit = stored(g.select("_by", (F.col("a") + (F.col("r") - sum((F.lit(float(d[i])) * F.col(f"w{i}") for i in range(k)), F.lit(0.0))) / F.col("w")).alias("a")), "intercepts")
+        if (np.abs(d) * sd < 1e-9).all() and s["off"] < 1e-8:
+            finite = True
+            break
+    if not finite:
+        linear = fixed_effect_model(df.select(by, F.col(y).cast("double").alias(y), *xs), y, xs, by)
+        return linear.select(F.lit("linear").alias("model"), "term", "coefficient", "std_error", "ci_low", "ci_high", F.lit(None).cast("double").alias("odds_ratio"), "p_value", "n", "n_groups")
+    rows = [(xs[i], float(b[i]), float(np.sqrt(inverse[i, i]))) for i in range(k)]
+    out = df.sparkSession.createDataFrame(rows, "term string, coefficient double, std_error double")
+    c, e = F.col("coefficient"), F.col("std_error")
+    return out.select(F.lit("logit").alias("model"), "term", c, e, (c - 1.96 * e).alias("ci_low"), (c + 1.96 * e).alias("ci_high"), F.exp(c).alias("odds_ratio"), two_sided_normal(F.abs(c / e)).alias("p_value"), F.lit(size["n"]).cast("bigint").alias("n"), F.lit(size["g"]).cast("bigint").alias("n_groups"))
+
+
 def odds_two_by_two(a: int, b: int, c: int, d: int) -> float:
     """Fisher's exact two-sided p of a 2 x 2 table of counts: tables no likelier than this one, summed outwards until a term no longer counts.
 

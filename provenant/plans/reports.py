@@ -145,6 +145,14 @@ def ols_fixed_effects(spark, sf):
     return rounded(st.fixed_effect_slope(two_groups(spark, sf), "x", "toxic", "repo"))
 
 
+@query()
+def logit_with_errors(spark, sf):
+    """Priority of orders on price and clerk's load, with an intercept for each month: no closed form, so tests compare it with a dense fit."""
+    o = load(spark, sf, "orders")
+    rows = o.select(F.month("o_orderdate").alias("part"), F.col("o_orderpriority").like("1%").cast("int").alias("urgent"), (F.col("o_totalprice") / 100_000).alias("price"), (F.col("o_custkey") % 10).cast("double").alias("load"), (F.dayofmonth("o_orderdate") / 10).alias("day"))
+    return rounded(st.logit_model(rows, "urgent", ["price", "load", "day"], "part"))
+
+
 @query()
 def logit_fixed_effects(spark, sf):
     """Iterative; its coefficients are checked in tests. An intercept for each repo with both outcomes, one slope."""
