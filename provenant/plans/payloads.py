@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from provenant.operators import flatten as fl
+from provenant.operators.shards import plan_shards
 from provenant.plans.registry import iso_times, load, query
 from provenant.sources import gitlog as gl
+from provenant.sources import runs
 from provenant.sources.scratch import new_path
 
 
@@ -129,3 +131,28 @@ def git_log_commits(spark, sf):
 def git_log_files(spark, sf):
     """The last line of a path counts; the lines of a record are sorted here, so that is the greatest."""
     return gl.commit_file_rows(_merged(spark, sf), [])
+
+
+@query("""WITH RECURSIVE d AS (SELECT o_orderpriority AS repo, o_orderdate::DATE AS day, count(*) AS n FROM orders GROUP BY ALL), r AS (SELECT DISTINCT repo FROM d),
+  w AS (SELECT repo, DATE '1990-01-01' AS a, DATE '2029-12-31' AS b, (SELECT sum(n) FROM d WHERE d.repo = r.repo)::BIGINT AS n FROM r
+    UNION ALL SELECT repo, a, b, n FROM (SELECT w.repo, h.a, h.b, (SELECT sum(n) FROM d WHERE d.repo = w.repo AND d.day BETWEEN h.a AND h.b)::BIGINT AS n
+      FROM (SELECT repo, a, b, unnest([{'a': a, 'b': a + ((b - a) // 2)::INT}, {'a': a + ((b - a) // 2)::INT + 1, 'b': b}]) AS h FROM w WHERE n > 900 AND a < b) w) WHERE n > 0)
+  SELECT repo, a::VARCHAR AS start_date, b::VARCHAR AS end_date, n AS total_count, (n > 1000)::INT AS is_truncated_risk FROM w WHERE n <= 900 OR a >= b""")
+def search_shards(spark, sf):
+    """Orders of a priority as search hits of a repository."""
+    o = load(spark, sf, "orders")
+    return plan_shards(o.groupBy(F.col("o_orderpriority").alias("repo"), F.to_date("o_orderdate").alias("day")).agg(F.count(F.lit(1)).alias("n")), "1990-01-01", "2029-12-31")
+
+
+@query("""SELECT o_orderpriority AS repo, count(*) AS rows_kept, sum((o_totalprice > 100000)::INT)::BIGINT AS dear, (SELECT count(*) FROM orders) AS all_in, (SELECT count(*) FROM orders WHERE o_orderstatus <> 'P') AS all_out, (SELECT count(*) FROM orders WHERE o_orderstatus <> 'P' AND o_orderkey % 2 = 1) AS all_odd
+  FROM orders WHERE o_orderstatus <> 'P' GROUP BY o_orderpriority""")
+def resumable_stage(spark, sf):
+    """A stage by priority, in batches with a manifest, run twice: the second run finds nothing to do. Its counters are those observed while it wrote."""
+    path, manifest = new_path(spark, "stage"), new_path(spark, "manifest")
+    rows = load(spark, sf, "orders").withColumnRenamed("o_orderpriority", "repo")
+    for _ in range(2):
+        runs.run_stage(rows, lambda df: df.filter("o_orderstatus <> 'P'").select("repo", "o_orderkey", "o_totalprice"), path, manifest, batches=2, counters={"odd": F.col("o_orderkey") % 2 == 1})
+    out = spark.read.parquet(path).groupBy("repo").agg(F.count(F.lit(1)).alias("rows_kept"), F.sum((F.col("o_totalprice") > 100_000).cast("long")).alias("dear"))
+    # one row for each batch, of the rows for each repository
+    batch = runs.finished(spark, manifest).groupBy("batch").agg(F.max("rows_in").alias("i"), F.max("rows_out").alias("o"), F.max(F.col("counters")["odd"]).alias("d"))
+    return out.join(F.broadcast(batch.agg(F.sum("i").alias("all_in"), F.sum("o").alias("all_out"), F.sum("d").alias("all_odd"))))
