@@ -9,11 +9,6 @@ from pyspark.sql.window import Window
 from provenant.functions.numbers import safe_divide
 
 
-def commit_files(commits: DataFrame, files: DataFrame, keys: list[str]) -> DataFrame:
-    """Commits joined with their files on (repo, sha)."""
-    return commits.join(files, keys)
-
-
 def repo_profiles(joined: DataFrame, *, rank_at: int = 5, share_at: float = 0.05) -> DataFrame:
     """Per (repo, contributor) of rows (repo, sha, contributor, ts, file, churn): activity, shares, dense rank, dominant flag."""
     keys = ["repo", "contributor"]
@@ -35,24 +30,6 @@ def file_profiles(joined: DataFrame, *, rank_at: int = 3, share_at: float = 0.10
     return out.withColumn("major_flag", ((F.col("file_owner_rank") <= rank_at) | (F.col("share_of_file_commits") >= share_at)).cast("int"))
 
 
-def history_before(issues: DataFrame, history: DataFrame, scope: list[str], slot_seconds: int = 86_400) -> DataFrame:
-    """As-of counts: for each issue (issue, ts, scope columns) each contributor's commits and days in scope strictly before it.
-
-    A commit adds to its contributor's cumulative counts; each state of a contributor holds until that contributor's next commit and stands
-    in every time slot that it reaches. Issues meet states by scope and slot, so a large scope is dealt to as many keys as it has slots.
-    """
-    per = Window.partitionBy(*scope, "contributor")
-    day, slot = F.to_date("ts"), lambda c: F.floor(F.unix_seconds(c) / slot_seconds)
-    states = history.groupBy(*scope, "contributor", "ts").agg(F.count(F.lit(1)).alias("k")).withColumn("new_day", (F.row_number().over(Window.partitionBy(*scope, "contributor", day).orderBy("ts")) == 1).cast("int"))
-    run = per.orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    states = states.select(*scope, "contributor", F.sum("k").over(run).alias("commits"), F.sum("new_day").over(run).alias("days"), F.col("ts").alias("valid_from"), F.lead("ts").over(per.orderBy("ts")).alias("valid_to"))
-    last = issues.agg(F.max(slot("ts"))).first()[0]
-    until = F.least(F.coalesce(slot("valid_to"), F.lit(last)), F.lit(last)).cast("long")
-    spread = states.filter(slot("valid_from") <= F.lit(last)).withColumn("slot", F.explode(F.sequence(slot("valid_from").cast("long"), until)))
-    found = issues.withColumn("slot", slot("ts").cast("long")).join(spread, [*scope, "slot"])
-    return found.filter((F.col("valid_from") < F.col("ts")) & (F.col("valid_to").isNull() | (F.col("valid_to") >= F.col("ts")))).drop("valid_from", "valid_to", "slot")
-
-
 def evidence_counts(issues: DataFrame, evidence: DataFrame, keys: list[str], kind: str) -> DataFrame:
     """issue, keys, kind, bucket, n_rows, n_days, churn of the evidence (keys, kind, ts, churn) before (up to the issue's time) and after each issue.
 
@@ -67,13 +44,6 @@ def evidence_counts(issues: DataFrame, evidence: DataFrame, keys: list[str], kin
     return others.union(same).groupBy("issue", *keys, kind, "bucket").agg(F.sum("k").alias("n_rows"), F.collect_set("day").alias("days"), F.sum("c").alias("churn"))
 
 
-def ranked_roles(before: DataFrame, *, commits_at: int = 2, days_at: int = 1, rank_at: int = 5, share_at: float = 0.05) -> DataFrame:
-    """before with the contributor's share and position (count descending, key ascending) for the issue, and the major flag."""
-    w = Window.partitionBy("issue")
-    out = before.withColumn("share", F.col("commits") / F.sum("commits").over(w)).withColumn("rank", F.row_number().over(w.orderBy(F.desc("commits"), "contributor")))
-    return out.withColumn("major", ((F.col("commits") >= commits_at) & (F.col("days") >= days_at) & ((F.col("rank") <= rank_at) | (F.col("share") >= share_at))).cast("int"))
-
-
 def ownership_policy(exact: Column, merge: Column, head: Column) -> Column:
     """Which evidence a repository's issues rest on, by the rates of pull request, merge and head commits that are known."""
     return F.when((exact >= 0.80) & (merge >= 0.50), "exact_plus_merge").when((merge >= 0.50) & (head >= 0.50), "merge_plus_head").when(merge >= 0.50, "merge_first").when(exact >= 0.50, "exact_first").otherwise("fallback_heavy")

@@ -26,11 +26,6 @@ def merge_keeping_base(base: DataFrame, more: DataFrame, keys: list[str], marker
     return out.withColumn(marker, F.coalesce(marker, F.lit(0))) if marker else out
 
 
-def ensure_columns(df: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """df with the missing ones of the columns (name -> type) as nulls."""
-    return df.select("*", *(F.lit(None).cast(t).alias(c) for c, t in columns.items() if c not in df.columns))
-
-
 def missingness(df: DataFrame, columns: list[str]) -> DataFrame:
     """Nulls and their share by column, from one pass."""
     one = df.agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.col(c).isNull().cast("long")).alias(c) for c in columns))
