@@ -9,6 +9,8 @@ from provenant.functions.text import jaro_winkler
 
 #: Common prefixes are looked at by their least and greatest length; the prefix counts up to 4 characters.
 PREFIXES = ((0, 0), (1, 2), (3, 4))
+#: Above so many letters that may differ, groups of letters tell little (names of some 45 letters): the block is the prefix and the lengths alone.
+MOST_DIFFERENT = 14
 
 
 def _least_jaro(at: float, prefix: int) -> float:
@@ -21,7 +23,7 @@ def block_keys(values: DataFrame, at: float) -> DataFrame:
 
     A Jaro similarity of j asks that m of the characters match with m / |s| + m / |t| >= 3 j - 1. So for each pair of lengths the names differ in d characters at most,
     counting both sides. Dealt by their code to d + 2 groups, the characters of two groups at least are the same in both names, as a bag. A block is the common prefix,
-    both lengths, and the bags of two groups (of all, where no character may differ).
+    both lengths, and the bags of two groups (of all, where no character may differ; none, where more than MOST_DIFFERENT may).
     """
     chars = values.withColumn("n", F.length("name")).withColumn("cs", F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.substring(F.col("name"), i, F.lit(1))))
     lengths = values.select(F.length("name").alias("m")).distinct()
@@ -33,11 +35,12 @@ def block_keys(values: DataFrame, at: float) -> DataFrame:
     rows = rows.withColumn("m", F.explode(reach)).join(lengths, "m")  # lengths that some name has
     need = F.ceil((3 * F.col("c.j") - 1) * F.col("n") * F.col("m") / (F.col("n") + F.col("m")) - 1e-9)
     rows = rows.withColumn("d", (F.col("n") + F.col("m") - 2 * need).cast("int")).filter((need <= F.col("n")) & (need <= F.col("m")))
-    groups = F.when(F.col("d") > 0, F.col("d") + 2).otherwise(F.lit(1))
+    some = (F.col("d") > 0) & (F.col("d") <= MOST_DIFFERENT)
+    groups = F.when(some, F.col("d") + 2).otherwise(F.lit(1))
     bags = F.transform(F.sequence(F.lit(0), groups - 1), lambda g: F.array_join(F.array_sort(F.filter("cs", lambda x: F.pmod(F.ascii(x), groups) == g)), ""))
     rows = rows.withColumn("bags", bags)
     two = F.flatten(F.transform(F.sequence(F.lit(0), F.size("bags") - 2), lambda a: F.transform(F.sequence(a + 1, F.size("bags") - 1), lambda b: F.concat_ws("\x01", a.cast("string"), F.get("bags", a), b.cast("string"), F.get("bags", b)))))
-    found = rows.withColumn("bag", F.explode(F.when(F.col("d") > 0, two).otherwise(F.col("bags"))))
+    found = rows.withColumn("bag", F.explode(F.when(some, two).when(F.col("d") > 0, F.array(F.lit(""))).otherwise(F.col("bags"))))
     return found.select("scope", "name", F.struct(F.substring(F.col("name"), F.lit(1), F.col("c.p")).alias("prefix"), F.col("c.p").alias("p"), F.least("n", "m").alias("short"), F.greatest("n", "m").alias("long"), F.xxhash64("bag").alias("bag")).alias("block"))
 
 
