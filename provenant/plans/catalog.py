@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from provenant.plans import bridges, dataset, discussion, evidence, features, groups, ownership, participants, payloads, reports, summaries  # noqa: F401  they register their queries
+from provenant.plans import actors, bridges, dataset, discussion, evidence, features, groups, ownership, participants, payloads, reports, summaries  # noqa: F401  they register their queries
 from provenant.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
