@@ -50,7 +50,8 @@ def duplicate_markers(spark, sf):
 @query(f"""WITH f AS ({_ISSUE}), g AS (SELECT (issue % 2)::INT AS part, count(*) AS n_pairs, avg(late_mean_comment_sentiment - early_mean_comment_sentiment) AS m, stddev_samp(late_mean_comment_sentiment - early_mean_comment_sentiment) AS sd FROM f GROUP BY part)
   SELECT part, n_pairs, round(m, 4) AS mean_difference, round(sd, 4) AS sd_difference, round(m / (sd / sqrt(n_pairs)), 3) AS paired_t, n_pairs - 1 AS df, round({tails.t_tail('(m / (sd / sqrt(n_pairs)))', 'n_pairs - 1')}, 6) AS paired_p FROM g""")
 def early_late_within_group(spark, sf):
-    i = d.issue_sentiment(scored(spark, sf)).withColumn("part", (F.col("issue") % 2).cast("int"))
+    """The pairs are those of the table of issues, whose means have six digits."""
+    i = rounded(d.issue_sentiment(scored(spark, sf))).withColumn("part", (F.col("issue") % 2).cast("int"))
     g = gr.early_late(i, "early_mean_comment_sentiment", "late_mean_comment_sentiment", "part")
     return g.select("part", "n_pairs", F.round("mean_difference", 4).alias("mean_difference"), F.round("sd_difference", 4).alias("sd_difference"), F.round("paired_t", 3).alias("paired_t"), "df", F.round("paired_p", 6).alias("paired_p"))
 

@@ -74,6 +74,15 @@ def test_logit_gradient_is_zero(spark, con):
     assert all(abs(v) < 1e-3 for v in left.values()) and abs(slope) < 1e-2
 
 
+def test_early_and_late_means_are_paired_as_issues_have_them(spark):
+    sf = "/root/testdata/sf0.01"
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf}/conversations.parquet'")
+    got = catalog.QUERIES["early_late_within_group"](spark, sf)
+    want = c.sql(f"SELECT {', '.join(got.columns)} FROM ({catalog.ORACLES['early_late_within_group']}) ORDER BY part").fetchall()
+    assert sorted(map(tuple, got.collect())) == want
+
+
 def test_entry(spark):
     import __spark_entry__
 
