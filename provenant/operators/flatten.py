@@ -77,24 +77,26 @@ def flatten_pulls(raw: DataFrame, payload: str) -> DataFrame:
     return j.select(*kept, F.col("_j.id").alias("pr_id"), F.col("_j.number").alias("pr_number"), "_j.state", utc(F.col("_j.created_at")).alias("created_at"), utc(F.col("_j.merged_at")).alias("merged_at"), "_j.merge_commit_sha", F.col("_j.user.login").alias("author_login"), F.col("_j.head.sha").alias("head_sha"), F.col("_j.base.ref").alias("base_ref"))
 
 
-def file_changes(lines: DataFrame, keys: list[str], line: str, place: str | None = None) -> DataFrame:
+def file_changes(lines: DataFrame, keys: list[str], line: str, place: str | None = None, first: tuple[str, ...] = ()) -> DataFrame:
     """keys, path, old_path, status, raw_status, additions, deletions from lines of --numstat and --name-status, merged by path.
 
     A numstat line has two counts and a path; a name-status line a letter (with a score for renames and copies) and one path or two. Of lines of one kind on the same path
-    the last by place counts; without places, the greatest.
+    the last by place (a number) counts; without places, the greatest. Of lines in the same place the first by the columns named in first counts; without those, the greatest.
     """
     part = F.split(line, "\t")
     at = F.col(place) if place else F.lit(0)
+    # with columns by which the first counts, all is turned round: the least by falling places, those without one last
+    order, last = ([at.alias("at")], F.max) if not first else ([at.isNull().alias("none"), (-at).alias("at"), *first], F.min)
     count = lambda k: F.when(F.get(part, F.lit(k)) == "-", None).otherwise(F.get(part, F.lit(k))).cast("bigint")
     sizes, state = F.col(line).rlike(r"^(\d+|-)\t(\d+|-)\t."), F.col(line).rlike(r"^[ACDMRTUX]\d*\t.")
     moved = part[0].rlike("^[RC]") & (F.size(part) >= 3)
     path = F.when(sizes | moved, F.get(part, F.lit(2))).otherwise(F.get(part, F.lit(1)))
     rows = lines.filter(sizes | state).select(
         *keys, path.alias("path"),
-        F.when(sizes, F.struct(at.alias("at"), count(0).alias("additions"), count(1).alias("deletions"))).alias("n"),
-        F.when(~sizes, F.struct(at.alias("at"), part[0].alias("raw"), F.when(moved, F.get(part, F.lit(1))).alias("old"))).alias("s"),
+        F.when(sizes, F.struct(*order, count(0).alias("additions"), count(1).alias("deletions"))).alias("n"),
+        F.when(~sizes, F.struct(*order, part[0].alias("raw"), F.when(moved, F.get(part, F.lit(1))).alias("old"))).alias("s"),
     ).filter("path <> ''")
-    g = rows.groupBy(*keys, "path").agg(F.max("n").alias("n"), F.max("s").alias("s"))
+    g = rows.groupBy(*keys, "path").agg(last("n").alias("n"), last("s").alias("s"))
     return g.select(*keys, "path", F.col("s.old").alias("old_path"), F.substring("s.raw", 1, 1).alias("status"), F.col("s.raw").alias("raw_status"), F.col("n.additions").alias("additions"), F.col("n.deletions").alias("deletions"))
 
 

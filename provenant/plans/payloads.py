@@ -63,13 +63,14 @@ def flattened_pulls(spark, sf):
   SELECT l_orderkey AS sha, concat('src/p', l_partkey, '.py') AS path, CASE WHEN l_linenumber % 5 = 0 THEN concat('old/p', l_partkey, '.py') END AS old_path, CASE WHEN l_linenumber % 5 = 0 THEN 'R' ELSE 'M' END AS status, CASE WHEN l_linenumber % 5 = 0 THEN 'R097' ELSE 'M' END AS raw_status,
   CASE WHEN l_suppkey % 4 > 0 THEN l_quantity::BIGINT END AS additions, CASE WHEN l_suppkey % 4 > 0 THEN l_linenumber::BIGINT END AS deletions FROM r WHERE rn = 1""")
 def git_file_changes(spark, sf):
-    li = load(spark, sf, "lineitem")
+    """Of lines with the same number the first in the table counts."""
+    li = load(spark, sf, "lineitem", placed=True)
     path, old = F.concat(F.lit("src/p"), "l_partkey", F.lit(".py")), F.concat(F.lit("old/p"), "l_partkey", F.lit(".py"))
     text = lambda c: F.when(F.col("l_suppkey") % 4 > 0, F.col(c).cast("bigint").cast("string")).otherwise("-")
     numstat = F.concat_ws("\t", text("l_quantity"), text("l_linenumber"), path)
     status = F.when(F.col("l_linenumber") % 5 == 0, F.concat_ws("\t", F.lit("R097"), old, path)).otherwise(F.concat_ws("\t", F.lit("M"), path))
-    lines = li.select(F.col("l_orderkey").alias("sha"), F.col("l_linenumber").alias("place"), F.explode(F.array(numstat, status, F.lit(""), F.lit("a line of a message"))).alias("line"))
-    return fl.file_changes(lines, ["sha"], "line", "place")
+    lines = li.select(F.col("l_orderkey").alias("sha"), F.col("l_linenumber").alias("place"), "in_file", "in_row", F.explode(F.array(numstat, status, F.lit(""), F.lit("a line of a message"))).alias("line"))
+    return fl.file_changes(lines, ["sha"], "line", "place", ("in_file", "in_row"))
 
 
 @query("""WITH w AS (SELECT c_custkey, DATE '2021-01-01' + (c_custkey % 500)::INT AS a, DATE '2021-01-01' + (c_custkey % 500 + c_custkey % 90)::INT AS b FROM customer)

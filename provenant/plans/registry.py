@@ -24,10 +24,11 @@ def query(sql: str | None = None):
     return add
 
 
-def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A table; its times as plain timestamps."""
+def load(spark: SparkSession, sf: str, name: str, *, placed: bool = False) -> DataFrame:
+    """A table; its times as plain timestamps. placed: with the file and the row in it (in_file, in_row) that each row is from."""
     df = spark.read.parquet(f"{sf}/{name}.parquet")
-    return df.select(*(F.col(c).cast("timestamp").alias(c) if t == "timestamp_ntz" else F.col(c) for c, t in df.dtypes))
+    at = [F.col("_metadata.file_path").alias("in_file"), F.col("_metadata.row_index").alias("in_row")] if placed else []
+    return df.select(*(F.col(c).cast("timestamp").alias(c) if t == "timestamp_ntz" else F.col(c) for c, t in df.dtypes), *at)
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:

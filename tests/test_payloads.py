@@ -69,3 +69,12 @@ def test_a_large_log_is_split_by_records(spark, tmp_path):
 
 def test_log_command():
     assert gl.log_command("--numstat", since="2024-01-01")[-2:] == ["--numstat", "--since=2024-01-01"]
+
+
+def test_of_lines_with_the_same_number_the_first_in_the_table_counts(spark, tmp_path):
+    from provenant.plans import catalog
+
+    rows = [(1, 5, 1, 2, 9.0), (1, 5, 2, 7, 8.0), (1, 5, 3, 7, 27.0), (2, 5, 1, 3, 30.0), (2, 5, 1, 3, 4.0), (2, 5, 4, 1, 40.0)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = catalog.QUERIES["git_file_changes"](spark, str(tmp_path)).select("sha", "additions", "deletions").collect()
+    assert sorted(map(tuple, got)) == [(1, 8, 7), (2, 30, 3)]
