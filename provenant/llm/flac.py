@@ -53,6 +53,22 @@ def _crc_table(width: int, poly: int) -> np.ndarray:
 _CRC8 = _crc_table(8, 0x07).tolist()
 _CRC16 = _crc_table(16, 0x8005).astype(np.uint16)
 _CRC16_LIST = _CRC16.tolist()
+#: Bytes of a block whose checksum is a sum over its places.
+_SPAN = 256
+
+
+def _place_tables() -> tuple[np.ndarray, np.ndarray]:
+    """What a byte at each place of a block adds to the block's CRC-16, and each CRC-16 after a block of zeros."""
+    on = lambda crc: (crc << np.uint16(8)) ^ _CRC16[crc >> np.uint16(8)]
+    places, far = [_CRC16], np.arange(1 << 16, dtype=np.uint16)
+    for _ in range(_SPAN - 1):
+        places.append(on(places[-1]))
+    for _ in range(_SPAN):
+        far = on(far)
+    return np.stack(places[::-1]), far
+
+
+_AT_PLACE, _FAR = _place_tables()
 
 
 def crc8(data: bytes) -> int:
@@ -63,14 +79,18 @@ def crc8(data: bytes) -> int:
 
 
 def crc16_each(parts: list[bytes]) -> np.ndarray:
-    """CRC-16 of each byte string; zero bytes put before one leave it as it is, so all run in step."""
-    width = max(map(len, parts), default=0)
-    cols = np.zeros((width, len(parts)), np.uint8)
+    """CRC-16 of each byte string; zero bytes put before one leave it as it is, so all end with a block and run in step."""
+    blocks = -(-max(map(len, parts), default=0) // _SPAN)
+    width = blocks * _SPAN
+    rows = np.zeros((len(parts), width), np.uint8)
     for i, p in enumerate(parts):
-        cols[width - len(p) :, i] = np.frombuffer(p, np.uint8)
+        rows[i, width - len(p) :] = np.frombuffer(p, np.uint8)
+    own = np.zeros(len(parts) * blocks, np.uint16)
+    for at, col in zip(_AT_PLACE, np.ascontiguousarray(rows.reshape(-1, _SPAN).T), strict=True):
+        own ^= at.take(col)
     crc = np.zeros(len(parts), np.uint16)
-    for col in cols:
-        crc = (crc << np.uint16(8)) ^ _CRC16[(crc >> np.uint16(8)) ^ col]
+    for col in own.reshape(len(parts), blocks).T:
+        crc = _FAR[crc] ^ col
     return crc
 
 
@@ -147,10 +167,12 @@ def encode_frames(x: np.ndarray, n: np.ndarray, numbers: list[int]) -> list[byte
     t = np.arange(width)
     inside = t < n[:, None]
     x = x * inside
-    fixed = [_residual(x, np.tile(np.array(FIXED[o], np.int32), (rows, 1)), 0) for o in (0, 1, 2)]
+    fixed = [x]  # the predictors of order 0 to 2: each residual is the difference of the one before
+    for _ in range(2):
+        fixed.append(np.diff(fixed[-1], axis=1, prepend=np.int32(0)))
     cost = np.stack([(np.abs(r) * (inside & (t >= o))).sum(axis=1) for o, r in enumerate(fixed)])
     order = cost.argmin(axis=0)
-    res = np.choose(order[:, None], fixed)
+    res = np.stack(fixed)[order, np.arange(rows)]
     u, k, bits = _rice_cost(res, inside & (t >= order[:, None]))
     coef = _linear_predictors(x)
     lin_u, lin_k, lin_bits = _rice_cost(_residual(x, coef, SHIFT), inside & (t >= ORDER))
@@ -166,7 +188,7 @@ def encode_frames(x: np.ndarray, n: np.ndarray, numbers: list[int]) -> list[byte
 
     # every field of a frame's body is a value with its bits; unary zeros are part of a code's length
     head = 1 + ORDER + 2 + ORDER + 3
-    value, size, sig = (np.zeros((rows, head + width), np.int32) for _ in range(3))
+    value, size = (np.zeros((rows, head + width), np.int32) for _ in range(2))
     kind = np.where(flat, 0, np.where(plain, 1, np.where(use_lin, 31 + ORDER, 8 + order)))
     value[:, 0], size[:, 0] = kind << 1, 8
     warm = t[:ORDER] < order[:, None]
@@ -178,27 +200,24 @@ def encode_frames(x: np.ndarray, n: np.ndarray, numbers: list[int]) -> list[byte
     at += 2 + ORDER
     size[:, at], size[:, at + 1] = 2 * rice, 4 * rice
     value[:, at + 2], size[:, at + 2] = k * rice, 4 * rice
-    sig[:, :head] = size[:, :head]
     coded = inside & (t >= order[:, None]) & rice[:, None]
     kk = k[:, None].astype(np.int32)
     value[:, head:] = np.where(coded, (1 << kk) | (u & ((1 << kk) - 1)), (x & 255) * (plain[:, None] & inside))
     size[:, head:] = np.where(coded, (u >> kk) + 1 + kk, 8 * (plain[:, None] & inside))
-    sig[:, head:] = np.where(coded, kk + 1, 8 * (plain[:, None] & inside))
-    value[:, head], size[:, head], sig[:, head] = np.where(flat, x[:, 0] & 255, value[:, head]), np.where(flat, 8, size[:, head]), np.where(flat, 8, sig[:, head])
+    value[:, head], size[:, head] = np.where(flat, x[:, 0] & 255, value[:, head]), np.where(flat, 8, size[:, head])
 
     ends = np.cumsum(size, axis=1, dtype=np.int64)
     length = (ends[:, -1] + 7) // 8
     start = np.concatenate([[0], np.cumsum(length)])
-    some = sig > 0
-    last, v, s = (ends + start[:-1, None] * 8 - 1)[some], value[some], sig[some]
-    out = np.zeros(int(start[-1]) * 8, np.uint8)
-    for j in range(int(s.max(initial=0))):
-        if j:
-            more = s > j
-            if not more.all():
-                last, v, s = last[more], v[more], s[more]
-        out[last - j] = (v >> j) & 1
-    body = np.packbits(out).tobytes()
+    # a value of up to 32 bits lies in the word of its last bit and the one before; those of a word don't overlap, so they are summed
+    last = (ends + (start[:-1, None] * 8 + 31)).ravel()  # the last bit, one word on
+    word = last >> 5
+    first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+    sums = np.add.reduceat(value.ravel().astype(np.uint64) << (31 - (last & 31)).astype(np.uint64), first)
+    words = np.zeros(int(start[-1]) // 4 + 3, np.uint32)
+    words[word[first]] = sums.astype(np.uint32)
+    words[word[first] - 1] |= (sums >> np.uint64(32)).astype(np.uint32)
+    body = words[1:].astype(">u4").tobytes()
     parts = [_frame_header(int(n[i]), numbers[i]) + body[start[i] : start[i + 1]] for i in range(rows)]
     return [p + struct.pack(">H", c) for p, c in zip(parts, crc16_each(parts).tolist(), strict=True)]
 
@@ -244,7 +263,7 @@ class _Bits:
     def __init__(self, parts: list[bytes]):
         data = np.frombuffer(b"".join(parts) + bytes(8), np.uint8)
         self.start = np.concatenate([[0], np.cumsum([len(p) for p in parts])]) * 8
-        ones = np.flatnonzero(np.unpackbits(data)).astype(np.int32)
+        ones = np.flatnonzero(np.unpackbits(data).view(bool)).astype(np.int32)
         total = len(data) * 8
         self.next_one = np.repeat(np.append(ones, total - 1).astype(np.int32), np.diff(np.concatenate([[-1], ones, [total - 1]])))
         w = data.astype(np.uint64)
@@ -312,12 +331,17 @@ def _subframes(bits: _Bits, pos: np.ndarray, n: np.ndarray, depth: np.ndarray) -
         own = own[np.argsort(-m[own], kind="stable")]
         res[:, own], pos[own] = _rice(bits, pos[own], n[own], order[own], width)
     if top and len(own):
-        back = coef[::-1]  # oldest first, as the samples lie
+        back = np.ascontiguousarray(coef[::-1])  # oldest first, as the samples lie
+        terms, acc = np.empty_like(back), np.empty(rows, np.int64)
         for r in range(width):
-            s[top + r] = ((back * s[r : top + r]).sum(axis=0) >> shift) + res[r]
+            np.multiply(back, s[r : top + r], out=terms)
+            np.add.reduce(terms, axis=0, out=acc)
+            np.right_shift(acc, shift, out=acc)
+            np.add(acc, res[r], out=s[top + r])
     else:
         s[top:] = res
-    return [s[top - order[i] : top + m[i], i] << wasted[i] for i in range(rows)], pos
+    s = np.ascontiguousarray(s.T)
+    return [s[i, top - order[i] : top + m[i]] << wasted[i] for i in range(rows)], pos
 
 
 def _rice(bits: _Bits, pos: np.ndarray, n: np.ndarray, order: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -330,6 +354,10 @@ def _rice(bits: _Bits, pos: np.ndarray, n: np.ndarray, order: np.ndarray, width:
     wide = 4 + method
     escape = (1 << wide) - 1
     m, part = n - order, n >> split
+    if rows and not split.any():
+        k = bits.read(pos, wide)
+        if (k < escape).all():
+            return _rice_whole(bits, pos + wide, m, k, width)
     due = np.sort(np.unique(np.concatenate([np.arange(1 << int(p)) * (int(a) >> int(p)) - int(o) for a, p, o in set(zip(n.tolist(), split.tolist(), order.tolist(), strict=True))])))
     due = set(np.maximum(due, 0).tolist())
     k, raw = np.zeros(rows, np.int64), np.full(rows, -1, np.int64)
@@ -379,6 +407,28 @@ def _rice(bits: _Bits, pos: np.ndarray, n: np.ndarray, order: np.ndarray, width:
     return out, pos
 
 
+def _rice_whole(bits: _Bits, pos: np.ndarray, m: np.ndarray, k: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Residuals of frames of one partition each, in descending order of their number m; pos is past the parameters k."""
+    rows = len(pos)
+    active = np.searchsorted(-m, -np.arange(width), side="left").tolist()
+    first, pos, skip, nxt = pos, pos.copy(), k + 1, bits.next_one
+    stop = np.zeros((width, rows), np.int32)  # the one-bit that ends each code's unary part
+    a, p = rows, pos
+    for r in range(width):
+        if active[r] != a:
+            a = active[r]
+            p, skip = pos[:a], skip[:a]
+        np.add(nxt.take(p, mode="clip", out=stop[r, :a]), skip, out=p)
+    out = np.empty((width, rows), np.int64)
+    step = max(1, (1 << 15) // rows)  # what follows works on as many residuals as stay near
+    for lo in range(0, width, step):
+        own = stop[lo : lo + step].astype(np.int64)
+        began = np.concatenate([first[None] if lo == 0 else stop[lo - 1 : lo] + (k + 1), own[:-1] + (k + 1)])
+        u = ((own - began) << k) | bits.read(own + 1, k)
+        np.multiply((u >> 1) ^ -(u & 1), np.arange(lo, lo + len(own))[:, None] < m, out=out[lo : lo + step])
+    return out, pos
+
+
 _BLOCK_SIZES = {1: 192, **{c: 576 << (c - 2) for c in range(2, 6)}, **{c: 256 << (c - 8) for c in range(8, 16)}}
 _DEPTHS = {1: 8, 2: 12, 4: 16, 5: 20, 6: 24, 7: 32}
 

@@ -102,6 +102,20 @@ def test_flac_reads_partitions_escapes_and_stereo():
         flac.decode_frames([frame[:-3] + bytes([frame[-3] ^ 1]) + frame[-2:]], 16)
 
 
+def test_flac_checksums_and_codes_in_step_equal_those_one_by_one():
+    rng = np.random.default_rng(3)
+    parts = [rng.integers(0, 256, n, dtype=np.uint8).tobytes() for n in (0, 1, 255, 256, 257, 512, 5000)]
+    assert flac.crc16_each(parts).tolist() == [flac._crc16_on(0, p) for p in parts] and not len(flac.crc16_each([]))
+    k = np.array([3, 0, 9])
+    values = [rng.integers(-60, 60, n) for n in (300, 300, 7)]
+    codes = [[(int(v) << 1) ^ (int(v) >> 31) for v in vs] for vs in values]
+    texts = ["".join("0" * (u >> w) + "1" + (format(u & ((1 << w) - 1), f"0{w}b") if w else "") for u in us) for us, w in zip(codes, k.tolist(), strict=True)]
+    bits = flac._Bits([np.packbits(np.array(list(map(int, t)), np.uint8)).tobytes() for t in texts])
+    got, ends = flac._rice_whole(bits, bits.start[:-1].astype(np.int64), np.array([300, 300, 7]), k, 300)
+    assert all(got[: len(v), i].tolist() == v.tolist() and not got[len(v) :, i].any() for i, v in enumerate(values))
+    assert (ends - bits.start[:-1]).tolist() == [len(t) for t in texts]
+
+
 def test_flac_columns(spark, awkward):
     df = awkward.withColumnRenamed("doc_id", "flac")  # a clashing name
     out = flac.read_flac(flac.write_flac(df, "text"), "_flac")
