@@ -25,7 +25,6 @@ import re
 import zlib
 from collections import Counter
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -55,35 +54,47 @@ _WORD = re.compile(r"\w+")
 FIELDS = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("evidence", T.StringType())])
 
 
-def bins_of(word: str) -> tuple[int, ...]:
-    """The bins of a word and of its stem."""
-    own = zlib.crc32(word.encode("utf-8", "replace")) & (BINS - 1)
-    return (own, zlib.crc32(word[:STEM].encode("utf-8", "replace"), 1) & (BINS - 1)) if len(word) > STEM else (own,)
+#: A word's bins as one number: its own in the lowest bits, then its stem's, then whether it has one.
+_BITS = BINS.bit_length() - 1
+_HAS_STEM = 1 << 2 * _BITS
 
 
 class Bins(dict):
-    """The bins of words met before in this process."""
+    """The bins of words met before in this process, and of their stems."""
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def __missing__(self, word: str) -> int:
         if len(self) >= 400_000:
             self.clear()
-        got = self[word] = bins_of(word)
-        return got
+        raw = word.encode("utf-8", "replace")
+        code = zlib.crc32(raw) & (BINS - 1)
+        if len(word) > STEM:
+            stem = raw[:STEM] if len(raw) == len(word) else word[:STEM].encode("utf-8", "replace")
+            code |= _HAS_STEM | (zlib.crc32(stem, 1) & (BINS - 1)) << _BITS
+        self[word] = code
+        return code
+
+    def of(self, words) -> tuple[np.ndarray, np.ndarray]:
+        """The bins of distinct words, then those of their stems, and the places of the words that have one."""
+        code = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        stem = np.flatnonzero(code >= _HAS_STEM)
+        return np.concatenate([code, code[stem] >> _BITS]) & (BINS - 1), stem
 
 
 def term_counts(text: str | None, known: Bins) -> tuple[np.ndarray, np.ndarray]:
     """Sorted bins of a text and how often each occurs."""
     words = Counter(_WORD.findall((text or "").lower()))
-    bins = list(map(known.__getitem__, words))
-    n = np.repeat(np.fromiter(words.values(), np.int64, len(words)), np.fromiter(map(len, bins), np.int64, len(bins)))
-    u, inverse = np.unique(np.fromiter(chain.from_iterable(bins), np.int64, len(n)), return_inverse=True)
-    return u, np.bincount(inverse, n, len(u))
+    at, stem = known.of(words)
+    n = np.fromiter(words.values(), np.int64, len(words))
+    # sorted by bin; the counts lie below
+    both = np.sort(at << 32 | np.concatenate([n, n[stem]]))
+    at = both >> 32
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, np.int64)
+    return at[first], np.add.reduceat(both & 0xFFFFFFFF, first) if len(at) else first
 
 
 def bins_held(text: str | None, known: Bins) -> np.ndarray:
-    """The bins of a text, in no order."""
-    held = set(chain.from_iterable(map(known.__getitem__, set(_WORD.findall((text or "").lower())))))
-    return np.fromiter(held, np.int64, len(held))
+    """The bins of a text, in no order; one may be there twice."""
+    return known.of(set(_WORD.findall((text or "").lower())))[0]
 
 
 def document_frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
@@ -94,7 +105,7 @@ def document_frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
         for batch in batches:
             for part in slices(batch):
                 for t in part.column(0).to_pylist():
-                    df[bins_held(t, known)] += 1
+                    df[bins_held(t, known)] += 1  # once, however often a bin is named
                     n += 1
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_pydict({"bin": pa.array(np.concatenate([[-1], some]), pa.int32()), "n": pa.array(np.concatenate([[n], df[some]]), pa.int64())})
@@ -119,15 +130,13 @@ def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class BlockMaxIndex:
-    """Posting lists by bin. The cells of bin b are cell_of[b] to cell_of[b + 1]: for each block that holds it, the block, the bin's
-    largest weight in it, and where its postings begin; postings (example, weight) lie in order of cells."""
+    """Posting lists by bin. place_of has the row of each bin that occurs, else -1 (as its last value is, for all bins beyond). most: for
+    each row and block the bin's largest weight in the block. Postings (example, weight) lie in order of rows and blocks; begin: where those of each begin."""
 
     rows: int
-    terms: np.ndarray  # the bins that occur, sorted
-    cell_of: np.ndarray
-    block: np.ndarray
+    place_of: np.ndarray
     most: np.ndarray
-    start: np.ndarray
+    begin: np.ndarray
     example: np.ndarray
     weight: np.ndarray
     size: int = BLOCK
@@ -141,24 +150,26 @@ class BlockMaxIndex:
         ex = np.repeat(np.arange(len(n)), n)
         order = np.lexsort((ex, at))
         at, w, ex = at[order], w[order], ex[order]
-        block = ex // size
-        first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (block[1:] != block[:-1])])) if len(at) else np.zeros(0, np.int64)
-        most = np.maximum.reduceat(w, first) if len(at) else w
-        terms, cell = np.unique(at[first], return_index=True)
-        return cls(len(n), terms, np.append(cell, len(first)), block[first].astype(np.int32), most, np.append(first, len(at)), ex.astype(np.int32), w, size)
+        blocks = -(-len(n) // size)
+        terms, row = np.unique(at, return_inverse=True)
+        place_of = np.full(int(terms[-1]) + 2 if len(terms) else 1, -1, np.int32)
+        place_of[terms] = np.arange(len(terms))
+        cell = row * blocks + ex // size
+        first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(at) else np.zeros(0, np.int64)
+        most = np.zeros((len(terms), blocks), np.float32)
+        most.ravel()[cell[first]] = np.maximum.reduceat(w, first) if len(at) else w
+        begin = np.concatenate([[0], np.cumsum(np.bincount(cell, minlength=most.size))]).astype(np.int32)
+        return cls(len(n), place_of, most, begin, ex.astype(np.int32), w, size)
 
     def nearest(self, at: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Indexes and cosines of the k nearest examples of positive cosine; blocks that can't reach them stay unread."""
         ids, sims = np.zeros(0, np.int64), np.zeros(0)
-        if not len(self.terms) or not len(at):
+        place = self.place_of.take(at, mode="clip")
+        held = place >= 0
+        place, weight = place[held].astype(np.int64), weight[held]
+        if not len(place):
             return ids, sims
-        place = np.minimum(np.searchsorted(self.terms, at), len(self.terms) - 1)
-        held = self.terms[place] == at
-        place, weight = place[held], weight[held]
-        n = self.cell_of[place + 1] - self.cell_of[place]
-        cells, q = _ranges(self.cell_of[place], n), np.repeat(weight, n)
-        block = self.block[cells]
-        bound = np.bincount(block, q * self.most[cells], -(-self.rows // self.size))
+        bound = weight @ self.most[place]
         first = np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]
         left = bound > 0
         best_blocks = np.zeros(len(bound), bool)
@@ -168,11 +179,14 @@ class BlockMaxIndex:
             if taken is None:
                 taken = left & (bound >= sims[-1] - 1e-6) if len(sims) == k else left
             left = left & ~taken
-            own = taken[block]
-            at_cells = cells[own]
-            m = self.start[at_cells + 1] - self.start[at_cells]
-            post = _ranges(self.start[at_cells], m)
-            got = np.bincount(self.example[post], np.repeat(q[own], m) * self.weight[post], self.rows)
+            own = np.flatnonzero(taken)
+            cells = (place[:, None] * len(bound) + own).ravel()
+            start = self.begin[cells]
+            m = self.begin[cells + 1] - start
+            some = np.flatnonzero(m)
+            m = m[some]
+            post = _ranges(start[some], m)
+            got = np.bincount(self.example[post], np.repeat(weight[some // max(1, len(own))], m) * self.weight[post], self.rows)
             new = np.flatnonzero(got > 0)
             ids, sims = np.concatenate([ids, new]), np.concatenate([sims, got[new]])
             best = np.lexsort((ids, -sims))[:k]

@@ -309,6 +309,21 @@ def test_block_max_index_is_exact():
     assert not len(ids) and not len(sims)
 
 
+def test_toxicity_bins_of_words_and_stems_are_counted_in_one_sort():
+    known = toxicity.Bins()
+    at, stem = known.of(["walks", "walking", "walkings", "größer"])
+    assert stem.tolist() == [1, 2, 3] and at[4] == at[5] != at[6] and at[6] == zlib.crc32("größe".encode(), 1) % toxicity.BINS
+    text = "Walking walkings walks WALKING größer " * 3 + "x"
+    plain = {}
+    for w in text.lower().split():
+        for b in [zlib.crc32(w.encode()), *([zlib.crc32(w[: toxicity.STEM].encode(), 1)] if len(w) > toxicity.STEM else [])]:
+            plain[b % toxicity.BINS] = plain.get(b % toxicity.BINS, 0) + 1
+    bins, n = toxicity.term_counts(text, known)
+    assert dict(zip(bins.tolist(), n.tolist(), strict=True)) == plain and bins.tolist() == sorted(plain)
+    assert set(toxicity.bins_held(text, known).tolist()) == set(plain)
+    assert all(len(x) == 0 for x in toxicity.term_counts(None, known))
+
+
 def test_toxicity_neighbours_are_brute_force_ones(spark):
     """The query's evidence against cosines of plain dictionaries over all terms, with the model's scale of each term."""
     import math
