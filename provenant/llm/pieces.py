@@ -25,10 +25,11 @@ from __future__ import annotations
 import hashlib
 import pickle
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard as zstd
 from pyspark.sql import DataFrame, SparkSession
@@ -60,6 +61,36 @@ def words_of(text: str | None) -> list[str]:
     return [] if not text else text.split(" ") if "  " not in text and text[0] != " " else _SPACE.split(text)
 
 
+def words_in(texts: pa.Array) -> pa.ListArray:
+    """words_of for each text: by Arrow, but for texts in which spaces are more than one apart, or first."""
+    texts = texts.cast(pa.string())
+    plain = pc.invert(pc.or_(pc.or_(pc.equal(texts, ""), pc.starts_with(texts, " ")), pc.match_substring(texts, "  "))).fill_null(False)
+    return _either(plain, pc.split_pattern(texts.filter(plain), " "), lambda: map(words_of, texts.filter(pc.invert(plain)).to_pylist()))
+
+
+def _either(plain: pa.BooleanArray, fast: pa.ListArray, slow: Callable[[], Iterable[list[str]]]) -> pa.ListArray:
+    """The lists of fast where plain is true and those of slow where it is not, in order."""
+    if len(fast) == len(plain):
+        return fast
+    is_fast = plain.to_numpy(zero_copy_only=False)
+    at = np.empty(len(plain), np.int64)
+    at[is_fast], at[~is_fast] = np.arange(len(fast)), np.arange(len(fast), len(plain))
+    return pa.concat_arrays([fast, pa.array(list(slow()), fast.type)]).take(pa.array(at))
+
+
+def _starts(a: pa.Array) -> np.ndarray:
+    """The offsets of an array of strings or binaries."""
+    return np.frombuffer(a.buffers()[1], np.int32)[a.offset : a.offset + len(a) + 1] if len(a) else np.zeros(1, np.int32)
+
+
+def _bytes(a: pa.Array) -> np.ndarray:
+    return np.frombuffer(a.buffers()[2] or b"", np.uint8)
+
+
+def _strings(lengths: np.ndarray, data: np.ndarray | bytes) -> pa.Array:
+    return pa.StringArray.from_buffers(len(lengths), pa.py_buffer(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.py_buffer(data))
+
+
 class Pieces:
     """The vocabulary of a model file: scores and ids by piece, the byte pieces, and the bytes of each id."""
 
@@ -78,6 +109,7 @@ class Pieces:
         self.lowest = min((s for s, _ in self.by_piece.values()), default=0.0)
         byte_of = {i: bytes([b]) for b, i in self.bytes.items()}
         self.raw = [p.piece.encode() if p.type in (1, 4) else byte_of.get(i, b"") for i, p in enumerate(m.pieces)]
+        self.all_raw = pa.array(self.raw, pa.binary())
         self.within = {p[i : i + 2] for p in self.by_piece for i in range(len(p) - 1)}
 
     def table(self, spark: SparkSession) -> DataFrame:
@@ -90,6 +122,28 @@ class Pieces:
             return [MARK + word]
         return [part for run in _RUNS.findall(MARK + word.replace(" ", MARK)) for part in self._parts(run)]
 
+    def parts_in(self, words: pa.Array) -> pa.ListArray:
+        """parts_of for each word: by Arrow, but for long ones and those with line ends, marks or further spaces."""
+        plain = pc.and_(pc.less(pc.utf8_length(words), CUT_FROM), pc.invert(pc.match_substring_regex(words, f"[ \n{MARK}]")))
+        run = pc.binary_join_element_wise(MARK, words.filter(plain), "")
+        core = pc.utf8_rtrim(run, characters=_ENDS)
+        size = np.diff(_starts(run)) - np.diff(_starts(core))
+        has = np.flatnonzero(size)
+        size = size[has]
+        tail = _strings(size, _bytes(run)[np.repeat(_starts(run)[1:][has] - np.cumsum(size), size) + np.arange(size.sum())])
+        crossing = pc.binary_join_element_wise(pc.utf8_slice_codeunits(core.take(pa.array(has)), -1), pc.utf8_slice_codeunits(tail, 0, 1), "")
+        apart = ~pc.is_in(crossing, value_set=pa.array(list(self.within), pa.string())).to_numpy(zero_copy_only=False)
+        has, tail = has[apart], tail.filter(pa.array(apart))
+        cut = np.zeros(len(run), bool)
+        cut[has] = True
+        ends = np.concatenate([[0], np.cumsum(1 + cut)])
+        order = np.empty(ends[-1], np.int64)
+        order[ends[:-1]] = np.arange(len(run))
+        order[ends[has] + 1] = np.arange(len(run), len(run) + len(has))
+        flat = pa.concat_arrays([pc.if_else(pa.array(cut), core, run), tail]).take(pa.array(order))
+        fast = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+        return _either(plain, fast, lambda: map(self.parts_of, words.filter(pc.invert(plain)).to_pylist()))
+
     def _parts(self, run: str) -> tuple[str, ...] | list[str]:
         """Before the punctuation at its end, and anywhere in a long run."""
         if len(run) > CUT_FROM:
@@ -114,7 +168,16 @@ class Pieces:
 
     def decode(self, ids: list[int] | None) -> str:
         """The text of ids, without the mark that encoding puts before it."""
-        return b"".join(map(self.raw.__getitem__, ids or [])).replace(MARK.encode(), b" ").decode("utf-8", "replace").removeprefix(" ")
+        return self._text(b"".join(map(self.raw.__getitem__, ids or [])))
+
+    def decode_in(self, ids: pa.Array, ends: np.ndarray) -> list[str]:
+        """The texts of consecutive ids, each from one of ends to the next."""
+        flat = self.all_raw.take(ids)
+        data, at = memoryview(_bytes(flat)), _starts(flat)[ends].tolist()
+        return [self._text(bytes(data[a:b])) for a, b in zip(at, at[1:], strict=False)]
+
+    def _text(self, raw: bytes) -> str:
+        return raw.replace(MARK.encode(), b" ").decode("utf-8", "replace").removeprefix(" ")
 
 
 # cuts of a word by merging: positions that remain, from all of them; sc: for each inner cut the score of joining what it parts,
@@ -167,17 +230,17 @@ def lattice(units: DataFrame, pieces: DataFrame, *, kind: str, longest: int, low
     return found.select("unit", F.expr(_MERGE_IDS if kind == "merge" else _VITERBI_IDS.format(reach=longest)).alias("ids"))
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, list]]:
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
     """Parts of batches, each with a number by its rows and its texts (the first column)."""
     for batch in batches:
         step = -(-batch.num_rows // min(max(1, batch.num_rows), 1 + batch.column(0).nbytes // CHUNK_BYTES))
         for lo in range(0, batch.num_rows, max(1, step)):
             part = batch.slice(lo, step)
-            texts = part.column(0).to_pylist()
+            texts = part.column(0).fill_null("")
             h = xxhash.xxh64(str(part.num_rows))
-            for t in texts:
-                h.update((t or "")[:64].encode("utf-8", "replace") + b"|%d" % len(t or ""))
-            yield h.intdigest() - (1 << 63), part, texts
+            for t, n in zip(pc.utf8_slice_codeunits(texts, 0, 64).to_pylist(), pc.utf8_length(texts).to_pylist(), strict=True):
+                h.update(t.encode() + b"|%d" % n)
+            yield h.intdigest() - (1 << 63), part
 
 
 def _bundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,13 +250,15 @@ def _bundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(held).combine_chunks()
         rows = rows.take(np.argsort(rows.column("chunk").to_numpy(), kind="stable")).combine_chunks()
         chunk = rows.column("chunk").to_numpy()
-        lists = rows.column("ids").chunk(0)
+        units, lists = rows.column("unit").chunk(0), rows.column("ids").chunk(0)
+        letters, begin = _bytes(units), _starts(units)
         at, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype("<i4")
         ends = np.flatnonzero(np.append(chunk[1:] != chunk[:-1], True)) + 1
         out = []
         for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
             flat = values[at[a] : at[b]]
-            out.append(zstd.ZstdCompressor(level=3).compress(pickle.dumps((rows.column("unit").slice(a, b - a).to_pylist(), np.diff(at[a : b + 1]).astype("<u4").tobytes(), flat.view(np.uint8).reshape(-1, 4).T.tobytes()))))
+            held_here = (np.diff(begin[a : b + 1]), letters[begin[a] : begin[b]], np.diff(at[a : b + 1]), flat.view(np.uint8).reshape(-1, 4).T)
+            out.append(zstd.ZstdCompressor(level=3).compress(pickle.dumps([x.tobytes() for x in held_here])))
         return pa.RecordBatch.from_pydict({"chunk": pa.array(chunk[ends - 1], pa.int64()), "data": pa.array(out, pa.binary())})
 
     held, n = [], 0
@@ -207,16 +272,22 @@ def _bundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield bundles(held)
 
 
-class _Filling(dict):
-    """A dictionary that makes what it lacks."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, key):
-        got = self[key] = self.make(key)
-        return got
+def _unbundled(bundles: list[bytes], own: Pieces) -> tuple[pa.Array, pa.ListArray]:
+    """The units of a chunk's bundles and the ids of each, with those of characters without a piece."""
+    got = [pickle.loads(zstd.ZstdDecompressor().decompress(data)) for data in bundles]
+    sizes, letters, counts, planes = zip(*got, strict=True) if got else [(b"",)] * 4
+    ids = np.concatenate([np.frombuffer(p, np.uint8).reshape(4, -1).T.copy().view("<i4").ravel() for p in planes])
+    at = np.concatenate([[0], np.cumsum(np.frombuffer(b"".join(counts), np.int32), dtype=np.int64)])
+    bare = ids < 0
+    if bare.any():
+        chars, which = np.unique(ids[bare], return_inverse=True)
+        instead = [own.of_char(chr(-1 - c)) for c in chars.tolist()]
+        n = np.ones(len(ids), np.int64)
+        n[bare] = np.array([len(x) for x in instead])[which]
+        at = np.concatenate([[0], np.cumsum(n)])[at]
+        ids, bare = np.repeat(ids, n), np.repeat(bare, n)
+        ids[bare] = np.concatenate([instead[k] for k in which.tolist()])
+    return _strings(np.frombuffer(b"".join(sizes), np.int32), b"".join(letters)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
 
 
 def encode(docs: DataFrame, pieces: Pieces, *, text: str = "text", keep: list[str] | None = None, kind: str = "viterbi", digests: bool = False, settled: bool = False) -> DataFrame:
@@ -231,17 +302,15 @@ def encode(docs: DataFrame, pieces: Pieces, *, text: str = "text", keep: list[st
 
     def pairs(batches):
         own = pickle.loads(held.value)
-        for chunk, _, texts in _chunks(batches):
-            seen: set[str] = set()
-            for t in texts:
-                seen.update(words_of(t))
-            words = pa.array(sorted({u for w in seen for u in own.parts_of(w)}), pa.string())
-            for lo in range(0, len(words), 65536):
-                part = words.slice(lo, 65536)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), chunk)), part], names=["chunk", "unit"])
+        for chunk, part in _chunks(batches):
+            units = own.parts_in(words_in(part.column(0)).flatten().unique()).flatten().unique()
+            units = units.take(pc.array_sort_indices(units))
+            for lo in range(0, len(units), 65536):
+                some = units.slice(lo, 65536)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), chunk)), some], names=["chunk", "unit"])
 
     def packed(batches):
-        for chunk, part, _ in _chunks(batches):
+        for chunk, part in _chunks(batches):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, part.schema) as out:
                 out.write_batch(part)
@@ -262,28 +331,30 @@ def encode(docs: DataFrame, pieces: Pieces, *, text: str = "text", keep: list[st
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
         own = pickle.loads(held.value)
-        known: dict[str, bytes] = {}
-        for data in left.column("data").to_pylist():
-            units, counts, planes = pickle.loads(zstd.ZstdDecompressor().decompress(data))
-            flat = np.frombuffer(planes, np.uint8).reshape(4, -1).T.copy().view("<i4").ravel()
-            at = np.concatenate([[0], np.cumsum(np.frombuffer(counts, "<u4"), dtype=np.int64)])
-            raw, ends = flat.tobytes(), (at * 4).tolist()
-            known.update(zip(units, [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)], strict=True))
-            for k in np.unique(np.searchsorted(at, np.flatnonzero(flat < 0), side="right") - 1).tolist():
-                known[units[k]] = np.array([x for i in flat[at[k] : at[k + 1]].tolist() for x in ([i] if i >= 0 else own.of_char(chr(-1 - i)))], "<i4").tobytes()
-        coded_words = _Filling(lambda w: b"".join([known[u] for u in own.parts_of(w)]))
+        units, ids_of = _unbundled(left.column("data").to_pylist(), own)
         tables = []
         for data in right.column("data").to_pylist():
             whole = pa.ipc.open_stream(zstd.ZstdDecompressor().decompress(data)).read_all().to_batches()[0]
+            words = words_in(whole.column(0))
+            ends, said = words.offsets.to_numpy(), words.flatten().dictionary_encode()
+            parts = own.parts_in(said.dictionary)
+            found = ids_of.take(pc.index_in(parts.flatten(), value_set=units))
+            if found.null_count:
+                raise KeyError("a part of a word was not encoded")
+            coded_words = pa.ListArray.from_arrays(found.offsets.take(parts.offsets), found.values)
+            row = 0
             for batch in slices(whole):
-                texts = batch.column(0).to_pylist()
-                coded_texts = [b"".join(map(coded_words.__getitem__, words_of(t))) for t in texts]
+                here = ends[row : row + batch.num_rows + 1]
+                row += batch.num_rows
+                coded = coded_words.take(said.indices.slice(here[0], here[-1] - here[0]))
+                ids, at = coded.values, coded.offsets.to_numpy()[here - here[0]]
                 if digests:
-                    back = [own.decode(np.frombuffer(c, "<i4").tolist()) for c in coded_texts]
-                    cols = [pa.array([len(c) // 4 for c in coded_texts], pa.int64()), pa.array([hashlib.sha256(c).hexdigest() for c in coded_texts], pa.string()), pa.array([hashlib.sha256(b.encode("utf-8")).hexdigest() for b in back], pa.string()), pa.array([b == (t or "") for b, t in zip(back, texts, strict=True)], pa.bool_())]
+                    back = own.decode_in(ids, at)
+                    raw, bounds = memoryview(ids.to_numpy().astype("<i4")).cast("B"), (at * 4).tolist()
+                    shas = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(bounds, bounds[1:], strict=False)]
+                    cols = [pa.array(np.diff(at), pa.int64()), pa.array(shas, pa.string()), pa.array([hashlib.sha256(b.encode("utf-8")).hexdigest() for b in back], pa.string()), pa.array([b == (t or "") for b, t in zip(back, batch.column(0).to_pylist(), strict=True)], pa.bool_())]
                 else:
-                    ends = np.concatenate([[0], np.cumsum([len(c) // 4 for c in coded_texts])]).astype(np.int32)
-                    cols = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded_texts), "<i4")))]
+                    cols = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), ids)]
                 tables.append(pa.Table.from_arrays([*batch.columns[1:], *cols], names=out_schema.names))
         return pa.concat_tables(tables) if tables else empty.empty_table()
 

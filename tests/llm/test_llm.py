@@ -180,6 +180,27 @@ def test_merging_equals_the_library(spark, docs, awkward):
         assert r["decoded"] == (r["text"] or "")
 
 
+def test_words_are_cut_by_arrow(docs, monkeypatch):
+    """Arrays of texts and words are cut as single ones are, and only few words one by one; ids of arrays decode as single lists do."""
+    import pyarrow as pa
+
+    p, rng = pieces.Pieces(), random.Random(3)
+    texts = [t for _, t in AWKWARD] + [" ", "  ", "a ", " a", "a  b\n  c \n", "\n\n x.\n", "word.\nNext, (x) ...", "▁ ▁▁x a▁b", "don't. e.g., 3.5% !!", "x" * 31 + ".", "x" * 32, "é" * 31 + ")", "語!"]
+    texts += ["".join(rng.choice("ab.,!? \n▁語é)") for _ in range(rng.randrange(60))) for _ in range(500)]
+    for some in (texts, [], [None, ""], ["a b"], texts[8:12]):
+        words = pieces.words_in(pa.array(some, pa.string()))
+        assert words.to_pylist() == [pieces.words_of(t) for t in some]
+        assert p.parts_in(words.flatten()).to_pylist() == [p.parts_of(w) for w in words.flatten().to_pylist()]
+    ids = [rng.randrange(len(p.raw)) for _ in range(900)]
+    ends = [0, 0, 5, 400, 400, 900]
+    assert p.decode_in(pa.array(ids, pa.int32()), np.array(ends)) == [p.decode(ids[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+    words = pieces.words_in(pa.array([r["text"] for r in docs.select("text").collect()], pa.string())).flatten().unique()
+    single, cut = [], p.parts_of
+    monkeypatch.setattr(p, "parts_of", lambda w: single.append(w) or cut(w))
+    p.parts_in(words)
+    assert len(single) < len(words) / 5 and all("\n" in w or len(w) >= pieces.CUT_FROM for w in single)
+
+
 def test_op2_is_the_best_path(spark, docs, awkward, vocabulary, tmp_path):
     """The registered query's ids are those of a plain dynamic program over whole lines, and no worse than the library's unigram engine's."""
     import sentencepiece
