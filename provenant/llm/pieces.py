@@ -300,11 +300,15 @@ def encode(docs: DataFrame, pieces: Pieces, *, text: str = "text", keep: list[st
     if not settled:
         rows = stored(rows, "texts")
 
+    def give_back():
+        pa.default_memory_pool().release_unused()  # else workers keep what one chunk took
+
     def pairs(batches):
         own = pickle.loads(held.value)
         for chunk, part in _chunks(batches):
             units = own.parts_in(words_in(part.column(0)).flatten().unique()).flatten().unique()
             units = units.take(pc.array_sort_indices(units))
+            give_back()
             for lo in range(0, len(units), 65536):
                 some = units.slice(lo, 65536)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), chunk)), some], names=["chunk", "unit"])
@@ -314,7 +318,10 @@ def encode(docs: DataFrame, pieces: Pieces, *, text: str = "text", keep: list[st
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, part.schema) as out:
                 out.write_batch(part)
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int64()), "data": pa.array([zstd.ZstdCompressor(level=3).compress(sink.getvalue())], pa.binary())})
+            data = zstd.ZstdCompressor(level=3).compress(sink.getvalue())
+            del sink
+            give_back()
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int64()), "data": pa.array([data], pa.binary())})
 
     held = docs.sparkSession.sparkContext.broadcast(pickle.dumps(pieces))  # the vocabulary
     # dealt by unit once, for the lattice and for the join with it: both read the same two columns, so that Spark reuses the exchange.
@@ -337,11 +344,15 @@ def encode(docs: DataFrame, pieces: Pieces, *, text: str = "text", keep: list[st
             whole = pa.ipc.open_stream(zstd.ZstdDecompressor().decompress(data)).read_all().to_batches()[0]
             words = words_in(whole.column(0))
             ends, said = words.offsets.to_numpy(), words.flatten().dictionary_encode()
+            del words
+            give_back()
             parts = own.parts_in(said.dictionary)
             found = ids_of.take(pc.index_in(parts.flatten(), value_set=units))
             if found.null_count:
                 raise KeyError("a part of a word was not encoded")
             coded_words = pa.ListArray.from_arrays(found.offsets.take(parts.offsets), found.values)
+            del parts, found
+            give_back()
             row = 0
             for batch in slices(whole):
                 here = ends[row : row + batch.num_rows + 1]
