@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from provenant.functions.text import jaro_winkler
+from provenant.sources.scratch import stored
 
 #: Common prefixes are looked at by their least and greatest length; the prefix counts up to 4 characters.
 PREFIXES = ((0, 0), (1, 2), (3, 4))
@@ -56,15 +58,38 @@ def similar_values(rows: DataFrame, scope: str, name: str, at: float = 0.94) ->
     return pairs.withColumn("similarity", jaro_winkler(F.col("left"), F.col("right"))).filter(F.col("similarity") >= at)
 
 
-def similar_pairs(rows: DataFrame, key: str, name: str, scope: str, at: float = 0.94) -> DataFrame:
-    """scope, a, b (a < b), similarity: the best similarity of any names of two keys of a scope, of at least `at`; equal names have 1."""
+def similar_links(rows: DataFrame, at: float) -> DataFrame:
+    """x, y: the values that some scope of rows (scope, name) has both of and that have a similarity of at least `at`, in both orders, and each value with itself. Values of many scopes are compared once."""
+    values = rows.filter("name <> ''").distinct()
+    keys = block_keys(values, at)
+    a, b = keys.select(F.col("scope").alias("s"), F.col("name").alias("x"), "block"), keys.select(F.col("scope").alias("t"), F.col("name").alias("y"), F.col("block").alias("other"))
+    pairs = stored(a.join(b, (F.col("block") == F.col("other")) & F.col("s").eqNullSafe(F.col("t")) & (F.col("x") < F.col("y"))).select("x", "y").distinct(), "blocks")
+    alike = pairs.filter((jaro_winkler(F.col("x"), F.col("y")) >= at) | (jaro_winkler(F.col("y"), F.col("x")) >= at))
+    one = values.select(F.col("name").alias("x"), F.col("name").alias("y")).distinct()
+    return stored(alike.select("x", "y", F.lit(True).alias("turn")).union(one.withColumn("turn", F.lit(False))).select(F.explode(F.when(F.col("turn"), F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))).otherwise(F.array(F.struct("x", "y")))).alias("l")).select("l.x", "l.y"), "links")
+
+
+def similar_pairs(rows: DataFrame, key: str, name: str, scope: str, at: float = 0.94, digits: int | None = None) -> DataFrame:
+    """scope, a, b (a < b), similarity: the best similarity of any names of two keys of a scope, of at least `at`; equal names have 1. digits: rounded to so many.
+
+    Two keys of one name each are a pair once at most, so these pairs, mostly all, leave their join as they are; only pairs of keys with more names are grouped.
+    """
     named = rows.select(F.col(scope).alias("scope"), F.col(key).alias("key"), F.col(name).alias("name")).filter("name <> ''").distinct()
+    named = named.withColumn("names", F.count(F.lit(1)).over(Window.partitionBy("scope", "key")))
     alike = similar_values(named, "scope", "name", at)
-    links = alike.union(alike.select("scope", F.col("right").alias("left"), F.col("left").alias("right"), "similarity"))
-    same = named.select("scope", F.col("name").alias("left"), F.col("name").alias("right"), F.lit(1.0).alias("similarity")).distinct()
-    left, right = named.select(F.col("scope").alias("ls"), F.col("key").alias("a"), F.col("name").alias("ln")), named.select(F.col("scope").alias("rs"), F.col("key").alias("b"), F.col("name").alias("rn"))
-    j = links.union(same).join(left, F.col("scope").eqNullSafe(F.col("ls")) & (F.col("left") == F.col("ln"))).join(right, F.col("scope").eqNullSafe(F.col("rs")) & (F.col("right") == F.col("rn"))).filter("a < b")
-    return j.groupBy("scope", "a", "b").agg(F.max("similarity").alias("similarity"))
+    if digits is not None:
+        alike = alike.withColumn("similarity", F.round("similarity", digits))
+    alike = stored(alike, "alike")
+    links = alike.union(alike.select("scope", F.col("right").alias("left"), F.col("left").alias("right"), "similarity")).union(named.select("scope", F.col("name").alias("left"), F.col("name").alias("right"), F.lit(1.0).alias("similarity")).distinct())
+    left, right = (named.select(F.col("scope").alias(f"{p}s"), F.col("key").alias(into), F.col("name").alias(f"{p}n"), F.col("names").alias(f"{p}c")) for p, into in (("l", "a"), ("r", "b")))
+
+    def met(left: DataFrame, right: DataFrame) -> DataFrame:
+        return links.join(left, F.col("scope").eqNullSafe(F.col("ls")) & (F.col("left") == F.col("ln"))).join(right, F.col("scope").eqNullSafe(F.col("rs")) & (F.col("right") == F.col("rn")) & (F.col("a") < F.col("b") if left is one else F.col("a") != F.col("b")))
+
+    one = left.filter("lc = 1")
+    single = met(one, right.filter("rc = 1")).select("scope", "a", "b", "similarity")
+    more = met(left.filter("lc > 1"), right).select("scope", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
+    return single.union(more.groupBy("scope", "a", "b").agg(F.max("similarity").alias("similarity")))
 
 
 def admission(*, talked: Column, shared_issues: Column, pr_bridge: Column, similar_name: Column, similar_localpart: Column) -> Column:

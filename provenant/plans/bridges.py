@@ -34,13 +34,13 @@ _CLUSTERS = f"""{_ACTIVITY}, both_ AS (SELECT a, b FROM d WHERE decision = 'acce
 
 
 def _merged(spark, sf):
-    decided = stored(_decided(spark, sf), "decided")
+    accepted = stored(_decided(spark, sf).filter("decision = 'accepted'").select("a", "b", "score"), "accepted")
     k = F.col("k")
     t = _typed(spark, sf)
     source = F.when(k % 3 == 0, "commit_author").when(k % 3 == 1, "issue_comment").otherwise("pr_author")
     rows = t.select("repo", k.alias("key"), F.when(k % 3 == 0, F.concat(F.lit("user"), k % 100)).alias("login"), F.when(k % 5 > 0, F.col("typed")).alias("name"), F.when(k % 2 == 0, F.concat(F.replace("typed", F.lit(" "), F.lit(".")), F.lit("@example.com"))).alias("email"), source.alias("source"))
-    found = idn.fuzzy_clusters(spark, t.select(k.alias("node")), decided)
-    return rows, t.select("repo", k.alias("key")).join(found, F.col("key") == F.col("node")).select("repo", "key", "cluster"), decided.filter("decision = 'accepted'")
+    found = idn.fuzzy_clusters(spark, t.select(k.alias("node")), accepted, settled=True)
+    return rows, t.select("repo", k.alias("key")).join(found, F.col("key") == F.col("node")).select("repo", "key", "cluster"), accepted
 
 
 @query(f"""WITH RECURSIVE {_CLUSTERS} SELECT repo, cluster, number, printf('%d::fuzzy_cluster::%05d', repo, number) AS cluster_id, printf('%d::fuzzy::%d::%05d', repo, repo, number) AS fuzzy_key, members, cluster_size, sources, contains_commit_author, contains_issue_comment, contains_pr_author, 0 AS ambiguity_flag FROM tt""")

@@ -182,6 +182,47 @@ def test_clusters(spark):
     assert {r["node"]: r["cluster"] for r in small.collect()}[3] == 3
 
 
+def test_pairs_of_single_rows_equal_those_of_sets(spark):
+    """Pairs by shared and alike values, each once, with the scores that sets of one value give."""
+    import random
+
+    random.seed(11)
+    pick = random.choice
+    login = lambda: pick([None, None, *(f"u{i}" for i in range(8))])
+    rows = [(pick(["s", "t"]), k, pick(["ann lee", "ann lea", "anne lee", "bob ray", "bob rai", "cy", None]), login(), pick([None, f"m{k % 7}"]), login(), login(), k % 4, login(), k % 2, [k % 5, 10 + k % 3], k % 9 == 0) for k in range(120)]
+    df = spark.createDataFrame(rows, "scope string, key long, typed string, login string, email string, noreply string, pr string, pr_count long, talk string, source long, issues array<long>, bot boolean")
+    df = df.withColumn("name", F.when(F.col("key") % 5 > 0, F.col("typed")))
+    keys = {"email": ("email", ()), "login": ("login", ("noreply", "pr"))}
+    of = F.when(F.col("l_name").isNotNull() & F.col("r_name").isNotNull(), F.col("similarity")).otherwise(0.0)
+    single = idn.single_pairs(df, keys, "typed", 0.9, of >= 0.9).withColumn("name_similarity", of).withColumn("localpart_similarity", F.lit(0.0))
+    columns = ["scope", "a", "b", "name_similarity", "score", "families", "decision", "admitted_by"]
+    got = idn.pair_decisions(idn.single_signals(single, name_at=0.9).withColumnsRenamed({"l_key": "a", "r_key": "b"})).select(*columns)
+    some = lambda c: F.when(F.col(c).isNotNull(), F.array(c)).otherwise(F.array().cast("array<string>"))
+    counts = lambda c, n: F.when(F.col(c).isNotNull(), F.create_map(c, n)).otherwise(F.create_map().cast("map<string,bigint>"))
+    sets = df.select("key", some("email").alias("emails"), some("login").alias("logins"), some("noreply").alias("noreply"), some("name").alias("names"), F.array("source").alias("sources"), "issues", counts("pr", F.col("pr_count")).alias("pr"), counts("talk", F.lit(1).cast("long")).alias("talk"), "bot")
+    side = lambda p, key: sets.select(F.col("key").alias(key), *(F.col(c).alias(f"{p}{c}") for c in sets.columns[1:]))
+    pairs = idn.candidate_pairs(df, {"email": (("email",), ()), "login": (("login",), ("noreply", "pr"))}, {"name": 0.9}).join(side("l_", "a"), "a").join(side("r_", "b"), "b")
+    pairs = pairs.withColumn("name_similarity", idn.best_similarity(F.col("l_names"), F.col("r_names"))).withColumn("localpart_similarity", F.lit(0.0))
+    want = idn.pair_decisions(idn.pair_scores(pairs, name_at=0.9)).select(*columns)
+    have = sorted(map(tuple, got.collect()), key=repr)
+    assert have == sorted(map(tuple, want.collect()), key=repr) and len(have) > 200
+    assert not any(n in got._jdf.queryExecution().optimizedPlan().toString() for n in ("Aggregate", "Deduplicate"))  # pairs leave their joins as they are
+
+
+def test_similar_pairs_of_keys_with_one_name_and_more(spark):
+    rows = [("s", k, n) for k in range(60) for n in [("ann lee", "ann lea", "bob ray")[k % 3], ("ann lee", "bob rai")[k % 2]][: 1 + (k % 4 == 0)]] + [(None, 1, "cy"), (None, 2, "cy"), ("s", 99, "")]
+    got = similarity.similar_pairs(spark.createDataFrame(rows, "scope string, k int, name string"), "k", "name", "scope", 0.9).collect()
+    jw = {tuple(r)[:2]: r["v"] for r in spark.createDataFrame([(a, b) for _, _, a in rows for _, _, b in rows], "a string, b string").distinct().withColumn("v", tx.jaro_winkler(F.col("a"), F.col("b"))).collect()}
+    want = {}
+    for s, a, n in rows:
+        for t, b, m in rows:
+            if s == t and a < b and n and m and (v := jw[min(n, m), max(n, m)]) >= 0.9:
+                want[s, a, b] = max(v, want.get((s, a, b), 0))
+    assert {tuple(r)[:3]: r["similarity"] for r in got} == want and len(got) == len(want)
+    one = similarity.similar_pairs(spark.createDataFrame(rows, "scope string, k int, name string").filter("k % 4 > 0"), "k", "name", "scope", 0.9, digits=3)
+    assert one.count() == len({p for p in want if p[1] % 4 and p[2] % 4})
+
+
 def test_statistics(spark):
     df = spark.createDataFrame([(1, 1.0), (1, 2.0), (1, 2.0), (0, 2.0), (0, 3.0)], "g int, x double")
     r = st.rank_statistics(df, "g", "x").first()
