@@ -8,7 +8,6 @@ from provenant.operators import bridges as br
 from provenant.operators import identity as idn
 from provenant.plans.ownership import _ACTIVITY, _decided, _typed
 from provenant.plans.registry import load, query, rounded
-from provenant.sources.scratch import stored
 
 
 @query("""WITH p AS (SELECT o_custkey % 5 AS repo, o_orderkey AS pr_id, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey + 7 END AS pr_number, CASE WHEN o_orderkey % 11 > 0 THEN 'u' || (o_custkey % 90) END AS login FROM orders),
@@ -34,12 +33,12 @@ _CLUSTERS = f"""{_ACTIVITY}, both_ AS (SELECT a, b FROM d WHERE decision = 'acce
 
 
 def _merged(spark, sf):
-    accepted = stored(_decided(spark, sf).filter("decision = 'accepted'").select("a", "b", "score"), "accepted")
+    accepted = idn.accepted_pairs(_decided(spark, sf))
     k = F.col("k")
     t = _typed(spark, sf)
     source = F.when(k % 3 == 0, "commit_author").when(k % 3 == 1, "issue_comment").otherwise("pr_author")
     rows = t.select("repo", k.alias("key"), F.when(k % 3 == 0, F.concat(F.lit("user"), k % 100)).alias("login"), F.when(k % 5 > 0, F.col("typed")).alias("name"), F.when(k % 2 == 0, F.concat(F.replace("typed", F.lit(" "), F.lit(".")), F.lit("@example.com"))).alias("email"), source.alias("source"))
-    found = idn.fuzzy_clusters(spark, t.select(k.alias("node")), accepted, settled=True)
+    found = idn.fuzzy_clusters(spark, t.select(k.alias("node")), accepted)
     return rows, t.select("repo", k.alias("key")).join(found, F.col("key") == F.col("node")).select("repo", "key", "cluster"), accepted
 
 
